@@ -18,6 +18,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also where the body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: str | Column) -> Column:
     """White-space separated words, none empty; NULL stays NULL."""
     return F.filter(F.split(col(text), BLANK), lambda w: w != "")
@@ -41,13 +46,14 @@ def nfc(text: str | Column) -> Column:
 
 def shingles(text: str | Column, size: int = 5) -> Column:
     """Distinct runs of ``size`` words; texts with fewer words give their distinct words."""
-    w = words(text)
-    n = F.size(w)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - size, F.lit(0))),
-        lambda i: F.array_join(F.slice(w, i + 1, size), " "),
-    )
-    return F.when(n >= size, F.array_distinct(runs)).when(n > 0, F.array_distinct(w)).when(n == 0, F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        n = F.size(w)
+        at = F.sequence(F.lit(0), F.greatest(n - size, F.lit(0)))
+        joined = F.transform(at, lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.array_distinct(F.when(n >= size, joined).otherwise(w))
+
+    return let(words(text), runs)
 
 
 def canonical_name(value: str | Column) -> Column:

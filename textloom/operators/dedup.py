@@ -44,14 +44,15 @@ def membership(df: DataFrame, text: str = "text", order_by: str = "doc_id") -> D
 
 def minhash(text: str | Column, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> Column:
     """Slot i is the least 32-bit md5 prefix of ``i_shingle``; empty texts have zeros."""
-    sh = shingles(text, size)
+    slots = F.sequence(F.lit(0), F.lit(permutations - 1))
 
-    def slot(i: Column) -> Column:
-        lowest = F.array_min(F.transform(sh, lambda s: F.substring(F.md5(F.concat(i.cast("string"), F.lit("_"), s)), 1, 8)))
+    def lower(best: Column, s: Column) -> Column:
         # hex digits of one length sort like the numbers they stand for
-        return F.coalesce(F.conv(lowest, 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+        return F.zip_with(best, slots, lambda b, i: F.least(b, F.substring(F.md5(F.concat(i.cast("string"), F.lit("_"), s)), 1, 8)))
 
-    return F.when(col(text).isNotNull(), F.transform(F.sequence(F.lit(0), F.lit(permutations - 1)), slot))
+    none = F.array_repeat(F.lit("g"), permutations)
+    least = F.aggregate(shingles(text, size), none, lower)
+    return F.transform(least, lambda v: F.when(v == "g", 0).otherwise(F.conv(v, 16, 10).cast("bigint")))
 
 
 def equal_slots(a: Column, b: Column) -> Column:

@@ -20,12 +20,8 @@ def with_eos(tokens: str | Column, eos: int = EOS) -> Column:
 
 def byte_tokens(text: str | Column) -> Column:
     """One token per UTF-8 byte, shifted by 4 so the special ids stay free."""
-    h = F.hex(F.encode(col(text), "UTF-8"))
-    n = F.length(h) / 2
-    at = F.sequence(F.lit(1), n.cast("int"))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(
-        F.transform(at, lambda i: F.conv(F.substr(h, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + 4)
-    )
+    latin = F.decode(F.encode(col(text), "UTF-8"), "ISO-8859-1")  # one character a byte
+    return F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.ascii(c) + 4)
 
 
 def fragments(df: DataFrame, order_by: str, tokens: str = "tokens", length: int = LENGTH, eos: int = EOS,
@@ -39,8 +35,7 @@ def fragments(df: DataFrame, order_by: str, tokens: str = "tokens", length: int
         rows = rows.where(F.size(tokens) > 0)
     rows = rows.select(F.col(order_by).alias("ord"), with_eos(tokens, eos).alias("tok"))
     rows = rows.withColumn("n", F.size("tok"))
-    placed = with_running_total(rows, "ord", F.col("n"), "off")
-    placed = with_running_total(placed, "ord", F.lit(1), "doc_counter").withColumn("doc_counter", F.col("doc_counter") + 1)
+    placed = with_running_total(rows, "ord", {"off": F.col("n"), "doc_counter": F.lit(1)}).withColumn("doc_counter", F.col("doc_counter") + 1)
     seqs = F.sequence(F.floor(F.col("off") / length), F.floor((F.col("off") + F.col("n") - 1) / length))
     cut_at = placed.select("ord", "tok", "n", "off", "doc_counter", F.explode(seqs).alias("seq_idx"))
     start = F.greatest(F.col("off"), F.col("seq_idx") * length)

@@ -27,21 +27,24 @@ def bucket_bounds(df: DataFrame, order_by: str, buckets: int = BUCKETS) -> list:
     return sorted(set(row or []))
 
 
-def with_running_total(df: DataFrame, order_by: str, value: Column, name: str, tie: list[str] | None = None) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows before this one in ``order_by`` order."""
+def bucket_of(key: Column, bounds: list) -> Column:
+    """Number of bounds at or below the key."""
+    if not bounds:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
+
+
+def with_running_total(df: DataFrame, order_by: str, values: dict[str, Column], tie: list[str] | None = None) -> DataFrame:
+    """Add for each name the sum of its value over the rows before this one in ``order_by`` order."""
     bounds = bucket_bounds(df, order_by)
-    key = F.col(order_by)
-    bucket = sum((F.when(key >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    marked = df.withColumn("_bucket", bucket).withColumn("_value", F.coalesce(value.cast("bigint"), F.lit(0)))
-    totals = marked.groupBy("_bucket").agg(F.sum("_value").alias("_total"))
+    marked = df.withColumn("_bucket", bucket_of(F.col(order_by), bounds))
+    marked = marked.withColumns({f"_v_{k}": F.coalesce(v.cast("bigint"), F.lit(0)) for k, v in values.items()})
+    totals = marked.groupBy("_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
     # at most BUCKETS rows
-    offsets = totals.select(
-        "_bucket",
-        F.coalesce(F.sum("_total").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
-    )
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values])
     inside = Window.partitionBy("_bucket").orderBy(order_by, *(tie or [])).rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        marked.join(F.broadcast(offsets), "_bucket")
-        .withColumn(name, F.col("_offset") + F.coalesce(F.sum("_value").over(inside), F.lit(0)))
-        .drop("_bucket", "_value", "_offset")
+    summed = marked.join(F.broadcast(offsets), "_bucket").withColumns(
+        {k: F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in values}
     )
+    return summed.drop("_bucket", *[f"_{x}_{k}" for x in "vo" for k in values])

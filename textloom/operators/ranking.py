@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import bucket_bounds
+from .prefix import bucket_bounds, bucket_of
 
 
 def ranked(df: DataFrame, keys: list[str], order_by: str, name: str, buckets: int = 32) -> DataFrame:
@@ -16,9 +16,7 @@ def ranked(df: DataFrame, keys: list[str], order_by: str, name: str, buckets: in
     ``buckets`` rows a group.
     """
     bounds = bucket_bounds(df, order_by, buckets)
-    key = F.col(order_by)
-    bucket = sum((F.when(key >= F.lit(b), 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    marked = df.withColumn("_b", bucket)
+    marked = df.withColumn("_b", bucket_of(F.col(order_by), bounds))
     counts = marked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

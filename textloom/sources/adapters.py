@@ -108,10 +108,10 @@ class _StreamReader(SimpleDataSourceStreamReader):
 
     def read(self, start):
         end = min(self.first + self.n, start["pos"] + self.batch)
-        return _records(self.kind, start["pos"], end), {"pos": max(end, start["pos"])}
+        return iter(list(_records(self.kind, start["pos"], end))), {"pos": max(end, start["pos"])}
 
     def readBetweenOffsets(self, start, end):
-        return _records(self.kind, start["pos"], end["pos"])
+        return iter(list(_records(self.kind, start["pos"], end["pos"])))
 
     def commit(self, end):
         pass

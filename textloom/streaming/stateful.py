@@ -27,6 +27,29 @@ def drain(stream: DataFrame, name: str, mode: str = "append", trigger: dict | No
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def drain_all(stream: DataFrame, name: str) -> DataFrame:
+    """As ``drain``, for sources that cannot tell in advance what is available."""
+    folder = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
+def drain_complete(stream: DataFrame, name: str) -> DataFrame:
+    """Final state of an aggregation that has no watermark; each micro-batch overwrites the last."""
+    folder = f"{shared_dir(stream.sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+    def write(frame: DataFrame, _: int) -> None:
+        frame.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    query = stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+
+
 def exact_dedup(stream: DataFrame, text: str = "text") -> DataFrame:
     """First delivery of every distinct text.  State is one hash a distinct text."""
     return stream.where(F.col(text).isNotNull()).withColumn("content_hash", content_hash(text)).dropDuplicates(["content_hash"])
