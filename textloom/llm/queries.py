@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalikes
+from . import lookalikes, textstats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,15 @@ def p1_consistent(spark, d):
     """Consistent text (as a digest) and language of every delivery."""
     rows = lookalikes.consistent(table(spark, d, "raw_documents").select("doc_id", "text", "language"))
     return rows.select("doc_id", F.md5("text_form").alias("form_md5"), "language_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
+
+
+@query
+def p2_found(spark, d):
+    rows = textstats.statistics(table(spark, d, "raw_documents").where("text <> ''"))
+    return rows.where(~F.col("natural")).select("doc_id").distinct()
+
+
+@query
+def p2_statistics(spark, d):
+    rows = textstats.statistics(table(spark, d, "raw_documents"))
+    return rows.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in rows.dtypes])
