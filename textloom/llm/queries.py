@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalikes, textstats
+from . import containers, lookalikes, textstats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -41,3 +41,27 @@ def p2_found(spark, d):
 def p2_statistics(spark, d):
     rows = textstats.statistics(table(spark, d, "raw_documents"))
     return rows.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in rows.dtypes])
+
+
+@query
+def p3_found(spark, d):
+    return containers.cut_documents(containers.assignment(table(spark, d, "tokenized_records")))
+
+
+SQL["p3_found"] = "SELECT DISTINCT doc_id FROM tokenized_records WHERE len(token_ids) > 1024"
+
+
+@query
+def p3_assignment(spark, d):
+    return containers.assignment(table(spark, d, "tokenized_records"))
+
+
+@query
+def p3_fill(spark, d):
+    """Tokens and pieces agree with SQL; the number of containers depends on the method and is left out."""
+    f = containers.fill(containers.assignment(table(spark, d, "tokenized_records")))
+    return f.select("tokens", "pieces", (F.col("fullest") <= containers.CAPACITY).alias("none_overfull"), (F.col("padding_share") < 0.02).alias("well_filled"))
+
+
+SQL["p3_fill"] = """SELECT sum(n)::BIGINT AS tokens, sum((n + 1023) // 1024)::BIGINT AS pieces, true AS none_overfull, true AS well_filled
+  FROM (SELECT DISTINCT doc_id, token_ids, len(token_ids) AS n FROM tokenized_records WHERE len(token_ids) > 0)"""
