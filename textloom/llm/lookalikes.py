@@ -29,6 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .arrow import map_rows
 
 # Letters of one shape, as Latin, Cyrillic, Greek ("" where a script has none).
@@ -296,7 +297,7 @@ def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", lang
     Groups in which nothing differs, however large, never reach the join; rows with the same characters
     are not paired with each other.
     """
-    keys = form_keys(df, key, text, language)
+    keys = stored(form_keys(df, key, text, language), "forms")  # feeds three branches
     mixed = keys.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("form")
     # a few digests per look-alike group
     rows = keys.join(mixed, "form", "left_semi")
