@@ -183,6 +183,18 @@ def partials(texts: list[str]) -> np.ndarray:
     return out
 
 
+def slices(texts: list[str], most: int = 4 * CHUNK):
+    """Ranges of texts with about ``most`` characters, so that counting needs bounded memory."""
+    a = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def cut_text(text: str, size: int = CHUNK):
     """Parts of at most ``size`` characters, cut after a blank line if there is one, else a line, else a space."""
     at = 0
@@ -305,8 +317,11 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", category:
 
     def make_short():
         def one(keys, cats, texts):
-            states = partials(texts)
-            return [(k, c, *_row(finish(s), c)) for k, c, s in zip(keys, cats, states)]
+            out = []
+            for a, b in slices(texts):
+                states = partials(texts[a:b])
+                out += [(k, c, *_row(finish(s), c)) for k, c, s in zip(keys[a:b], cats[a:b], states)]
+            return out
 
         return one
 
