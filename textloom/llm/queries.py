@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, lookalikes, textstats
+from . import containers, lookalikes, textstats, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,14 @@ def p3_fill(spark, d):
 
 SQL["p3_fill"] = """SELECT sum(n)::BIGINT AS tokens, sum((n + 1023) // 1024)::BIGINT AS pieces, true AS none_overfull, true AS well_filled
   FROM (SELECT DISTINCT doc_id, token_ids, len(token_ids) AS n FROM tokenized_records WHERE len(token_ids) > 0)"""
+
+
+@query
+def p4_found(spark, d):
+    return wrappers.boilerplate(table(spark, d, "raw_documents"), url=F.col("metadata")["url"])
+
+
+@query
+def p4_main_body(spark, d):
+    rows = wrappers.main_body(table(spark, d, "raw_documents"), url=F.col("metadata")["url"])
+    return rows.where("text is not null").select("doc_id", F.md5("body").alias("body_md5"), F.length("body").alias("body_chars")).distinct()
