@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, lookalikes, textstats, wrappers
+from . import containers, leakage, lookalikes, textstats, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,3 +76,24 @@ def p4_found(spark, d):
 def p4_main_body(spark, d):
     rows = wrappers.main_body(table(spark, d, "raw_documents"), url=F.col("metadata")["url"])
     return rows.where("text is not null").select("doc_id", F.md5("body").alias("body_md5"), F.length("body").alias("body_chars")).distinct()
+
+
+@query
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+_STREAM = r"regexp_extract_all(lower(nfc_normalize(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'))), '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}]|[\p{L}\p{N}]+')"
+SQL["p7_found"] = f"""WITH i AS (SELECT item_id, lang, {_STREAM} AS w FROM eval_items),
+  n AS (SELECT item_id, w, least(len(w), CASE WHEN lang = 'zh' THEN 24 ELSE 12 END) AS n FROM i WHERE len(w) > 0),
+  r AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM n)),
+  d AS (SELECT doc_id, {_STREAM} AS w FROM documents WHERE text <> ''),
+  s AS (SELECT DISTINCT n FROM r),
+  g AS (SELECT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, s WHERE len(w) >= n))
+  SELECT DISTINCT doc_id, item_id FROM g JOIN r USING (n, run)"""
+
+
+@query
+def p7_regions(spark, d):
+    """Near-verbatim regions with at most one edit."""
+    return leakage.regions(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("doc_id", "item_id").agg(F.max("matched_chars").alias("matched_chars"), F.max("exact").alias("exact"))
