@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, leakage, lookalikes, textstats, wrappers
+from . import containers, leakage, lookalikes, sentences, textstats, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,3 +97,19 @@ SQL["p7_found"] = f"""WITH i AS (SELECT item_id, lang, {_STREAM} AS w FROM eval_
 def p7_regions(spark, d):
     """Near-verbatim regions with at most one edit."""
     return leakage.regions(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("doc_id", "item_id").agg(F.max("matched_chars").alias("matched_chars"), F.max("exact").alias("exact"))
+
+
+@query
+def p9_found(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    models = sentences.learn(docs)
+    marked = table(spark, d, "sentence_sample").select("doc_id").distinct()
+    return sentences.units(docs.join(marked, "doc_id", "left_semi"), models)
+
+
+@query
+def p9_units(spark, d):
+    """Units of all documents, by number and characters."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    rows = sentences.units(docs, sentences.learn(docs))
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("unit_chars"))
