@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import containers, leakage, lookalikes, sentences, textstats, wrappers
+from . import budget, containers, leakage, lookalikes, mixing, sentences, textstats, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,29 @@ def p9_units(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     rows = sentences.units(docs, sentences.learn(docs))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("unit_chars"))
+
+
+@query
+def p5_token_cubes(spark, d):
+    return budget.State(spark).update(table(spark, d, "raw_documents"))
+
+
+@query
+def p5_cube_update(spark, d):
+    """The same cube reached in two steps: first the older deliveries with all their slices, then everything."""
+    raw = table(spark, d, "raw_documents")
+    state = budget.State(spark)
+    early = raw.agg(F.percentile_approx(F.col("ingested_at").cast("long"), 0.5)).first()[0] or 0
+    state.update(raw.where(F.coalesce(F.col("ingested_at").cast("long"), F.lit(0)) <= early))
+    return state.update(raw)
+
+
+@query
+def p8_draws(spark, d):
+    return mixing.draws(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
+
+
+@query
+def p8_shares(spark, d):
+    targets = table(spark, d, "mixture_targets")
+    return mixing.shares(*mixing.draws(table(spark, d, "documents"), targets), targets)
