@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import budget, containers, leakage, lookalikes, mixing, sentences, textstats, wrappers
+from . import budget, containers, leakage, lookalikes, mixing, pii, sentences, textstats, wrappers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -139,3 +139,14 @@ def p8_draws(spark, d):
 def p8_shares(spark, d):
     targets = table(spark, d, "mixture_targets")
     return mixing.shares(*mixing.draws(table(spark, d, "documents"), targets), targets)
+
+
+@query
+def p6_found(spark, d):
+    return pii.mentions(table(spark, d, "raw_documents"))
+
+
+@query
+def p6_redacted(spark, d):
+    rows = pii.redacted(table(spark, d, "raw_documents").select("doc_id", "text"))
+    return rows.where("text is not null").select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").alias("redacted_chars")).distinct()
