@@ -187,8 +187,9 @@ def candidates(t: str, given: dict[str, int]) -> list[tuple[int, int, int]]:
     if _AT_HINT.search(t):
         out += [(0, *m.span()) for m in EMAIL.finditer(t)]
     if _LONG_NUMBER.search(t):
-        out += [(1, *m.span()) for m in PHONE.finditer(t)]
-        out += [(2, *m.span()) for m in NUMBER_ID.finditer(t)]
+        # a line may be wrapped inside a number, a column of numbers is none
+        out += [(1, *m.span()) for m in PHONE.finditer(t) if m.group().count("\n") < 2]
+        out += [(2, *m.span()) for m in NUMBER_ID.finditer(t) if m.group().count("\n") < 2]
         out += [(2, *m.span()) for m in LETTER_ID.finditer(t)]
     if _DIGIT.search(t):
         for hints, pattern in ADDRESS:
