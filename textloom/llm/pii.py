@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import boosting, pii_examples
 from .arrow import map_rows
 from .lookalikes import tables
@@ -58,23 +59,29 @@ def fold(text: str) -> tuple[str, list[int] | None]:
     single, multi = _single(), tables()["fold"]
     out: list[str] = []
     at: list[int] = []
-    for i, ch in enumerate(text):
-        o = ord(ch)
+
+    def plain(a: int, b: int) -> None:
+        out.extend(text[a:b].translate(single))
+        at.extend(range(a, b))
+
+    last = 0
+    for m in _MOVES.finditer(text):
+        i = m.start()
+        plain(last, i)
+        last = i + 1
+        ch = m.group()
         if unicodedata.combining(ch) and out:
             joined = unicodedata.normalize("NFC", out[-1] + ch)
             if len(joined) == 1:
                 out[-1] = joined
-                continue
-        if o in single:
-            out.append(single[o])
-            at.append(i)
-        elif o in multi:
-            for c in multi[o] or "":
-                out.append(c)
+            else:
+                out.append(ch)
                 at.append(i)
-        else:
-            out.append(ch)
+            continue
+        for c in multi.get(ord(ch), ch) or "":
+            out.append(c)
             at.append(i)
+    plain(last, len(text))
     return "".join(out), at
 
 
@@ -288,7 +295,7 @@ def _end(text: str, at: list[int], b: int) -> int:
     return end
 
 
-SIGNED = rf"(?:Author: |Reviewed-by: |name=|\b(?:Mr|Mrs|Ms|Frau|Herr|Mme|Don|Doña)\.? |According to |My name is |Selon |Según |Ich heiße |Signé : |Firmado: |Gezeichnet: )([A-ZÀ-Ý][\p{{L}}]+) "
+SIGNED = r"\b(?=[ARMFDSIGHn])(?:Author: |Reviewed-by: |name=|(?:Mr|Mrs|Ms|Frau|Herr|Mme|Don|Doña)\.? |According to |My name is |Selon |Según |Ich heiße |Signé : |Firmado: |Gezeichnet: )([A-ZÀ-Ý]\p{L}+) "
 
 
 def learn_given(df: DataFrame, text: str = "text") -> dict[str, int]:
@@ -298,7 +305,7 @@ def learn_given(df: DataFrame, text: str = "text") -> dict[str, int]:
     their number is bounded by how often such phrases can occur in a text.
     """
     n = df.where(F.col(text).contains(" ")).select(F.explode(F.regexp_extract_all(text, F.lit(SIGNED), F.lit(1))).alias("w"))
-    counts = n.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stored(n.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n")), "given")
     total = counts.agg(F.sum("n")).first()[0] or 0
     return {r[0]: int(r[1]) for r in counts.where(F.col("n") >= max(LEAST_SEEN, total * 1e-6)).collect() if r[0] not in BAD_NAME}
 
