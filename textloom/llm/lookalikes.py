@@ -103,7 +103,8 @@ def letter_script(ch: str) -> int:
 
 
 _AMBIGUOUS = "".join(sorted({s[0] for s in SHAPES}))
-_PLAIN_LATIN = re.compile("[A-Za-zÀ-ɏḀ-ỿ]")
+# letters and marks that folding leaves as they are; texts of these alone are not translated
+_UNFOLDED = re.compile("[^\x00-\x7f\xa1-\xac\xae-\xb4\xb6-\xcf\xd1-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u01a0-\u01b0\u0300-\u034e\u0388-\u03ce\u0400-\u052f\u0600-\u061b\u061d-\u06ff\u0900-\u097f\u1ea0-\u1ef9\u2013-\u2016\u2018-\u2023\u203a\u20ac\u2190-\u21ff\u2200-\u222b\u2264\u2265\u25a0-\u25ff\u3001-\u3020\u3041-\u3096\u3099\u309a\u30a1-\u30fe\u4e00-\u9fff\U0001f300-\U0001faff]")
 _CLEAR_LATIN = re.compile(f"(?![{_AMBIGUOUS}])[A-Za-z]")
 _OTHER = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 _TOKEN = re.compile("[A-Za-zÀ-ɏ̀-ϿЀ-ԯḀ-῿]+")
@@ -117,8 +118,8 @@ def skeleton(text: str) -> str:
     if _JOINER.search(text):
         kept = {m.start() for m in _KEPT_JOINER.finditer(text)}
         text = _JOINER.sub(lambda m: m.group() if m.start() in kept else "", text)
-    text = text.translate(t["fold"])
-    text = _SELECTOR.sub("", text)
+    if _UNFOLDED.search(text):
+        text = _SELECTOR.sub("", text.translate(t["fold"]))
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     if _OTHER.search(text):
