@@ -111,13 +111,13 @@ class Index:
         return n - self.q + 1 - self.q * self.edits
 
     def search(self, idents: list, texts: list[str]):
-        """(ident, item, longest alignment in characters) of every verified region."""
+        """(ident, item, longest alignment in characters, word for word) of every verified region."""
         streams = [" " + " ".join(words(t)) + " " for t in texts]
         if self.tiny:
             for ident, s in zip(idents, streams):
                 for it in self.tiny:
                     if any(r in s for r in it.runs):
-                        yield ident, it.ident, max(len(r) for r in it.runs if r in s)
+                        yield ident, it.ident, max(len(r) for r in it.runs if r in s), True
         if not self.least:
             return
         joined = "\x00".join(streams) + "\x00"
@@ -164,18 +164,18 @@ class Index:
         done = set()
         for d, i, a, b in sorted(found):
             region = joined[a:b]
-            length = aligned(region, self.items[i], self.edits)
-            if length and (d, i, length) not in done:
-                done.add((d, i, length))
-                yield idents[d], self.items[i].ident, length
+            length, exact = aligned(region, self.items[i], self.edits)
+            if length and (d, i, length, exact) not in done:
+                done.add((d, i, length, exact))
+                yield idents[d], self.items[i].ident, length, exact
 
 
-def aligned(region: str, item: Item, edits: int) -> int:
-    """Length of the longest passage of the item that the region holds with at most ``edits`` edits, or 0."""
+def aligned(region: str, item: Item, edits: int) -> tuple[int, bool]:
+    """Length of the longest passage of the item that the region holds, or 0, and whether it is word for word."""
     best = max((len(r) for r in item.runs if r in region), default=0)
     if best or not edits:
-        return best
-    return max((len(r) for r in item.runs if banded(region, r, edits)), default=0)
+        return best, best > 0
+    return max((len(r) for r in item.runs if banded(region, r, edits)), default=0), False
 
 
 def banded(region: str, run: str, edits: int) -> bool:
@@ -239,14 +239,13 @@ def regions(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
     shorter than its run counts when all its words occur.
     """
     wanted = items.where(F.col("text").isNotNull()).select("item_id", "lang", "text").orderBy("item_id")
-    kind, schema = dict(docs.dtypes)[key], None
+    kind = dict(docs.dtypes)[key]
     rows = docs.where(F.col(text).isNotNull() & (F.col(text) != "")).select(key, text)
     schema = f"{key} {kind}, item_id bigint, matched_chars int, exact boolean"
     out = None
     for block in _blocks([tuple(r) for r in wanted.toLocalIterator()]):
         def make(block=block):
             index = Index(block, edits=edits)
-            runs = {it.ident: set(it.runs) for it in index.items}
 
             def one(idents, texts):
                 size = 0
@@ -254,8 +253,7 @@ def regions(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
                 for i, t in enumerate(texts):
                     size += len(t)
                     if size > 400_000 or i == len(texts) - 1:  # bounded memory a pass
-                        for ident, item, n in index.search(idents[a: i + 1], texts[a: i + 1]):
-                            yield ident, item, n, any(len(r) == n for r in runs[item])
+                        yield from index.search(idents[a: i + 1], texts[a: i + 1])
                         a, size = i + 1, 0
 
             return one
@@ -270,4 +268,4 @@ def regions(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, item_id) of documents that hold a passage of an item word for word: regions plus the exact check."""
     near = regions(docs, items, key, text, edits=0)
-    return near.select(key, "item_id").distinct()
+    return near.where("exact").select(key, "item_id").distinct()

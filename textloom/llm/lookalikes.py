@@ -249,8 +249,8 @@ def bigram_model(df: DataFrame, text: str = "text") -> dict[int, dict[str, float
 def consistent(df: DataFrame, text: str = "text", language: str = "language", model: dict | None = None) -> DataFrame:
     """All columns of ``df`` with ``text_form`` and ``language_form`` added.
 
-    NULL stays NULL and an empty text stays empty; other columns pass through untouched, so two of the
-    same name are no problem.  Repeated rows stay repeated; the form depends on the text alone and the
+    NULL stays NULL and an empty text stays empty; other columns pass through untouched, but columns
+    already called like the two new ones are replaced.  Repeated rows stay repeated; the form depends on the text alone and the
     counts over all texts, so ties and row order do not matter.
     """
     model = bigram_model(df, text) if model is None else model
@@ -264,7 +264,11 @@ def consistent(df: DataFrame, text: str = "text", language: str = "language", mo
         for t, lang in batches:
             yield pd.DataFrame({"text_form": t.map(one, na_action="ignore"), "language_form": lang.map(one, na_action="ignore")})
 
-    return df.withColumn("_forms", forms(text, language)).select(*df.columns, "_forms.text_form", "_forms.language_form")
+    made = "forms"
+    while made in df.columns:
+        made += "_"
+    others = [c for c in df.columns if c not in ("text_form", "language_form")]
+    return df.withColumn(made, forms(text, language)).select(*others, f"{made}.text_form", f"{made}.language_form")
 
 
 def _digest(*parts: str | None) -> bytes:

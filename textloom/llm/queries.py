@@ -72,6 +72,12 @@ def p4_found(spark, d):
     return wrappers.boilerplate(table(spark, d, "raw_documents"), url=F.col("metadata")["url"])
 
 
+@query
+def p4_wrappers(spark, d):
+    """Union-free expressions of all hosts."""
+    return wrappers.expressions(table(spark, d, "raw_documents"), url=F.col("metadata")["url"])
+
+
 @query
 def p4_main_body(spark, d):
     rows = wrappers.main_body(table(spark, d, "raw_documents"), url=F.col("metadata")["url"])

@@ -120,11 +120,24 @@ def partials(texts: list[str]) -> np.ndarray:
     # the next line begins with a bullet, a number or nothing; or the line so far is short
     line_no = np.cumsum(k == BREAK)
     hard = (k == BREAK) & ((after == BREAK) | (after == BULLET) | numbered)
+    code_before = np.concatenate(([10], code[:-1]))
+    after_code = np.concatenate((code[1:], [10]))
+    small_after = _small_table()[after_code]
     # a line that ends well before the usual width of its neighbours is not wrapped
     at = np.flatnonzero(k == BREAK)
     width = np.diff(np.concatenate(([-1], at)))
     wrapped = np.zeros(n, dtype=bool)
     wrapped[at] = (width >= 45) & (width <= 140)
+    wide = np.zeros(n, dtype=bool)
+    wide[at] = width >= 16
+    # a sentence goes on where a small letter, or in scripts without spaces another character, comes next
+    # and the line is words with spaces, no row of cells
+    per_line = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)[at])))
+    gaps, cells, numerals = per_line(k == SPACE), per_line(np.isin(code, [44, 59, 124, 9])), per_line(k == DIGIT)
+    text_line = np.zeros(n, dtype=bool)
+    text_line[at] = ((gaps >= 3) & (cells * 4 <= gaps) & (numerals * 8 <= width)) | (per_line(k == HAN) * 2 >= width)
+    goes_on = (k == BREAK) & text_line & (((before == LETTER) | (code_before == 44)) & small_after | ((before == HAN) & (after == HAN) & wide))
+    wrapped |= goes_on
     hard |= (k == BREAK) & ~wrapped
     cut = hard | stop
     cut[end] = True  # chunk ends; the end states below undo them
@@ -214,6 +227,11 @@ def _lower(code: np.ndarray) -> np.ndarray:
     return _lower_table()[code]
 
 
+@lru_cache(maxsize=1)
+def _small_table() -> np.ndarray:
+    return np.array([chr(o).islower() for o in range(0x20000)], dtype=bool)
+
+
 @lru_cache(maxsize=1)
 def _lower_table() -> np.ndarray:
     out = np.arange(0x20000, dtype=np.uint32)
