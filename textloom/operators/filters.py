@@ -69,7 +69,8 @@ def quality_terms(text: str | Column) -> Column:
 def quality_score(text: str | Column, weights: dict[str, float] | None = None) -> Column:
     """Weighted, unrounded score.  Weights default to the fixed values above."""
     g, t = {**WEIGHTS, **(weights or {})}, quality_terms(text)
-    return (
+    score = (
         g["lang"] * t["q_lang"] + g["quality"] * t["q_quality"] + g["struct"] * t["q_struct"]
         + g["edu"] * t["q_edu"] - g["spam"] * t["q_spam"]
     )
+    return F.when(col(text).isNotNull(), score)
