@@ -7,12 +7,15 @@ first, so a text that holds a third of all rows is one row in the join.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-from ..functions.text import col, shingles
+from ..functions.text import col
 from ..session import cut
 
 PERMUTATIONS, THRESHOLD, SHINGLE = 64, 0.8, 5
@@ -43,16 +46,38 @@ def membership(df: DataFrame, text: str = "text", order_by: str = "doc_id") -> D
 
 
 def minhash(text: str | Column, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> Column:
-    """Slot i is the least 32-bit md5 prefix of ``i_shingle``; empty texts have zeros."""
-    slots = F.sequence(F.lit(0), F.lit(permutations - 1))
+    """Slot i is the least 32-bit md5 prefix of ``i_shingle``; empty texts have zeros, NULL stays NULL.
 
-    def lower(best: Column, s: Column) -> Column:
-        # hex digits of one length sort like the numbers they stand for
-        return F.zip_with(best, slots, lambda b, i: F.least(b, F.substring(F.md5(F.concat(i.cast("string"), F.lit("_"), s)), 1, 8)))
-
-    none = F.array_repeat(F.lit("g"), permutations)
-    least = F.aggregate(shingles(text, size), none, lower)
-    return F.transform(least, lambda v: F.when(v == "g", 0).otherwise(F.conv(v, 16, 10).cast("bigint")))
+    Runs in Arrow batches: a digest costs a seventh there of what it does inside a nested lambda of a
+    Spark expression.  ``str.split`` cuts words where ``functions.words`` does.
+    """
+    @F.pandas_udf(ArrayType(LongType()))
+    def signature(batch: pd.Series) -> pd.Series:
+        prefixes = [f"{i}_".encode() for i in range(permutations)]
+        md5 = hashlib.md5
+        out = []
+        for text in batch:
+            if text is None:
+                out.append(None)
+                continue
+            w = text.split()
+            runs = {" ".join(w[i: i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else set(w)
+            parts = [s.encode() for s in runs]
+            out.append([int.from_bytes(min([md5(p + s).digest()[:4] for s in parts]), "big") for p in prefixes] if parts else [0] * permutations)
+        return pd.Series(out, index=batch.index)
+
+    return signature(col(text))
+
+
+def signatures(df: DataFrame, reps: DataFrame, text: str = "text", order_by: str = "doc_id", permutations: int = PERMUTATIONS) -> DataFrame:
+    """(order_by, sig) of the representatives, computed once.
+
+    Representatives are joined by key before the digests.  Partitions are fixed, as those the optimizer
+    would make by bytes are too few for a step that is all computing.
+    """
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = df.select(order_by, text).repartition(parts, order_by).join(reps, order_by)
+    return cut(rows.select(order_by, minhash(text, permutations).alias("sig")))
 
 
 def equal_slots(a: Column, b: Column) -> Column:
@@ -120,8 +145,7 @@ def near_dedup(df: DataFrame, text: str = "text", order_by: str = "doc_id",
                permutations: int = PERMUTATIONS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document with text: its reason, unique, exact_duplicate or near_duplicate."""
     classes = membership(df, text, order_by)
-    reps = df.join(classes.where(~F.col("is_copy")).select(order_by), order_by)
-    signed = cut(reps.select(order_by, minhash(text, permutations).alias("sig")))
+    signed = signatures(df, classes.where(~F.col("is_copy")).select(order_by), text, order_by, permutations)
     dropped = greedy_keep(near_pairs(signed, order_by, permutations, threshold))
     return classes.join(dropped.withColumnRenamed("id", order_by).withColumn("near", F.lit(True)), order_by, "left").select(
         order_by, "class_id",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col
+from ..session import stored
 from .prefix import with_running_total
 
 LENGTH, EOS, PAD = 4096, 2, 3
@@ -34,7 +35,7 @@ def fragments(df: DataFrame, order_by: str, tokens: str = "tokens", length: int
     if skip_empty:
         rows = rows.where(F.size(tokens) > 0)
     rows = rows.select(F.col(order_by).alias("ord"), with_eos(tokens, eos).alias("tok"))
-    rows = rows.withColumn("n", F.size("tok"))
+    rows = stored(rows.withColumn("n", F.size("tok")), "tokens")  # bounds, totals and windows all read it
     placed = with_running_total(rows, "ord", {"off": F.col("n"), "doc_counter": F.lit(1)}).withColumn("doc_counter", F.col("doc_counter") + 1)
     seqs = F.sequence(F.floor(F.col("off") / length), F.floor((F.col("off") + F.col("n") - 1) / length))
     cut_at = placed.select("ord", "tok", "n", "off", "doc_counter", F.explode(seqs).alias("seq_idx"))

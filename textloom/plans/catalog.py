@@ -11,7 +11,7 @@ from ..functions.text import canonical_name, nfc, shingles, words
 from ..operators import accounting, cleaning, dedup, filters, hashing, lineage, mixture, packing, shards, tokenization
 from ..operators.prefix import with_running_total
 from ..sources import adapters, registry
-from ..session import table
+from ..session import spread, table
 from ..streaming import stateful
 from . import pipeline
 
@@ -61,7 +61,7 @@ def safety_raw(spark, d):
 
 @query
 def safety_after_clean(spark, d):
-    return _raw(spark, d).where("text is not null").select("doc_id", filters.is_safe(cleaning.clean("text")).alias("is_safe")).distinct()
+    return spread(_raw(spark, d)).where("text is not null").select("doc_id", filters.is_safe(cleaning.clean("text")).alias("is_safe")).distinct()
 
 
 @query
@@ -119,15 +119,14 @@ def shingle_counts(spark, d):
 @query
 def minhash_signature(spark, d):
     sig = dedup.minhash("text")
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.array_join(F.transform(sig, lambda v: v.cast("string")), ",")).alias("sig_md5"))
+    return spread(table(spark, d, "documents")).where("text is not null").select("doc_id", F.md5(F.array_join(F.transform(sig, lambda v: v.cast("string")), ",")).alias("sig_md5"))
 
 
 @query
 def near_dup_pairs(spark, d):
     docs = table(spark, d, "documents")
     reps = dedup.exact_first(docs).select(F.col("first_id").alias("doc_id"))
-    signed = dedup.cut(docs.join(reps, "doc_id").select("doc_id", dedup.minhash("text").alias("sig")))
-    return dedup.near_pairs(signed, "doc_id")
+    return dedup.near_pairs(dedup.signatures(docs, reps), "doc_id")
 
 
 @query
@@ -165,7 +164,7 @@ def reconcile(spark, d):
 
 @query
 def stage_table(spark, d):
-    return pipeline.stage_table(table(spark, d, "documents"))
+    return pipeline.stage_table(spread(table(spark, d, "documents")))
 
 
 @query
@@ -214,7 +213,7 @@ def tokenizer_roundtrip(spark, d):
 
 
 def _tokens(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", packing.byte_tokens("text").alias("tokens"))
+    return spread(table(spark, d, "documents")).where("text is not null").select("doc_id", packing.byte_tokens("text").alias("tokens"))
 
 
 @query
@@ -389,4 +388,4 @@ def stream_event_windows(spark, d):
 
 @query
 def full_pipeline(spark, d):
-    return pipeline.run(table(spark, d, "documents")).select("doc_id", "source", F.md5("final_text").alias("final_md5"), F.round("score", 9).alias("score"))
+    return pipeline.run(spread(table(spark, d, "documents"))).select("doc_id", "source", F.md5("final_text").alias("final_md5"), F.round("score", 9).alias("score"))
