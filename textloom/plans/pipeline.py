@@ -12,31 +12,40 @@ from ..operators.hashing import content_hash
 from ..session import stored
 
 
-def annotated(df: DataFrame, text: str = "text") -> DataFrame:
-    """Every row with its final text, score and the stage that rejects it (NULL if none, not counting copies).
+def judged(clean_text: Column) -> Column:
+    """Struct of final text, score and rejecting stage of a cleaned, normalised text.
 
-    The chain after NFC is one expression that binds each intermediate text once: written as columns that
-    build on each other, the optimizer would repeat the rewrites wherever a later column uses them.
+    One expression that binds each intermediate text once: written as columns that build on each other,
+    the optimizer would repeat the rewrites wherever a later column uses them.
     """
-    def judged(c: Column) -> Column:
+    def chain(c: Column) -> Column:
         def scored(final: Column, score: Column) -> Column:
             rejected = F.when(~is_safe(c), "safety").when(score < QUALITY_CUT, "quality")
             return F.struct(final.alias("final_text"), score.alias("score"), rejected.alias("rejected_by"))
 
         return let(pii_redact(c), lambda final: let(quality_score(final), lambda score: scored(final, score)))
 
-    staged = df.withColumn("clean_text", normalize(clean(text))).withColumn("_j", let(F.col("clean_text"), judged))
+    return let(clean_text, chain)
+
+
+def annotated(df: DataFrame, text: str = "text") -> DataFrame:
+    """Every row with its final text, score and the stage that rejects it (NULL if none, not counting copies)."""
+    staged = df.withColumn("_j", judged(normalize(clean(text))))
     return staged.select(
         "*", "_j.final_text", "_j.score", F.when(F.col(text).isNull(), "null_text").otherwise(F.col("_j.rejected_by")).alias("rejected_by"),
-    ).drop("_j", "clean_text")
+    ).drop("_j")
 
 
 def run(df: DataFrame, text: str = "text", order_by: str = "doc_id") -> DataFrame:
     """Rows that pass every stage, first of each distinct final text.
 
-    What passes is written once: the choice of the first copy and the result both read it.
+    Rejected rows leave inside a generator, which the optimizer does not turn into a filter that would
+    compute the chain again.  What passes is written once: the choice of the first copy and the result
+    both read it.
     """
-    passed = annotated(df, text).where(F.col("rejected_by").isNull()).drop("rejected_by")
+    rows = df.where(F.col(text).isNotNull()).withColumn("_c", normalize(clean(text)))
+    kept = F.filter(F.array(judged(F.col("_c"))), lambda x: x["rejected_by"].isNull())
+    passed = rows.select(*df.columns, F.inline(kept)).drop("rejected_by")
     passed = stored(passed.withColumn("content_hash", content_hash("final_text")), "passed")
     firsts = passed.groupBy("content_hash").agg(F.min(order_by).alias(order_by))
     return passed.join(firsts, ["content_hash", order_by], "left_semi").dropDuplicates([order_by])
