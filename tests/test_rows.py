@@ -192,3 +192,43 @@ def test_stream_source_resumes(spark):
     adapters.register(spark)
     rows = spark.readStream.format("templates").option("kind", "web").option("resume", 4).option("n", 30).option("batch", 8).load()
     assert sorted(r.pos for r in stateful.drain_all(rows, "src").collect()) == list(range(4, 34))
+
+
+def test_stream_near_window(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    docs = texts(11, 20)
+    df = spark.createDataFrame([(i, "g", t) for i, t in enumerate(docs)], "doc_id bigint, g string, text string")
+    for k, (a, b) in enumerate([(0, 9), (9, 30)]):
+        df.where(f"doc_id >= {a} and doc_id < {b}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r.doc_id: r.reason for r in stateful.drain(stateful.near_dedup_window(stream, "g", window=4), "near").collect()}
+    kept, want = [], {}
+    for i, t in enumerate(docs):
+        s = minhash(t)
+        near = any(sum(a == b for a, b in zip(s, k)) >= 52 for k in kept[-4:])
+        want[i] = "near_duplicate" if near else "unique"
+        if not near:
+            kept.append(s)
+    assert got == want
+
+
+def test_packing_stream_equals_batch(spark, tmp_path):
+    rng = random.Random(0)
+    docs = [(i, [rng.randrange(10, 99) for _ in range(rng.randrange(1, 20))]) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, tokens array<int>")
+    for k in range(3):
+        df.where(f"doc_id div 14 = {k}").coalesce(1).write.parquet(str(tmp_path / "in" / f"part{k}"))
+    stream = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+    def place(frame, offset):
+        placed = with_running_total(frame.withColumn("n", F.size(packing.with_eos("tokens"))), "doc_id", {"off": F.col("n")})
+        placed.select("doc_id", (F.col("off") + offset).alias("off"), "n").write.mode("append").parquet(str(tmp_path / "out"))
+        return offset + (frame.agg(F.sum(F.size(packing.with_eos("tokens")))).first()[0] or 0)
+
+    stateful.packed_stream(stream, place, str(tmp_path / "state")).awaitTermination()
+    got = {r.doc_id: r.off for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    off, want = 0, {}
+    for i, t in docs:
+        want[i] = off
+        off += len(t) + 1
+    assert got == want
