@@ -136,7 +136,7 @@ CUES = {
 NOT_CUES = re.compile(r"(?i)(?:isbn|serial|order no|ticket|version|order|bestellnummer|ref|id=|host|between|handle|sits at|track|page|part|no\.|the|rgb|color)\W*[\w-]{0,12}\W*$")
 AFTER_NAME = re.compile(r"^(?:['’]s\b|,? (?:lives|and|und|et|y|và|wohnt|habite|vive|at \S*@|said|who|in the|ở số|cho biết|cùng|ist|le bassin|la presa|theo|the)|[;,.<(]| <| \()")
 AFTER_NOT = re.compile(r"^[ \n](?:method|Institute|River|Harbor|Valley|Street|Market|CMS|Media|Road|Lane|notes|readers|Prozent|por ciento)|^[ \n]?(?:000|m²|kg|%)")
-BAD_NAME = frozenset("the a an of in on at for by to and or der die das ein eine den dem le la les un une el los las una this that there they when each can why of after before under over even without our your we it its no is der mr mrs dr read share terms site home tin bộ hệ kho mô khu lớp dòng bảng hồ đường người hai các những toàn phần lượng cánh bờ vùng đoạn nach nous vous wir sie and et und author user assistant human model bot passport parcels questions call order version powered street market institute method harbor valley river media cms greek cyrillic lea mit ouvrez frau herr mme don doña mrs ông bà personalausweis steuernummer rückfragen gezeichnet signé selon según firmado merci tél tel escriba attendees according please thanks dear hello name ssn id".split())
+BAD_NAME = frozenset("avda calle plaza the a an of in on at for by to and or der die das ein eine den dem le la les un une el los las una this that there they when each can why of after before under over even without our your we it its no is der mr mrs dr read share terms site home tin bộ hệ kho mô khu lớp dòng bảng hồ đường người hai các những toàn phần lượng cánh bờ vùng đoạn nach nous vous wir sie and et und author user assistant human model bot passport parcels questions call order version powered street market institute method harbor valley river media cms greek cyrillic lea mit ouvrez frau herr mme don doña mrs ông bà personalausweis steuernummer rückfragen gezeichnet signé selon según firmado merci tél tel escriba attendees according please thanks dear hello name ssn id".split())
 _TITLED = re.compile(rf"\b(?:{_TITLE})\.?[ \n]$")
 _CAP_BEFORE = re.compile(rf"[{_UP}][\w'’-]*\.?[ \n]$")
 _CAP_AFTER = re.compile(rf"[ \n](?:{_PARTICLE}[ \n])?[{_UP}]")
@@ -154,35 +154,54 @@ def family_shape(word: str) -> bool:
     return w.endswith(("berg", "heim", "quist", "ard", "ell", "inge", "mont", "ova", "sted", "lund", "ridge", "wick", "moor", "andis", "ory", "ane", "son", "sen", "ez", "ette", "mann", "ski", "ale", "man", "ton", "ley"))
 
 
-def features(kind: int, t: str, a: int, b: int, given: dict[str, int]) -> list[float]:
+def left_features(kind: int, t: str, a: int) -> tuple[float, ...]:
+    """What stands before a span; spans of one kind and start share it."""
+    left = t[max(0, a - 48): a]
+    prev = left[-1:] or "\n"
+    before = WORD_BEFORE.search(left)
+    word_before = before.group(1).rstrip(".").lower() if before else ""
+    number, name = kind in (1, 2), kind == 4
+    titled = name and _TITLED.search(left) is not None
+    return (
+        float(number and CUES["phone"].search(left) is not None), float(number and CUES["id_number"].search(left) is not None),
+        float(kind == 3 and CUES["address"].search(left) is not None), float(name and CUES["name"].search(left) is not None),
+        float(kind and NOT_CUES.search(left) is not None), float(prev in ".-/:_=#@$€&" and not (prev == "=" and kind in (1, 4))),
+        float(titled), float(name and not titled and word_before not in BAD_NAME and _CAP_BEFORE.search(left) is not None),
+    )
+
+
+def features(kind: int, t: str, a: int, b: int, given: dict[str, int], lefts: dict | None = None) -> list[float]:
     s = t[a:b]
-    left, right = t[max(0, a - 48): a], t[b: b + 24]
-    digits = sum(c.isdigit() for c in s)
-    letters = sum(c.isalpha() for c in s)
-    groups = re.findall(r"\d+", s)
+    right = t[b: b + 24]
+    if lefts is None:
+        before = left_features(kind, t, a)
+    else:
+        before = lefts.get((kind, a))
+        if before is None:
+            before = lefts[kind, a] = left_features(kind, t, a)
+    digits = sum(map(str.isdigit, s))
+    letters = sum(map(str.isalpha, s))
+    groups = _DIGITS.findall(s) if digits else []
     kinds = [0.0] * 5
     kinds[kind] = 1.0
     first, last = (groups[0], groups[-1]) if groups else ("", "")
-    words = re.findall(r"[\w'’.-]+", s) if kind >= 3 else []
-    prev = left[-1:] or "\n"
+    words = _WORDS.findall(s) if kind >= 3 else []
     nxt = right[:1] or "\n"
     bare_first = words[0].rstrip(".,").lower() if words else ""
     bare_last = words[-1].rstrip(".,").lower() if words else ""
-    before = WORD_BEFORE.search(left)
-    word_before = before.group(1) if before else ""
     name = kind == 4
     return [
         *kinds, float(digits), float(len(groups)), float(len(first)), float(len(last)), float(max(map(len, groups), default=0)), float(letters), float(len(s)),
         float("+" in s), float("(" in s), float(s.count("-")), float(s.count(" ") + s.count("\n")), float(s.count(".")), float(s[0] == "0"), float(s[0] == "9"), float(s[0].isalpha()), float(s[-1].isalpha()),
-        float(bool(CUES["phone"].search(left))), float(bool(CUES["id_number"].search(left))), float(bool(CUES["address"].search(left))), float(bool(CUES["name"].search(left))), float(bool(NOT_CUES.search(left))),
-        float(bool(AFTER_NAME.match(right))), float(bool(AFTER_NOT.match(right))),
-        float(prev in ".-/:_=#@$€&" and not (prev == "=" and kind in (1, 4))), float(nxt in "-/_@=#&%$" or (nxt in ".," and right[1:2].isdigit())),
+        *before, float(name and AFTER_NAME.match(right) is not None), float(AFTER_NOT.match(right) is not None),
+        float(nxt in "-/_@=#&%$" or (nxt in ".," and right[1:2].isdigit())),
         float(len(words)), float(min(given.get(bare_first, 0), 20)), float(min(given.get(bare_last, 0), 20) if "," in s else 0), float(bare_first in BAD_NAME), float(bare_last in BAD_NAME),
-        float(family_shape(bare_last)), float(bool(_INITIALS.search(s))), float(s.isupper()), float("," in s), float(name and bool(_TITLED.search(left))),
-        float(name and bool(_CAP_BEFORE.search(left)) and word_before.rstrip(".").lower() not in BAD_NAME and not _TITLED.search(left)), float(name and bool(_CAP_AFTER.match(right))),
+        float(name and family_shape(bare_last)), float(name and _INITIALS.search(s) is not None), float(s.isupper()), float("," in s), float(name and _CAP_AFTER.match(right) is not None),
     ]
 
 
+_DIGITS = re.compile(r"\d+")
+_WORDS = re.compile(r"[\w'’.-]+")
 _HEAD = re.compile(r"[^\s,]+")
 _DIGIT = re.compile(r"\d")
 _LONG_NUMBER = re.compile(r"(?:\d[ \n().\-/]{0,3}){5}\d")
@@ -268,8 +287,9 @@ def mentions_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int
     for i, text in enumerate(texts):
         t, at = fold(text)
         folded.append((t, at))
+        lefts: dict = {}
         for kind, a, b in candidates(t, model.given):
-            rows.append(features(kind, t, a, b, model.given))
+            rows.append(features(kind, t, a, b, model.given, lefts))
             spans.append((i, kind, a, b))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if not rows:
