@@ -20,7 +20,7 @@ from ..session import stored
 from .budget import VOCABULARY, token_counter
 
 BUCKETS, SEED = 256, 42
-MOST_PATTERNS = 200_000  # distinct sets of sources the driver takes; beyond it the run stops with an error
+MOST_PATTERNS = 50_000  # distinct sets of sources the driver takes; beyond it the run stops with an error
 
 
 def records(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
