@@ -74,7 +74,7 @@ def _word_hash(word: str) -> int:
 MARKUP = re.compile(r"<(script|style)\b[^>]*>.*?</\1>|</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 
 FIELDS = ("chars", "words", "letters", "digits", "symbols", "han", "common", "damaged")
-COUNTS = ("n_chars", "n_words", "n_letters", "n_digits", "n_symbols", "n_han", "n_common", "n_damaged", "n_lines", "n_stop_lines", "n_stretches", "n_prose", "prose_chars", "n_pairs", "n_code")
+COUNTS = ("n_chars", "n_words", "n_letters", "n_digits", "n_symbols", "n_han", "n_common", "n_damaged", "n_lines", "n_stop_lines", "n_clauses", "n_prose", "prose_chars", "n_pairs", "n_code")
 # two stretches of eight counts each, then flags
 STATE = (*COUNTS, *(f"head_{f}" for f in FIELDS), *(f"tail_{f}" for f in FIELDS), "whole", "starts_word", "ends_word", "starts_space", "ends_stop")
 
@@ -158,7 +158,11 @@ def partials(texts: list[str]) -> np.ndarray:
     sums = [np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in per_char]
     stretch = np.stack([c[bounds + 1] - c[seg_start] for c in sums], axis=1)
     stopped = stop[bounds]
-    prose = is_prose(stretch, stopped)
+    # headlines end in a year in brackets, clauses do not
+    numbered_end = (before[bounds] == CLOSER) & (np.concatenate(([BREAK, BREAK], k[:-2]))[bounds] == DIGIT)
+    # in text without spaces a full stop of the Latin script ends no sentence
+    stopped &= ~((stretch[:, 5] * 2 >= stretch[:, 0]) & (stretch[:, 5] > 0)) | wide_stop[bounds] | (code[bounds] == 0x2026)
+    prose = is_prose(stretch, stopped) & (stopped | ~numbered_end)
     owner = np.searchsorted(start, bounds, side="right") - 1
     first = np.searchsorted(bounds, start)
     last = np.searchsorted(bounds, end)
@@ -173,15 +177,18 @@ def partials(texts: list[str]) -> np.ndarray:
     # two sentences side by side; chunks end at blank lines, over which no pair goes
     pair = np.zeros(len(bounds) + 1, dtype=np.int64)
     pair[2:] = np.cumsum(prose[1:] & prose[:-1] & stopped[:-1])
+    # list items that are clauses: one line each
+    breaks = np.concatenate(([0], np.cumsum(k == BREAK)))
+    clause = np.concatenate(([0], np.cumsum(prose & ~stopped & (breaks[bounds] == breaks[seg_start]) & (k[bounds] == BREAK))))
     for i in range(len(texts)):
         a, b = first[i], last[i]
+        out[i, 10] = clause[b + 1] - clause[a]
         out[i, 13] = pair[b + 1] - pair[a + 1]
         out[i, 15:23] = stretch[a]
         out[i, 23:31] = stretch[b]
         out[i, 31] = a == b
         inner = slice(a + 1, b) if b > a else slice(a, a)
         if b > a:
-            out[i, 10] = b - a - 1
             out[i, 11] = prose[inner].sum()
             out[i, 12] = stretch[inner, 0][prose[inner]].sum()
         out[i, 14] = len(_CODE.findall(clean[i]))
@@ -244,7 +251,6 @@ def _lower_table() -> np.ndarray:
 
 def _close(counts: np.ndarray, part: np.ndarray, stopped: bool) -> None:
     """Count a stretch that is now complete."""
-    counts[10] += 1
     if is_prose(part[None, :], np.array([stopped]))[0]:
         counts[11] += 1
         counts[12] += part[0]
@@ -299,7 +305,7 @@ PROSE_SHARE, ARTICLE_SHARE = 0.6, 0.25
 
 def verdict(c: np.ndarray, category: str | None) -> tuple[bool, str]:
     """Rules over the counts of a whole text, first match decides."""
-    (chars, words, letters, digits, symbols, han, common, damaged, lines, stops, stretches, prose, prose_chars, pairs, code) = (int(x) for x in c)
+    (chars, words, letters, digits, symbols, han, common, damaged, lines, stops, clauses, prose, prose_chars, pairs, code) = (int(x) for x in c)
     if chars == 0:
         return False, "empty"
     share = prose_chars / chars
