@@ -337,3 +337,41 @@ def test_units_cover_all_text(spark, models):
         assert "".join(t[a:b] for a, b in spans).replace(" ", "").replace("\n", "") == t.replace(" ", "").replace("\n", "")
     df = spark.createDataFrame([(1, "en", "Yes. No."), (2, None, None), (3, "en", ""), (4, "en", "  \n "), (1, "en", "Yes. No.")], "doc_id int, lang string, text string")
     assert {tuple(r) for r in sentences.units(df, models).collect()} == {(1, 0, 4), (1, 5, 8)}
+
+
+# --- edges of all operators ---------------------------------------------------------------------------
+
+
+def test_empty_tables_and_null_columns(spark):
+    nulls = spark.createDataFrame([(None, None, None, None, None, None), ("a", None, None, None, None, None)], RAW)
+    for rows in (nulls.limit(0), nulls):
+        assert lookalikes.lookalike_pairs(rows).count() == 0
+        assert textstats.statistics(rows).count() == 0
+        assert wrappers.boilerplate(rows).count() == 0 and wrappers.expressions(rows).count() == 0
+        assert pii.mentions(rows).count() == 0
+        docs = rows.select("doc_id", "text", F.col("language").alias("lang"), F.col("source_id").alias("source"))
+        assert sentences.units(docs, sentences.learn(docs)).count() == 0
+        assert containers.assignment(rows.select("doc_id", F.lit(None).cast("array<int>").alias("token_ids"))).count() == 0
+        total = [r.n_docs for r in budget.State(spark).update(rows).where("source_id = '*' and category = '*' and language = '*'").collect()]
+        assert total in ([], [1])
+        targets = spark.createDataFrame([(None, None, None, None), ("p", "s", None, None)], "policy_id string, source string, target_share double, max_repeats int")
+        drawn, quotas = mixing.draws(docs, targets)
+        assert drawn.count() == 0 and [r.met for r in mixing.shares(drawn, quotas, targets).collect()] == [True]
+
+
+def test_clashing_columns(spark):
+    rows = spark.createDataFrame([("a", "Dr. Frank Belheim lives here. It is so.", "en", "web", 1, "x", 2, 3)], "doc_id string, text string, language string, category string, k int, t string, n int, body int")
+    assert textstats.statistics(rows).count() == 1
+    assert wrappers.main_body(rows, known=set()).columns == rows.columns
+    assert pii.mentions(rows).count() == 1
+    assert lookalikes.consistent(rows, model={}).columns == [*rows.columns, "text_form", "language_form"]
+
+
+def test_one_very_long_text(spark, pii_model):
+    long = "The river carries the sand to the sea. " * 20000 + "Reviewed-by: Frank Belheim <info@melhal.example>"
+    rows = spark.createDataFrame([("a", long, "en")], "doc_id string, text string, lang string")
+    assert {r.kind for r in pii.mentions(rows, model=pii_model).collect()} == {"name", "email"}
+    assert sentences.units(rows, sentences.learn(rows)).count() > 19000
+    items = spark.createDataFrame([(1, "en", "sand to the sea. The river carries the sand to the sea. The river")], "item_id bigint, lang string, text string")
+    assert leakage.leaks(rows, items).count() == 1
+    assert lookalikes.consistent(rows.withColumnRenamed("lang", "language"), model={}).first().text_form == long
