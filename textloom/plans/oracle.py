@@ -110,6 +110,27 @@ def identity_sql() -> str:
     return f"SELECT id::BIGINT AS id, concat_ws(',', {', '.join(checks)}) AS violations FROM {rows} v(id, {', '.join(IDENTITY_FIELDS)}, random_seed)"
 
 
+def re2(pattern: str) -> str:
+    """A pattern for DuckDB: digits and blanks of all scripts spelled out.  Its word bounds stay ASCII."""
+    blanks = r"\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    return pattern.replace("(?U)", "").replace(r"\d", r"\p{Nd}").replace(r"\s", blanks)
+
+
+def found(kind: str) -> str:
+    return f"len(regexp_extract_all(text, {lit(re2(filters.PII[kind]))}))"
+
+
+def redacted(e: str = "text") -> str:
+    for kind, pattern in filters.PII.items():
+        e = f"regexp_replace({e}, {lit(re2(pattern))}, {lit(filters.MARK[kind])}, 'g')"
+    return e
+
+
+CHAIN = f"""
+  c AS (SELECT doc_id, source, text AS given, replace(nfc_normalize({CLEAN}), chr(0), '') AS plain FROM documents WHERE text IS NOT NULL),
+  piped AS (SELECT doc_id, source, given, len({violations('plain')}) = 0 AS safe, {redacted('plain')} AS text FROM c),
+  {QUALITY.strip().replace('FROM documents', 'FROM piped')}"""
+
 LINES = values(LINEAGE) + " l(checkpoint_id, experiment_id, parent_id, step)"
 
 SQL = {
@@ -119,6 +140,10 @@ SQL = {
     "diacritics_check": "SELECT category, count(*) AS n_docs, count(*) FILTER (NOT regexp_matches(nfc_normalize(text), '[\\x{300}-\\x{36f}]')) AS n_composed FROM raw_documents WHERE text IS NOT NULL GROUP BY 1",
     "safety_raw": f"SELECT DISTINCT doc_id, array_to_string({violations('text')}, ';') AS violations FROM raw_documents WHERE text IS NOT NULL",
     "safety_after_clean": f"SELECT DISTINCT doc_id, len({violations('c')}) = 0 AS is_safe FROM (SELECT doc_id, {CLEAN} AS c FROM raw_documents WHERE text IS NOT NULL)",
+    "pii_counts": "SELECT doc_id, " + ", ".join(f"{found(k)} AS {k}" for k in filters.PII) + " FROM documents WHERE text IS NOT NULL",
+    "pii_redact": f"SELECT doc_id, md5({redacted()}) AS redacted_md5 FROM documents WHERE text IS NOT NULL",
+    "diversity_audit": f"""SELECT category, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_tokens, round(avg(strlen(text)), 6) AS mean_len, quantile_cont(strlen(text)::DOUBLE, 0.5) AS median_len,
+      sum({found('email')} + {found('api_key')})::BIGINT AS n_redactions FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "quality_score": f"WITH {QUALITY} SELECT doc_id, round(score, 9) AS score, n AS n_words, round(q_struct, 9) AS q_struct, round(q_spam, 9) AS q_spam, round(q_quality, 9) AS q_quality, round(q_edu, 9) AS q_edu FROM s",
     "quality_breakdown_by_lang": f"WITH {QUALITY} SELECT lang, count(*) AS n_docs, round(avg(score), 6) AS mean_score, round(min(score), 6) AS min_score, count(*) FILTER (score < 0.4::DOUBLE) AS n_low FROM s GROUP BY 1",
     "quality_filter": f"WITH {QUALITY} SELECT doc_id, source, n_chars FROM s WHERE score >= 0.4::DOUBLE",
@@ -138,6 +163,13 @@ SQL = {
     "reconcile": f"""WITH {LAST}, p AS (SELECT *, lag(stage_name) OVER w AS prev_stage, lag(num_documents) OVER w AS prev_documents FROM st WINDOW w AS (PARTITION BY run_id ORDER BY stage_ord, stage_name NULLS FIRST))
       SELECT run_id, stage_ord, stage_name, prev_stage, num_documents, prev_documents, 'Anomaly: Stage ''' || coalesce(stage_name, 'null') || ''' has more docs (' || num_documents || ') than ''' || coalesce(prev_stage, 'null') || ''' (' || prev_documents || ')' AS discrepancy
       FROM p WHERE num_documents > prev_documents AND coalesce(stage_name NOT IN ('packed', 'shards'), true)""",
+    "full_pipeline": f"""WITH {CHAIN} SELECT doc_id, source, md5(text) AS final_md5, round(score, 9) AS score FROM s WHERE safe AND score >= 0.4::DOUBLE
+      QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""",
+    "stage_table": f"""WITH {CHAIN}, u AS (SELECT DISTINCT text FROM s WHERE safe AND score >= 0.4::DOUBLE)
+      SELECT 0::INT AS stage_ord, 'raw' AS stage_name, count(*) AS num_documents, sum(strlen(given))::BIGINT AS num_tokens FROM s
+      UNION ALL SELECT 1, 'safe', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM s WHERE safe
+      UNION ALL SELECT 2, 'quality', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM s WHERE safe AND score >= 0.4::DOUBLE
+      UNION ALL SELECT 3, 'dedup', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM u""",
     "mixture_accounting": f"""WITH sums AS (SELECT category AS domain, sum(strlen(text))::BIGINT AS tokens FROM documents GROUP BY 1),
       per AS (SELECT domain, coalesce(tokens, 0) AS tokens, 100 * weight::DOUBLE AS target_pct FROM {POLICY} LEFT JOIN sums USING (domain)),
       a AS (SELECT *, 100.0::DOUBLE * tokens / greatest(sum(tokens) OVER (), 1) AS actual_pct FROM per)
