@@ -262,6 +262,21 @@ def test_leaks(spark):
     assert leakage.leaks(ddf, idf.limit(0)).count() == 0 and leakage.leaks(ddf.limit(0), idf).count() == 0
 
 
+def test_text_between_comparison_signs_is_searched(spark):
+    passage = "the seven grey herons left the northern marsh before the first frost of winter came"
+    docs = [
+        f"let x < 5 be given. {passage.capitalize()}.\nThen y > 3 holds",
+        f"if a <b and {passage} or c> d",
+        f"x<y {passage} z>0",
+        passage.replace(" herons", "<b>\n herons</b>").replace("frost", '<a href="u" hidden>frost</a><br/>').replace("left", "<!-- a > b\n -->left<IMG SRC=x.png alt>"),
+        passage.replace("left", "< 5 left"),
+    ]
+    ddf = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    idf = spark.createDataFrame([(7, "en", passage)], "item_id bigint, lang string, text string")
+    assert {r.doc_id for r in leakage.leaks(ddf, idf).collect()} == {0, 1, 2, 3}
+    assert {r.doc_id for r in leakage.regions(ddf, idf).collect() if r.exact} == {0, 1, 2, 3}
+
+
 def test_one_edit_is_a_region(spark):
     item = "the quick river gate opened for seven old ships near the tower of stone at dawn"
     ddf = spark.createDataFrame([(1, "well " + item.replace("seven", "sevem") + " so"), (2, item.replace("seven", "all the many"))], "doc_id bigint, text string")

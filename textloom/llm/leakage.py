@@ -1,6 +1,6 @@
 """Problem 7: evaluation passages inside corpus documents.
 
-Texts become word streams: markup and ignorable characters deleted, NFC, case folded, words joined by one
+Texts become word streams: markup (tags and comments, not any "<" to the next ">") and ignorable characters deleted, NFC, case folded, words joined by one
 space, a Han or kana character being a word.  The search then follows the q-gram lemma: a stretch of n
 characters that matches a passage with at most k edits shares at least n - q + 1 - q k q-grams with it.
 
@@ -32,16 +32,31 @@ RUN, LONG_RUN, LONG_LANGS = 12, 24, ("zh",)
 BLOCK_CHARS = 4_000_000  # characters of items broadcast at a time
 _BITS = 22
 
-_TAG = re.compile(r"<[^<>]*>")
+# Markup only: declarations and tags whose attributes have a value or a name HTML knows without one.
+# A "<" of a formula or a comparison begins none of these, so what stands behind it stays text.
+_BARE = "allowfullscreen|alt|async|autofocus|autoplay|checked|contenteditable|controls|crossorigin|default|defer|disabled|download|draggable|hidden|inert|ismap|itemscope|loop|multiple|muted|nomodule|noshade|novalidate|nowrap|open|playsinline|readonly|required|reversed|selected"
+_TAG = re.compile(
+    r"<!DOCTYPE\b[^<>]*>|<!\[CDATA\[|<\?[a-z][^<>]*\?>|</[a-z][\w:.-]*\s*>"
+    rf"""|<[a-z][\w:.-]*+(?:[\s/]++(?:[^\s<>"'=/]++\s*+=\s*+(?:"[^"<>]*"|'[^'<>]*'|[^\s<>"'=]+)|(?:{_BARE})(?=[\s/>])))*+[\s/]*+>""",
+    re.I,
+)
 _IGNORABLE = re.compile("[­​-‏⁠﻿]")
 _ONE = "぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(f"[{_ONE}]|(?:(?![{_ONE}_])\\w)+")
 _WIDE = re.compile(f"[{_ONE}]")
 
 
+def without_comments(text: str) -> str:
+    out, at = [], 0
+    while (a := text.find("<!--", at)) >= 0 and (b := text.find("-->", a + 4)) >= 0:
+        out.append(text[at:a])
+        at = b + 3
+    return " ".join([*out, text[at:]])
+
+
 def words(text: str) -> list[str]:
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = _TAG.sub(" ", without_comments(text))
     if text.isascii():
         return _WORD.findall(text.lower())
     text = _IGNORABLE.sub("", text)
