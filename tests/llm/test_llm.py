@@ -342,6 +342,17 @@ def test_sentences(models):
     assert cut("Wait... then it moved. Read config.yaml from docs.example now. A frame.Of the rest", "en", models) == ["Wait... then it moved.", "Read config.yaml from docs.example now.", "A frame.", "Of the rest"]
 
 
+def test_rare_abbreviations_are_learned_in_large_corpora(spark):
+    dull = " ".join(f"tower river stone ship {w}" for w in ("holds", "stays", "moves", "waits") * 250)  # 5,000 words
+    texts = [f"We saw Qzv. Tarver {w}. {dull}." for w in ("come", "leave", "sing", "wait")]
+    texts += [f"The {w} holds. Each keeper stays. We saw one {w}. {dull}." for w in ("river", "tower", "ship", "stone", "gate", "lamp", "rope", "well")] * 50  # 2 M words
+    texts += ["Then two bells rang at sunset. Each keeper stays. "] * 3 + ["He called at sunset now and at sunset then."]
+    learned = sentences.learn(spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id bigint, text string, lang string"))
+    assert "qzv" in learned["en"].abbreviations and ("qzv", "tarver") in learned["en"].collocations
+    # two sightings without the period tell this word from an abbreviation
+    assert "sunset" not in learned["en"].abbreviations
+
+
 def test_units_cover_all_text(spark, models):
     rng = random.Random(9)
     bits = ["A b. ", "“Q?” x ", "\n\n", "(c.) ", "Dr. X ", "1. ", "…", "。", "\n", " ", "!", "d"]

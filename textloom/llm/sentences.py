@@ -28,7 +28,7 @@ from .arrow import map_rows
 from .textstats import COMMON
 
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
-LEAST, LEAST_SHARE = 3, 2e-6  # words seen less often teach nothing
+LEAST = 3  # words and pairs seen less often teach nothing
 
 _EDGE = re.compile(r"^[^\w]+|[^\w.\u0300-\u036f\u0900-\u0963\u064b-\u0652]+$")
 _PERIOD = re.compile(r"(\S+?)\.[\"”’»)\]]*\s+[\"“„«‘(\[¿¡']*([^\W_]\S*)")
@@ -72,13 +72,13 @@ class Model:
     abbreviations: set[str] = field(default_factory=set)
     starters: set[str] = field(default_factory=set)
     collocations: set[tuple[str, str]] = field(default_factory=set)
-    lower: dict[str, int] = field(default_factory=dict)  # seen with a small letter
-    upper_mid: dict[str, int] = field(default_factory=dict)  # with a capital inside sentences
+    lower: set[str] = field(default_factory=set)  # seen with a small letter and never with a capital inside sentences
     ordinals: bool = False  # numbers with a period go on
 
 
 def count_texts():
-    """Counter over texts: (lang, kind, word, next word) -> n; kinds t type, l lower, u upper inside, p period pair, s start after a sure end."""
+    """Counter over texts: (lang, kind, word, next word) -> n; kinds t type, l lower, u upper inside, p period pair, s start after a sure end,
+    k capitalised word after a period that a mark parts from the rest of its token."""
 
     def one(langs, texts):
         by: dict[str, Counter] = defaultdict(Counter)
@@ -107,6 +107,8 @@ def count_texts():
         for (lang, kind, w, nxt), n in pairs.items():
             second = word_type(nxt).rstrip(".")
             if kind == "p":
+                if nxt[0].isupper() and (alone := word_type(_NEXT.match(nxt).group()).rstrip(".")) != second:
+                    out[lang, "k", alone, ""] += n
                 out[lang, "p", word_type(w + "."), ("^" if nxt[0].isupper() else "_" if nxt[0].islower() else "") + second] += n
             elif kind == "s":
                 out[lang, "s", "", second] += n
@@ -120,80 +122,97 @@ def count_texts():
 def learn(df: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, Model]:
     """One model a language from all texts.
 
-    Counts are summed in Spark.  The driver gets words and pairs seen ``LEAST`` times and on at least
-    ``LEAST_SHARE`` of the language's words, so their number has a bound that does not grow with the corpus.
+    Counts of words are complete and are scored in Spark.  What is learned needs ``LEAST`` sightings, and a
+    pair around a period as many, at every size of the corpus.  Only accepted entries come to the driver.
     """
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(lang).alias("g"), F.col(text).alias("t"))
     counted = map_rows(rows, count_texts, "g string, kind string, a string, b string, n bigint", whole_batch=True)
     summed = stored(counted.groupBy("g", "kind", "a", "b").agg(F.sum("n").alias("n")), "counts")
-    totals = summed.where("kind = 't'").groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a").endswith("."), F.col("n")).otherwise(0)).alias("periods"))
+    seen = summed.where(F.col("n") >= LEAST)
+    types = summed.where("kind = 't'").select("g", "a", "n")
+    pairs = seen.where("kind = 'p'").select("g", "a", F.expr("left(a, length(a) - 1)").alias("bare"), "b", "n")
+    period = F.col("a").endswith(".")
+    small = F.col("b").startswith("_")
     # one row a language
-    floors = totals.select("g", F.greatest(F.lit(LEAST), F.col("n") * LEAST_SHARE).alias("floor"))
-    kept = summed.join(F.broadcast(floors), "g").where(F.col("n") >= F.col("floor")).select("g", "kind", "a", "b", "n")
-    by_lang: dict[str, dict[str, dict]] = defaultdict(lambda: {"t": {}, "l": {}, "u": {}, "p": {}, "s": {}})
-    for g, kind, a, b, n in kept.toLocalIterator():
-        by_lang[g][kind][(a, b) if kind == "p" else b if kind == "s" else a] = n
-    return {g: fit(by_lang[g], n, periods) for g, n, periods in totals.collect()}
+    totals = {r.g: r for r in types.groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.when(period, F.col("n")).otherwise(0)).alias("periods")).collect()}
+    enders = {r[0]: r[1] for r in pairs.groupBy("g").agg(F.countDistinct("a")).collect()}
+    models = {g: Model() for g in totals}
 
+    # words that come after the periods of many different words begin sentences
+    many = F.greatest(F.lit(6), 0.02 * F.col("enders"))
+    per_lang = pairs.groupBy("g").agg(F.countDistinct("a").alias("enders"))
+    openers = pairs.where(~small & (F.col("b") != NUMBER)).groupBy("g", "b").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(per_lang), "g").where(F.col("k") >= many).select("g", "b", F.lit(True).alias("opens"))
+    after = pairs.join(openers, ["g", "b"], "left").groupBy("g", "a").agg(
+        F.sum("n").alias("followed"), F.sum(F.when(small, F.col("n")).otherwise(0)).alias("small"), F.sum(F.when(F.col("b") == NUMBER, F.col("n")).otherwise(0)).alias("numbers"),
+        F.sum(F.when(F.col("opens"), F.col("n")).otherwise(0)).alias("begins"), F.count(F.lit(1)).alias("kinds"),
+    )
+    after = stored(after, "after")
+    for r in after.where(F.col("a") == NUMBER + ".").collect():  # one row a language
+        models[r.g].ordinals = r.small >= max(LEAST, 0.1 * r.followed)
+
+    dotted = types.where(period & (F.col("n") >= LEAST) & (F.col("a") != NUMBER + ".")).withColumn("bare", F.expr("left(a, length(a) - 1)"))
+    bare = types.where(~period).select("g", F.col("a").alias("bare"), F.col("n").alias("without"))
+    counts = ("followed", "small", "numbers", "begins", "kinds")
+    candidates = dotted.join(bare, ["g", "bare"], "left").join(after, ["g", "a"], "left").select("g", "bare", "n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("without", *counts)])
+    rates = {g: max(r.periods, 1) / max(r.n, 1) for g, r in totals.items()}
+
+    def make_abbreviations():
+        return lambda g, w, n, *k: [(g, w)] if is_abbreviation(w, n, *k, rates[g], enders.get(g, 0) >= 8) else []
+
+    abbreviations = stored(map_rows(candidates, make_abbreviations, "g string, bare string"), "abbreviations")
 
-def fit(c: dict[str, dict], total: int, periods: int) -> Model:
-    types = c["t"]
     # scripts without spaces: the two characters after a full stop
-    cjk = {w for w, n in c["s"].items() if len(w) == 2 and _is_cjk(w[0]) and _is_cjk(w[1]) and n >= LEAST}
-    c["s"] = {w: n for w, n in c["s"].items() if w not in cjk}
-    m = Model(lower=c["l"], upper_mid=c["u"], starters=cjk)
-    rate = max(periods, 1) / max(total, 1)
-    after: dict[str, Counter] = defaultdict(Counter)
-    for (a, b), n in c["p"].items():
-        after[a][b] += n
-    # words that come after the periods of many different words begin sentences
-    before: dict[str, set] = defaultdict(set)
-    for (a, b), _ in c["p"].items():
-        if not b.startswith("_") and b != NUMBER:
-            before[b].add(a)
-    enders = len({a for a, _ in c["p"]})
-    many = max(6, 0.02 * enders)
-    varied = enders >= 8  # else a word repeated before one period looks like an abbreviation
-    openers = {b for b, a in before.items() if len(a) >= many}
-    for w, n in types.items():
-        if not w.endswith(".") or w == NUMBER + "." or n < LEAST:
-            continue
-        bare = w[:-1]
-        if not any(ch.isalpha() for ch in bare) or bare.endswith("."):
-            continue
-        without = types.get(bare, 0)
-        length = sum(ch != "." for ch in bare)
-        score = likelihood(n, n + without, rate, 0.99) * math.exp(-length) * (1 + bare.count(".")) * max(length, 1) ** -min(without, 50)
-        followed = sum(after[w].values())
-        # words before a small letter go on, whatever their length, and so do words before numbers
-        small = sum(k for b, k in after[w].items() if b.startswith("_"))
-        numbers = after[w][NUMBER]
-        begins = sum(k for b, k in after[w].items() if b in openers)
-        if small >= max(LEAST, 0.2 * n) or numbers >= max(LEAST, 0.5 * n) or (score >= ABBREVIATION and begins < 0.6 * max(followed, 1) and (varied or len(after[w]) >= LEAST)):
-            m.abbreviations.add(bare)
-    starts: Counter = Counter(c["s"])
-    ends = sum(c["s"].values())
-    for (a, b), n in c["p"].items():
-        bare = a[:-1]
-        if bare in m.abbreviations or a == NUMBER + "." or len(bare) < 2 or b.startswith("_"):
-            continue
-        starts[b.lstrip("^")] += n
-        ends += n
-    for w, n in starts.items():
-        all_w = types.get(w, 0) + types.get(w + ".", 0)
-        if all_w and n >= LEAST and n / max(ends, 1) > all_w / max(total, 1) and pair_likelihood(ends, all_w, min(n, all_w), total) >= STARTER and n * 5 >= all_w:
-            m.starters.add(w)
-    m.starters |= {b[1:] for b in openers if b.startswith("^")}
-    for (a, b), n in c["p"].items():
-        w, second = a[:-1], b.lstrip("^_")
-        if w in m.abbreviations or w == NUMBER:
-            all_a, all_b = types.get(a, 0), types.get(second, 0)
-            if all_a and all_b and n * 5 >= all_a and pair_likelihood(all_a, all_b, min(n, all_a, all_b), total) >= COLLOCATION:
-                m.collocations.add((w, second))
-    numbers = after[NUMBER + "."]
-    low = sum(n for b, n in numbers.items() if b.startswith("_"))
-    m.ordinals = low >= max(LEAST, 0.1 * sum(numbers.values()))
-    return m
+    cjk = F.col("b").rlike("^[\u3040-\u30ff\u3400-\u9fff]{2}$")
+    marked = seen.where("kind = 's'").select("g", "b", "n")
+    sure = pairs.where((F.col("bare") != NUMBER) & (F.length("bare") >= 2) & ~small).join(abbreviations, ["g", "bare"], "left_anti")
+    starts = marked.where(~cjk).unionByName(sure.select("g", F.ltrim("b", F.lit("^")).alias("b"), "n")).groupBy("g", "b").agg(F.sum("n").alias("n"))
+    starts = stored(starts, "starts")
+    ends_of = {r[0]: r[1] for r in starts.groupBy("g").agg(F.sum("n")).collect()}
+    sums = {g: r.n for g, r in totals.items()}
+    whole = types.where(~F.col("a").endswith("..")).groupBy("g", F.rtrim("a", F.lit(".")).alias("b")).agg(F.sum("n").alias("all_w"))
+
+    def make_starters():
+        return lambda g, w, n, all_w: [(g, w)] if is_starter(n, all_w, ends_of[g], sums[g]) else []
+
+    starters = map_rows(starts.join(whole, ["g", "b"]).select("g", "b", "n", "all_w"), make_starters, "g string, a string")
+    starters = starters.unionByName(openers.where(F.col("b").startswith("^")).select("g", F.expr("substring(b, 2)").alias("a"))).unionByName(marked.where(cjk).select("g", F.col("b").alias("a")))
+
+    numbers = pairs.select("g").distinct().withColumn("bare", F.lit(NUMBER))
+    first = abbreviations.unionByName(numbers)
+    near = pairs.join(first, ["g", "bare"]).join(types.select("g", "a", F.col("n").alias("all_a")), ["g", "a"]).where(F.col("n") * 5 >= F.col("all_a"))
+    near = near.withColumn("second", F.ltrim("b", F.lit("^_"))).join(types.select("g", F.col("a").alias("second"), F.col("n").alias("all_b")), ["g", "second"])
+
+    def make_collocations():
+        return lambda g, a, b, n, x, y: [(g, a, b)] if pair_likelihood(x, y, min(n, x, y), sums[g]) >= COLLOCATION else []
+
+    collocations = map_rows(near.select("g", "bare", "second", "n", "all_a", "all_b"), make_collocations, "g string, a string, b string")
+
+    # words with a small letter that never have a capital inside sentences; only those a mark or a capital precedes are asked for
+    low = seen.where("kind = 'l'").select("g", "a", F.col("n").alias("low"))
+    stems = types.groupBy("g", F.rtrim("a", F.lit(".")).alias("a")).agg(F.sum("n").alias("n"))
+    asked = stems.join(low, ["g", "a"]).where(F.col("n") > F.col("low")).select("g", "a").unionByName(low.join(summed.where("kind = 'k'").select("g", "a"), ["g", "a"], "left_semi").select("g", "a"))
+    lower = asked.join(summed.where("kind = 'u'").select("g", "a"), ["g", "a"], "left_anti")
+
+    none = F.lit("").alias("b")
+    found = abbreviations.select("g", F.lit("abbreviations").alias("what"), F.col("bare").alias("a"), none).unionByName(starters.select("g", F.lit("starters").alias("what"), "a", none))
+    found = found.unionByName(lower.select("g", F.lit("lower").alias("what"), "a", none)).unionByName(collocations.select("g", F.lit("collocations").alias("what"), "a", "b"))
+    for g, what, a, b in found.toLocalIterator():
+        getattr(models[g], what).add((a, b) if what == "collocations" else a)
+    return models
+
+
+def is_abbreviation(bare: str, n: int, without: int, followed: int, small: int, numbers: int, begins: int, kinds: int, rate: float, varied: bool) -> bool:
+    """``varied``: periods come after many words; else a word repeated before one period looks like an abbreviation."""
+    if not any(ch.isalpha() for ch in bare) or bare.endswith("."):
+        return False
+    length = sum(ch != "." for ch in bare)
+    score = likelihood(n, n + without, rate, 0.99) * math.exp(-length) * (1 + bare.count(".")) * max(length, 1) ** -min(without, 50)
+    # words before a small letter go on, whatever their length, and so do words before numbers
+    return small >= max(LEAST, 0.2 * n) or numbers >= max(LEAST, 0.5 * n) or (score >= ABBREVIATION and begins < 0.6 * max(followed, 1) and (varied or kinds >= LEAST))
+
+
+def is_starter(n: int, all_w: int, ends: int, total: int) -> bool:
+    return bool(all_w) and n / max(ends, 1) > all_w / max(total, 1) and n * 5 >= all_w and pair_likelihood(ends, all_w, min(n, all_w), total) >= STARTER
 
 
 # --- language and blocks -----------------------------------------------------------------------------
@@ -359,7 +378,7 @@ def is_end(text: str, start: int, m: re.Match, end: int, stop: int, lang: str, m
             return False
         if key in model.starters:
             return True
-        return not caseless and not initial and model.lower.get(key, 0) >= LEAST and not model.upper_mid.get(key, 0)
+        return not caseless and not initial and key in model.lower
     return True
 
 
