@@ -1,4 +1,4 @@
-"""The whole chain as one plan: clean, normalise, screen, redact, score, fold copies."""
+"""The chain up to exact copies as one plan: clean, normalise, screen, redact, score, fold copies."""
 
 from __future__ import annotations
 
