@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import boosting, budget, containers, leakage, lookalikes, mixing, pii, pii_examples, sentences, textstats, wrappers
+from textloom.llm import arrow, boosting, budget, containers, leakage, lookalikes, mixing, pii, pii_examples, sentences, textstats, wrappers
 
 RAW = "doc_id string, text string, language string, category string, source_id string, ingested_at timestamp"
 
@@ -163,6 +163,57 @@ def test_alignment_is_union_free():
     tokens = [(n.token, n.pages, n.repeated) for n in w.nodes]
     assert ("a", 2, False) in tokens and ("e", 2, False) in tokens and ("x", 1, False) in tokens and ("d", 1, True) in tokens
     assert [t for t, p, _ in tokens if p == 2] == ["a", "b", "e"]
+    assert [(n.token, n.repeated) for n in wrappers.Wrapper.of(list("ababcd")).nodes] == [("a", True), ("b", True), ("c", False), ("d", False)]
+    # gaps are aligned again: "h" comes twice on the left, once in the gap between "m" and "z"
+    assert wrappers.matches(list("ahmhz"), list("mhz")) == [(2, 0), (3, 1), (4, 2)]
+    text = wrappers.expression(wrappers.Wrapper.of(["Home", "t1", "\x01", "End"]).align(wrappers.Wrapper.of(["Home", "t2", "\x01", "\x01", "Ad", "End"])))
+    assert text == "Home\n(#)+?\n(#)+\n(#)?\nEnd"
+
+
+def boilerplate_of(df):
+    got = {}
+    for k, n in wrappers.boilerplate(df, url=F.col("url")).collect():
+        got.setdefault(k, []).append(n)
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_hot_host_and_own_lines(spark):
+    """One host with half of the pages in several parts; a notice only this host has, one of 2,600 characters among them."""
+    notice = "Members of the harbor circle read the archive without limits " + "and the annex of the archive too " * 80
+    own = lambda i: page("hot.example", i).replace("Advertisement", f"Harbor circle members only\n{notice}")
+    rows = [(f"hot-{i}", own(i), f"https://hot.example/{i}") for i in range(300)]
+    rows += [(f"{h}-{i}", page(f"h{h}.example", 1000 + h * 10 + i), f"https://h{h}.example/{i}") for h in range(60) for i in range(5)]
+    got = boilerplate_of(spark.createDataFrame(rows, "doc_id string, text string, url string").repartition(5))
+    assert all(got[f"hot-{i}"] == [0, 1, 4, 5, 7, 8] for i in range(300))
+    assert all(got[f"{h}-{i}"] == [0, 1, 4, 6, 7] for h in range(60) for i in range(5))
+
+
+def test_templates_do_not_depend_on_the_number_of_hosts(spark):
+    """A notice on four hosts is known among 30 hosts and among 300."""
+    rare = lambda h, i: page(f"h{h}.example", h * 10 + i).replace("Advertisement", "Printed on the old press" if h < 4 else "Advertisement")
+    for hosts in (30, 300):
+        rows = [(f"{h}-{i}", rare(h, i), f"https://h{h}.example/{i}") for h in range(hosts) for i in range(3)]
+        got = boilerplate_of(spark.createDataFrame(rows, "doc_id string, text string, url string"))
+        assert all(got[f"{h}-{i}"] == [0, 1, 4, 6, 7] for h in range(4) for i in range(3))
+
+
+def test_scripts_and_copies(spark):
+    lone = "<script>\nlet a = 1;\n</script>\n" + tale(1, 1) + "\n" + tale(1, 2)
+    copies = [(f"c{i}", page("copy.example", 7), "https://copy.example/7") for i in range(5)]  # one article delivered five times is one page
+    rows = [("lone", lone, None), *copies, *[(f"{h}-{i}", page(f"h{h}.example", h * 10 + i), f"https://h{h}.example/{i}") for h in range(6) for i in range(5)]]
+    got = boilerplate_of(spark.createDataFrame(rows, "doc_id string, text string, url string"))
+    assert got["lone"] == [0, 1, 2] and all(got[f"c{i}"] == [0, 1, 4, 6, 7] for i in range(5))
+
+
+def test_slices_are_bounded_by_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (10, 3_000_000, 5, 900_000, 900_000, 7)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([[t] for t in texts]), pa.array(range(7))], names=["a", "b", "c"]).slice(1)
+    parts = list(arrow.by_bytes(batch))
+    assert [v for p in parts for v in p.column("a").to_pylist()] == texts[1:]
+    sizes = [sum(arrow.row_bytes(c) for c in p.columns) for p in parts]
+    assert all(s.sum() - s[-1] <= arrow.SLICE_BYTES for s in sizes) and len(parts) >= 3
 
 
 # --- problem 5 ----------------------------------------------------------------------------------------
@@ -388,7 +439,7 @@ def test_empty_tables_and_null_columns(spark):
 def test_clashing_columns(spark):
     rows = spark.createDataFrame([("a", "Dr. Frank Belheim lives here. It is so.", "en", "web", 1, "x", 2, 3)], "doc_id string, text string, language string, category string, k int, t string, n int, body int")
     assert textstats.statistics(rows).count() == 1
-    assert wrappers.main_body(rows, known=set()).columns == rows.columns
+    assert wrappers.main_body(rows).columns == rows.columns
     assert pii.mentions(rows).count() == 1
     assert lookalikes.consistent(rows, model={}).columns == [*rows.columns, "text_form", "language_form"]
 

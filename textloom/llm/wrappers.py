@@ -1,25 +1,33 @@
 """Problem 4: main body of web pages, by wrappers inferred from pages of the same host.
 
-A page is a stream of line tokens: a line's plain text with digits and host names masked, or the token
-``PROSE`` for running text.  Pages of one host are aligned one after the other to a union-free regular
-expression: lines both sides share stay fixed nodes, lines that only some pages have become optional
-nodes, runs of one token become repeated groups, and where both sides differ a text slot remains.  A host
-is aligned in parts, and equal nodes of its parts add their support, so no host, however large, is gathered
-in one task.
-
-Fixed and optional nodes that wrappers of several hosts agree on become templates; a page of a host seen
-once is read with them.  A text slot inside a line is found by comparing such nodes: their first two words
-and last word, or the label before a colon.  What is left is decided by place: the headline before the first
-prose line is the title, headlines after it lead to other articles.
+A page is a stream of line tokens: a line's plain text with digits and host names masked, and for a bar of
+links or a labelled line also its parts.  Pages of one host are aligned one after the other to a union-free
+regular expression: tokens both sides share at the same place become one node, tokens that only some pages
+have become optional nodes, what comes back within a page becomes a repeated group, and where both sides
+differ a text slot remains.  Gaps between matched nodes are aligned again in the same way.  The support of a
+token is that of its nodes on several pages: lines of equal text that meet at no place do not add up.
+Pages that hold mostly the same running text are copies and are aligned once.
+
+Every page is then read with the wrapper of its own host: nodes on several pages, at their place, are fixed
+lines.  Nodes that wrappers of several hosts agree on, whole, by label or with a slot inside, form a shared
+table; it is joined to the nodes of every page, so hosts seen once are read with it too.  What is left is
+decided by place: the headline before the first prose line is the title, headlines after it lead elsewhere.
+
+Hosts are aligned in parts of ``PART`` pages, and equal nodes of its parts add their support, so no host,
+however large, is gathered in one task.  Hosts are counted by (host, salt) first, and hot tokens are joined
+with a salt.  Nothing of the pages or templates reaches the driver.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +35,8 @@ from ..session import stored
 from .arrow import map_rows
 from .lookalikes import skeleton
 
-PART = 64  # pages aligned in one task
-LEAST_HOSTS, HOST_SHARE = 3, 0.001  # a template is seen on so many hosts, and on this share of them
+PART, SALTS = 64, 64  # pages aligned in one task; parts of hot hosts and hot tokens
+LEAST_HOSTS, LEAST_PAGES = 3, 3  # a shared template is on so many hosts, a host's own line on so many pages, at every size
 RECURS, SURE, TITLE_SHARE, LABEL_TITLE_SHARE = 0.05, 0.3, 0.10, 0.03  # how often it comes back on its host, how often it stands where titles do
 PROSE = "\x01"
 
@@ -42,6 +50,7 @@ _BULLET = re.compile(r"^(?:[-•▪*–—›»·+◦]|\d+[.)])\s+")
 _SEPARATOR = re.compile(r"\s*(?:[|»·/›]|&gt;|(?<=\s)>(?=\s)|\t|(?<=\S)\s{2,}(?=\S))\s*")
 _MAY_SEPARATE = re.compile(r"[|»·/›>\t]|  |&gt;")
 _DIGIT = re.compile(r"\d")
+_DOTTED = re.compile(r"\.\w")
 _LABEL = re.compile(r"^([^\d:：]{2,24}[:：])\s*\S")
 _TITLE_END = re.compile(r"(?: – |: ).*\(?\d+\)?$")
 _LEADS = frozenset("›–»")
@@ -59,7 +68,7 @@ class Line:
     text: str  # without markup and bullet
     bullet: str
     token: str
-    masked: str | None  # None for long running text, which is no fixed line
+    masked: str | None  # None for scripts and styles
     prose: int  # 0 no, 1 one sentence or clause, 2 several sentences
     script: bool
     anchors: int
@@ -98,7 +107,7 @@ def read_lines(text: str) -> list[Line]:
         heading = "<h1" in raw or raw.startswith("# ")
         if not prose and not script and (bullet in _ITEM or "<li" in raw) and is_clause(body):
             prose = 1
-        masked = None if script or (prose == 2 and len(body) >= 200) else mask(body)
+        masked = None if script else mask(body)
         out.append(Line(no, body, bullet, PROSE if prose == 2 else masked or "", masked, prose, script, anchors, heading))
     return out
 
@@ -126,9 +135,7 @@ def is_clause(text: str) -> bool:
 
 
 def mask(text: str) -> str:
-    if len(text) >= 2000:
-        return text[:200]
-    if "." in text:
+    if _DOTTED.search(text):
         text = _HOST.sub("§", text)
     return _DIGITS.sub("0", text) if _DIGIT.search(text) else text
 
@@ -140,21 +147,6 @@ def parts_of(text: str) -> list[str]:
     return [p for p in _SEPARATOR.split(text) if p]
 
 
-def forms(line: Line) -> list[str]:
-    """The templates a line can be an instance of: whole, with a slot inside, with a slot after a label, by parts."""
-    t = line.token
-    if t == PROSE:
-        # text that reads like several sentences can still be a fixed notice
-        return [line.masked] if line.masked else []
-    out = [t]
-    if label := label_form(t):
-        out.append(label)
-    parts = parts_of(t)
-    if len(parts) > 1:
-        out += [p for p in parts if len(p) <= 30]
-    return out
-
-
 def label_form(token: str) -> str | None:
     """A label with a slot after it."""
     if ":" not in token and "：" not in token:
@@ -177,42 +169,137 @@ def host_of(url: str | None, text: str) -> str | None:
     return m.group(1).lower() if m else None
 
 
-# --- wrappers --------------------------------------------------------------------------------------
+# --- page features -----------------------------------------------------------------------------------
+
+SCRIPT, HEADING, ANCHORS, LEADS, ITEM, SHORT, ARROW, CLAUSE, SENTENCES = (1 << i for i in range(9))
+WHOLE, PART_OF, LABEL, SLOT = range(4)
+_LINE = np.dtype([("no", "<i4"), ("flags", "<u2")])
+_TOKEN = np.dtype([("line", "<i4"), ("kind", "u1"), ("hash", "<i8")])
+
+
+def token_hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def features(text: str) -> bytes:
+    """Lines with content of a text, as flags and hashes of their tokens; what the later steps need of it."""
+    lines, tokens = [], []
+    for i, x in enumerate(read_lines(text)):
+        flags = SCRIPT * x.script | HEADING * x.heading | ANCHORS * (x.anchors > 0) | LEADS * (x.bullet in _LEADS) | ITEM * (x.bullet in _ITEM)
+        flags |= SHORT * (len(x.text) < 60) | (0, CLAUSE, SENTENCES)[x.prose]
+        if not x.script:
+            whole = x.masked
+            tokens.append((i, WHOLE, token_hash(whole)))
+            if x.prose < 2:
+                if label := label_form(whole):
+                    tokens.append((i, LABEL, token_hash(label)))
+                bar = parts_of(whole)
+                if len(bar) > 1:
+                    tokens += [(i, PART_OF, token_hash(p)) for p in bar]
+                    flags |= ARROW * ("»" in whole or ">" in whole)
+                if slot := slot_form(whole):
+                    tokens.append((i, SLOT, token_hash(slot)))
+        lines.append((x.no, flags))
+    made = np.array(lines, dtype=_LINE), np.array(tokens, dtype=_TOKEN)
+    return len(lines).to_bytes(4, "little") + made[0].tobytes() + made[1].tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:4], "little")
+    end = 4 + n * _LINE.itemsize
+    return np.frombuffer(data, _LINE, n, 4), np.frombuffer(data, _TOKEN, -1, end)
 
 
 @dataclass
+class Stream:
+    """What the alignment sees of a page: its nodes' tokens in order, once each, and what it says about them."""
+
+    tokens: list[int]
+    prose: frozenset[int]
+    slots: dict[int, int]  # token -> its form with a slot inside
+    labels: set[int]
+    titles: set[int]
+    repeated: set[int]
+
+
+def stream_of(data: bytes) -> Stream:
+    lines, tokens = unpacked(data)
+    flags = lines["flags"]
+    seen = np.flatnonzero((flags & SCRIPT) == 0)
+    first = next((k for k, i in enumerate(seen) if flags[i] & (CLAUSE | SENTENCES)), len(seen))
+    title = int(seen[first - 1]) if first > 1 else -1
+    prose = set()
+    out: dict[int, int] = {}
+    slots, labels, titles = {}, set(), set()
+    whole = 0
+    for line, kind, h in tokens.tolist():
+        if kind == WHOLE:
+            whole = h
+            if flags[line] & SENTENCES:
+                prose.add(h)
+        if kind == SLOT:
+            slots[whole] = h
+            continue
+        if kind == LABEL:
+            labels.add(h)
+        out[h] = out.get(h, 0) + 1
+        if line == title:
+            titles.add(h)
+    return Stream(list(out), frozenset(prose), slots, labels, titles, {h for h, n in out.items() if n > 3})
+
+
+def host_of(url: str | None, text: str) -> str | None:
+    m = _NON_LINK.match(url or "")
+    if m:
+        return m.group(1).lower()
+    m = _OWNER.search(text)
+    return m.group(1).lower() if m else None
+
+
+# --- wrappers --------------------------------------------------------------------------------------
+
+
+@dataclass(slots=True)
 class Node:
-    token: str
+    token: object
     pages: int
     repeated: bool = False
 
 
 @dataclass
 class Wrapper:
-    """Union-free expression: nodes in order; a node on fewer pages than the wrapper is optional, ``None`` tokens are text slots."""
+    """Union-free expression: nodes in order; a node on fewer pages than the wrapper is optional, nodes of one page are text slots."""
 
     nodes: list[Node] = field(default_factory=list)
     pages: int = 0
 
     @classmethod
-    def of(cls, tokens: list[str], pages: int = 1) -> Wrapper:
+    def of(cls, tokens: list, pages: int = 1) -> Wrapper:
+        """One page; stretches of up to four tokens that follow themselves are repeated groups."""
         nodes: list[Node] = []
-        for t in tokens:
-            if nodes and nodes[-1].token == t:
-                nodes[-1].repeated = True
+        at = 0
+        while at < len(tokens):
+            for size in (1, 2, 3, 4):
+                again = at + size
+                while tokens[at: at + size] == tokens[again: again + size] and again + size <= len(tokens):
+                    again += size
+                if again > at + size:
+                    nodes += [Node(t, pages, True) for t in tokens[at: at + size]]
+                    at = again
+                    break
             else:
-                nodes.append(Node(t, pages))
+                nodes.append(Node(tokens[at], pages))
+                at += 1
         return cls(nodes, pages)
 
     def align(self, other: Wrapper) -> Wrapper:
-        """Common nodes in common order stay; between two of them each side's nodes become optional."""
+        """Common nodes in common order stay, in the gaps between them too; what is left of each side becomes optional."""
         if not self.pages:
             return other
         mine, theirs = self.nodes, other.nodes
-        pairs = common_order([n.token for n in mine], [n.token for n in theirs])
         out: list[Node] = []
         i = j = 0
-        for a, b in [*pairs, (len(mine), len(theirs))]:
+        for a, b in [*matches([n.token for n in mine], [n.token for n in theirs]), (len(mine), len(theirs))]:
             out += mine[i:a]
             out += theirs[j:b]
             if a < len(mine):
@@ -229,7 +316,7 @@ class Wrapper:
             if n.pages == 1 and out and out[-1].pages == 1:
                 out[-1].repeated = True
             else:
-                out.append(n)
+                out.append(Node(n.token, n.pages, n.repeated))
         return Wrapper(out, self.pages)
 
 
@@ -243,15 +330,31 @@ def expression(w: Wrapper) -> str:
     return "\n".join(out)
 
 
-def common_order(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+def matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Matches of ``common_order``, and in every gap between two of them those of the gap."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, k, j, m = todo.pop()
+        found = common_order(a[i:k], b[j:m]) if i < k and j < m else []
+        if not found:
+            continue
+        x, y = i, j
+        for p, q in found:
+            out.append((i + p, j + q))
+            todo.append((x, i + p, y, j + q))
+            x, y = i + p + 1, j + q + 1
+        todo.append((x, k, y, m))
+    return sorted(out)
+
+
+def common_order(a: list, b: list) -> list[tuple[int, int]]:
     """Matches in the same order on both sides: the longest rising run over tokens that occur once on each side."""
-    once_b = {}
+    once_b: dict = {}
     for j, t in enumerate(b):
         once_b[t] = -1 if t in once_b else j
     seen = Counter(a)
     hits = [(i, once_b[t]) for i, t in enumerate(a) if seen[t] == 1 and once_b.get(t, -1) >= 0]
-    import bisect
-
     tops: list[int] = []
     at: list[int] = []
     back: list[int] = []
@@ -271,197 +374,261 @@ def common_order(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def pages(df: DataFrame, key: str, text: str, url) -> DataFrame:
-    """(host, page, tokens, titles): one row per record whose host is known.  ``titles`` marks lines right before the first prose."""
-    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"), url.alias("u"))
+def distinct_pages(streams: list[Stream]) -> list[Stream]:
+    """Pages in a fixed order without those that hold mostly the running text of one before."""
+    kept: list[Stream] = []
+    owner: dict[int, list[int]] = {}
+    for s in sorted(streams, key=lambda s: (s.tokens, sorted(s.prose))):
+        shared = Counter(k for h in s.prose for k in owner.get(h, ()))
+        if any(2 * n > min(len(s.prose), len(kept[k].prose)) for k, n in shared.items()):
+            continue
+        for h in s.prose:
+            owner.setdefault(h, []).append(len(kept))
+        kept.append(s)
+    return kept
+
+
+NODE = "array<struct<token:bigint,label:boolean,w:int,t:int,rep:int>>"
+
+
+def host_nodes(feats: list[bytes]) -> tuple[int, list[tuple]]:
+    """Distinct pages of a part and the nodes of its wrapper in order: (token, label or slot, pages, pages where it is the title, pages where it is repeated)."""
+    streams = distinct_pages([stream_of(x) for x in feats])
+    wrapper = Wrapper()
+    titles: Counter = Counter()
+    repeated: Counter = Counter()
+    slot_of: dict[int, int] = {}
+    labels: set[int] = set()
+    for s in streams:
+        wrapper = wrapper.align(Wrapper([Node(t, 1) for t in s.tokens], 1))
+        titles.update(s.titles)
+        repeated.update(s.repeated)
+        slot_of |= s.slots
+        labels |= s.labels
+    best: dict[int, int] = {}
+    for n in wrapper.nodes:
+        best[n.token] = n.pages if n.token not in best else max(best[n.token], n.pages) if min(best[n.token], n.pages) < 2 else best[n.token] + n.pages
+    out = [(t, t in labels, w, titles[t], repeated[t]) for t, w in best.items()]
+    slots: dict[int, list[int]] = {}
+    for t, w in best.items():
+        if t in slot_of:
+            s = slots.setdefault(slot_of[t], [1, 0])
+            # what fills the slot must be the same on most pages of the host
+            if w > 1 and w * 3 >= wrapper.pages:
+                s[0] = max(s[0], w)
+            s[1] += titles[t]
+    out += [(h, True, w, t, 0) for h, (w, t) in slots.items()]
+    return len(streams), out
+
+
+# --- tables ------------------------------------------------------------------------------------------
+
+
+def read_pages(df: DataFrame, key: str, text: str, url) -> DataFrame:
+    """(key, text_hash, host, page, feat): one row per record with text; every text is read once."""
+    kind = dict(df.dtypes)[key]
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("t"), url.alias("u"))
 
     def make():
-        def one(k, t, u):
-            host = host_of(u, t)
-            if host is None:
-                return
-            lines = [x for x in read_lines(t) if not x.script]
-            first = next((i for i, x in enumerate(lines) if x.prose), len(lines))
-            tokens, titles, seen = [], [], set()
-            often = Counter(x.token for x in lines)  # list items and cells come many times a page
-            for i, x in enumerate(lines):
-                if often[x.token] > 3 and x.token != PROSE:
-                    continue
-                for f in forms(x):
-                    if f not in seen:  # once a page
-                        seen.add(f)
-                        tokens.append(f)
-                        titles.append(0 < i == first - 1)
-            yield host, hash_of(k), tokens, titles
+        def one(k, h, t, u):
+            yield k, h, host_of(u, t), token_hash(f"{k}\n{h}"), features(t)
 
         return one
 
-    return map_rows(rows, make, "host string, page bigint, tokens array<string>, titles array<boolean>")
-
-
-def hash_of(value) -> int:
-    import hashlib
+    return map_rows(rows, make, f"key {kind}, text_hash bigint, host string, page bigint, feat binary")
 
-    return int.from_bytes(hashlib.blake2b(str(value).encode(), digest_size=8).digest(), "big", signed=True)
 
+def with_parts(pages: DataFrame) -> DataFrame:
+    """Pages of known hosts with ``part``: hosts of n pages are cut in parts of about ``PART`` pages.
 
-def parts(streams: DataFrame) -> DataFrame:
-    """(host, part, n, p): hosts of n pages cut in parts of about ``PART`` pages."""
-    sizes = streams.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    salted = streams.join(sizes, "host").withColumn("part", F.pmod("page", F.ceil(F.col("n") / PART)).cast("int"))
-    return salted.groupBy("host", "part", "n").agg(F.collect_list(F.struct("tokens", "titles")).alias("p"))
-
-
-def expressions(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
-    """(host, part, pages, expression): the wrapper of every part of every host, distinct pages only."""
-    url = F.lit(None).cast("string") if url is None else url
-
-    def make():
-        def one(host, part, n, p):
-            wrapper = Wrapper()
-            for tokens in sorted({tuple(x["tokens"]) for x in p}):
-                wrapper = wrapper.align(Wrapper.of(list(tokens)))
-            yield host, part, wrapper.pages, expression(wrapper)
+    Sizes are joined by (host, salt), so the pages of a hot host are spread over ``SALTS`` keys.
+    """
+    hosted = pages.where(F.col("host").isNotNull()).withColumn("salt", F.pmod(F.col("page"), F.lit(SALTS)).cast("int"))
+    cells = hosted.groupBy("host", "salt").agg(F.count(F.lit(1)).alias("c"))
+    sizes = cells.join(cells.groupBy("host").agg(F.sum("c").alias("n")), "host").select("host", "salt", "n")
+    return hosted.join(sizes, ["host", "salt"]).withColumn("part", F.pmod(F.shiftright("page", 8), F.ceil(F.col("n") / PART)))
 
-        return one
 
-    return map_rows(parts(stored(pages(df, key, text, url), "pages")), make, "host string, part int, pages int, expression string")
+def grouped_pages(pages: DataFrame) -> DataFrame:
+    """(host, part, p): pages of a part together; a page without a host is a part of its own, with the host ``""``."""
+    page = F.struct("key", "text_hash", "feat")
+    parts = with_parts(pages).groupBy("host", "part").agg(F.collect_list(page).alias("p"))  # about PART pages
+    alone = pages.where(F.col("host").isNull()).select(F.lit("").alias("host"), F.col("page").alias("part"), F.array(page).alias("p"))
+    return parts.unionByName(alone)
 
 
-def wrapper_nodes(streams: DataFrame) -> DataFrame:
-    """(host, token, pages_with, pages, at_title) of the nodes of every part's wrapper."""
-    grouped = parts(streams)
+def part_nodes(groups: DataFrame) -> DataFrame:
+    """(host, part, place, pages, token, label, w, t, rep): nodes of every part's wrapper in order."""
 
     def make():
-        def one(host, part, n, p):
-            wrapper = Wrapper()
-            at_title: Counter = Counter()
-            for page in sorted(p, key=lambda x: x["tokens"]):
-                wrapper = wrapper.align(Wrapper.of(page["tokens"]))
-                at_title.update(t for t, first in zip(page["tokens"], page["titles"]) if first)
-            found: Counter = Counter()
-            for node in wrapper.nodes:
-                found[node.token] += node.pages
-            slots: dict[str, list[int]] = {}
-            for token, pages_with in found.items():
-                yield host, token, pages_with, int(n), at_title[token]
-                slot = slot_form(token)
-                if slot:
-                    # what fills the slot must be the same on most pages of the host
-                    s = slots.setdefault(slot, [1, 0])
-                    if pages_with > 1 and pages_with * 3 >= wrapper.pages:
-                        s[0] = max(s[0], pages_with)
-                    s[1] += at_title[token]
-            for slot, (pages_with, title) in slots.items():
-                yield host, slot, pages_with, int(n), title
+        def one(host, part, feats):
+            n, nodes = host_nodes(feats)
+            for i, x in enumerate(nodes):
+                yield host, part, i, n, *x
 
         return one
 
-    return map_rows(grouped, make, "host string, token string, pages_with int, pages int, at_title int")
-
+    return map_rows(groups.select("host", "part", F.col("p.feat")), make, "host string, part bigint, place int, pages int, token bigint, label boolean, w int, t int, rep int")
 
-def templates(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> set[str]:
-    """Tokens that wrappers of several hosts hold as fixed or optional nodes.
 
-    Each must be on a share of all hosts, so their number is bounded by the lines of a page over that
-    share and does not grow with the corpus.
-    """
-    url = F.lit(None).cast("string") if url is None else url
-    streams = stored(pages(df, key, text, url), "pages")
-    nodes = wrapper_nodes(streams)
-    per_host = nodes.groupBy("token", "host").agg(F.sum("pages_with").alias("w"), F.max("pages").alias("n"), F.sum("at_title").alias("t"))
-    per = per_host.groupBy("token").agg(
+def fixed_nodes(nodes: DataFrame) -> DataFrame:
+    """(host, part, place, token, shared) of the nodes that are fixed lines, by the host's own wrapper or shared by hosts."""
+    known = nodes.where(F.col("host") != "")
+    # pages of a host, summed over its parts, once for each part
+    sizes = known.where("place = 0").groupBy("host").agg(F.sum("pages").alias("n"))
+    per_host = known.groupBy("host", "token").agg(F.sum("w").alias("w"), F.sum("t").alias("t"), F.sum("rep").alias("rep"), F.max("label").alias("label"))
+    per_host = stored(per_host.join(sizes, "host"), "host-nodes")
+    titled = lambda share: F.col("titles") <= F.when(F.col("label"), LABEL_TITLE_SHARE).otherwise(share) * F.col("seen")
+    shared = per_host.groupBy("token").agg(
         F.count(F.lit(1)).alias("hosts"), F.count_if(F.col("w") > 1).alias("fixed_on"), F.sum(F.greatest(F.col("w") - 1, F.lit(0))).alias("again"),
-        F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("chances"), F.sum("w").alias("seen"), F.sum("t").alias("titles"),
-    )
-    total = streams.select("host").distinct().count()
-    chosen = per.where(
-        (F.col("hosts") >= max(LEAST_HOSTS, HOST_SHARE * total)) & ((F.col("fixed_on") >= LEAST_HOSTS) | ((F.col("fixed_on") == 2) & (F.col("again") >= SURE * F.col("chances"))))
-        & (F.col("again") >= RECURS * F.col("chances")) & (F.col("titles") <= F.when(F.col("token").endswith("…"), LABEL_TITLE_SHARE).otherwise(TITLE_SHARE) * F.col("seen"))
-    )
-    return {r[0] for r in chosen.select("token").collect()}
+        F.sum(F.col("n") - 1).alias("chances"), F.sum("w").alias("seen"), F.sum("t").alias("titles"), F.sum("rep").alias("rep"), F.max("label").alias("label"),
+    ).where(
+        (F.col("hosts") >= LEAST_HOSTS) & ((F.col("fixed_on") >= LEAST_HOSTS) | ((F.col("fixed_on") == 2) & (F.col("again") >= SURE * F.col("chances"))))
+        & (F.col("again") >= RECURS * F.col("chances")) & titled(TITLE_SHARE) & (F.col("rep") * 2 <= F.col("seen"))
+    ).select("token")
+    own = per_host.where(
+        (F.col("w") >= LEAST_PAGES) & (F.col("w") - 1 >= RECURS * (F.col("n") - 1)) & (F.col("rep") * 2 <= F.col("w")) & ~F.col("label") & (F.col("t") <= TITLE_SHARE * F.col("w"))
+    ).select("host", "token", F.lit(True).alias("own"))
+    # a token can be in most parts: its one row is repeated for every salt
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("shared", F.lit(True))
+    marked = nodes.withColumn("salt", F.pmod(F.xxhash64("host", "part"), F.lit(SALTS)).cast("int")).join(salted, ["token", "salt"], "left")
+    marked = marked.join(own, ["host", "token"], "left").where("shared or own")
+    return marked.select("host", "part", "place", "token", F.coalesce("shared", F.lit(False)).alias("shared"))
 
 
 # --- reading pages ---------------------------------------------------------------------------------
 
 
-def boilerplate_lines(text: str, known: set[str]) -> list[int]:
-    """Numbers of the boilerplate lines of one text; none if it is not a page."""
-    lines = read_lines(text)
-    n = len(lines)
-    fixed = [False] * n
-    marks: set[str] = set()
-    for i, x in enumerate(lines):
-        fixed[i] = x.script or is_template(x, known)
-        if fixed[i] and not x.script:
-            marks.add(x.token)
+def boilerplate_lines(data: bytes, wrapper: list[int], shared: set[int]) -> list[int]:
+    """Numbers of the boilerplate lines of one page.
+
+    ``wrapper`` has the fixed and optional nodes of the host's wrapper in order, ``shared`` those that
+    several hosts have.  A token that only the host has must stand at its place.
+    """
+    lines, tokens = unpacked(data)
+    flags = lines["flags"].tolist()
+    no = lines["no"].tolist()
+    n = len(flags)
+    by_line: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    order = []
+    for line, kind, h in tokens.tolist():
+        by_line[line].append((kind, h))
+        if kind != SLOT:
+            order.append(h)
+    known = set(shared)
+    if len(wrapper) > len(shared):
+        stream = list(dict.fromkeys(order))
+        known.update(stream[i] for i, _ in matches(stream, wrapper))
+    fixed = [bool(f & SCRIPT) or is_fixed(by_line[i], f, known) for i, f in enumerate(flags)]
+    marks = {by_line[i][0][1] for i in range(n) if fixed[i] and not flags[i] & SCRIPT}
+    out = [no[i] for i in range(n) if fixed[i]]
     if len(marks) < 2:
-        return []
-    prose = [i for i, x in enumerate(lines) if x.prose and not fixed[i]]
-    if not prose or (len(prose) == 1 and lines[prose[0]].prose == 1 and len(lines[prose[0]].text) < 60):
-        return [x.no for x in lines]
+        return out  # too little of a page to read the rest by place
+    prose = [i for i in range(n) if flags[i] & (CLAUSE | SENTENCES) and not fixed[i]]
+    if not prose or (len(prose) == 1 and flags[prose[0]] & CLAUSE and flags[prose[0]] & SHORT):
+        return no
     first, last = prose[0], prose[-1]
-    out = []
     # the headline right before the text, unless it stands in a block of headlines
-    title = -1 if any(x.heading for x in lines[:first]) else next((i for i in range(first - 1, -1, -1) if not fixed[i] and not lines[i].anchors), -1)
-    if title > 0 and lines[title - 1].bullet in _LEADS and not fixed[title - 1]:
+    title = -1 if any(f & HEADING for f in flags[:first]) else next((i for i in range(first - 1, -1, -1) if not fixed[i] and not flags[i] & ANCHORS), -1)
+    if title > 0 and flags[title - 1] & LEADS and not fixed[title - 1]:
         title = -1
-    for i, x in enumerate(lines):
-        if fixed[i]:
-            out.append(x.no)
-        elif x.prose or x.heading:
+    for i, f in enumerate(flags):
+        if fixed[i] or f & (CLAUSE | SENTENCES | HEADING):
             continue
-        elif i > last or (i < first and i != title):
-            out.append(x.no)
-        elif i > first and x.bullet not in _ITEM:
-            out.append(x.no)  # a headline between paragraphs leads elsewhere
-    return out
+        # a headline between paragraphs leads elsewhere
+        if i > last or (i < first and i != title) or (i > first and not f & ITEM):
+            out.append(no[i])
+    return sorted(out)
 
 
-def is_template(x: Line, known: set[str]) -> bool:
-    whole = x.masked
-    if whole is None:
-        return False
-    if whole in known:
+def is_fixed(tokens: list[tuple[int, int]], flags: int, known: set[int]) -> bool:
+    if tokens[0][1] in known:
         return True
-    if x.prose == 2:
+    if flags & SENTENCES:
         return False
-    parts = parts_of(whole)
-    if len(parts) > 1:
-        hits = sum(p in known for p in parts)
-        if hits == len(parts) or (hits >= 1 and parts[0] in known and ("»" in whole or ">" in whole) and len(parts) <= 4) or hits * 3 >= 2 * len(parts):
-            return True
-    return slot_form(whole) in known or label_form(whole) in known
+    bar = [h in known for kind, h in tokens if kind == PART_OF]
+    hits = sum(bar)
+    if hits and (hits * 3 >= 2 * len(bar) or (bar[0] and flags & ARROW and len(bar) <= 4)):
+        return True
+    return any(h in known for kind, h in tokens if kind in (LABEL, SLOT))
+
+
+def page_lines(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
+    """(key, text_hash, lines): boilerplate line numbers of every record that has some."""
+    url = F.lit(None).cast("string") if url is None else url
+    kind = dict(df.dtypes)[key]
+    pages = stored(read_pages(df, key, text, url), "pages")
+    groups = stored(grouped_pages(pages), "groups")
+    nodes = stored(part_nodes(groups), "nodes")
+    fixed = fixed_nodes(nodes).groupBy("host", "part").agg(F.array_sort(F.collect_list(F.struct("place", "token", "shared"))).alias("f"))  # nodes of one part
+    joined = groups.join(fixed, ["host", "part"], "left")
+
+    def make():
+        def one(keys, hashes, feats, tokens, in_all):
+            wrapper = tokens or []
+            shared = {t for t, s in zip(wrapper, in_all or []) if s}
+            for k, h, data in zip(keys, hashes, feats):
+                if lines := boilerplate_lines(data, wrapper, shared):
+                    yield k, h, lines
+
+        return one
+
+    return map_rows(joined.select(F.col("p.key"), F.col("p.text_hash"), F.col("p.feat"), F.col("f.token"), F.col("f.shared")), make, f"{key} {kind}, text_hash bigint, lines array<int>")
 
 
-def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", url=None, known: set[str] | None = None) -> DataFrame:
+def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
     """(key, line_no) of every boilerplate line, distinct.
 
     Lines are counted from 0 and lines without content never come out.  NULL and empty texts and texts
     that are no page give no rows; a page without an article gives all its lines.  Repeated rows fold.
     """
-    known = templates(df, key, text, url) if known is None else known
-    kind = dict(df.dtypes)[key]
-
-    def make():
-        return lambda k, t: [(k, n) for n in boilerplate_lines(t, known)]
+    rows = page_lines(df.where(F.col(key).isNotNull()), key, text, url)
+    return rows.select(key, F.explode("lines").alias("line_no")).distinct()
 
-    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(key).isNotNull()).select(key, text)
-    return map_rows(rows, make, f"{key} {kind}, line_no int").distinct()
 
-
-def main_body(df: DataFrame, key: str = "doc_id", text: str = "text", url=None, known: set[str] | None = None) -> DataFrame:
-    """``df`` with ``body``: the text without its boilerplate lines, the others unchanged."""
-    known = templates(df, key, text, url) if known is None else known
+def main_body(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
+    """``df`` with ``body``: the text without its boilerplate lines, the others unchanged; NULL stays NULL."""
+    found = page_lines(df, key, text, url).groupBy("text_hash", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).agg(F.min("lines").alias("lines"))
 
     @F.pandas_udf("string")
-    def body(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            gone = set(boilerplate_lines(t, known))
+    def body(texts: pd.Series, lines: pd.Series) -> pd.Series:
+        def one(t, gone):
+            if t is None or gone is None:
+                return t
+            gone = set(gone)
             return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
 
-        return texts.map(one, na_action="ignore")
+        return pd.Series([one(t, g) for t, g in zip(texts, lines)], index=texts.index, dtype=object)
+
+    extra = "boilerplate"
+    while extra in df.columns:
+        extra += "_"
+    rows = df.withColumn(extra, F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k")))
+    found = found.select(F.struct(F.col("text_hash").alias("h"), F.col("key").alias("k")).alias(extra), F.col("lines").alias(extra + "lines"))
+    return rows.join(found, extra, "left").select(*df.columns, body(F.col(text), F.col(extra + "lines")).alias("body"))
+
+
+def expressions(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
+    """(host, part, pages, expression): the wrapper of every part of every host as text, distinct pages only."""
+    url = F.lit(None).cast("string") if url is None else url
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("k"), F.col(text).alias("t"), url.alias("u"))
+
+    def read():
+        def one(k, t, u):
+            if host := host_of(u, t):
+                yield host, token_hash(f"{k}\n{t}"), [x.token for x in read_lines(t) if not x.script]
+
+        return one
+
+    def make():
+        def one(host, part, pages):
+            wrapper = Wrapper()
+            for tokens in sorted({tuple(x) for x in pages}):
+                wrapper = wrapper.align(Wrapper.of(list(tokens)))
+            yield host, part, wrapper.pages, expression(wrapper)
+
+        return one
 
-    return df.withColumn("body", body(text))
+    pages = stored(map_rows(rows, read, "host string, page bigint, tokens array<string>"), "streams")
+    parts = with_parts(pages).groupBy("host", "part").agg(F.collect_list("tokens").alias("p"))
+    return map_rows(parts, make, "host string, part bigint, pages int, expression string")
