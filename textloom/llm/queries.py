@@ -43,6 +43,28 @@ def p2_statistics(spark, d):
     return rows.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in rows.dtypes])
 
 
+@query
+def p2_counts(spark, d):
+    """Characters, words and lines of every record, from the same counts."""
+    return textstats.statistics(table(spark, d, "raw_documents")).select("doc_id", "n_chars", "n_words", "n_lines").distinct()
+
+
+_VISIBLE = r"""nfc_normalize(regexp_replace(regexp_replace(regexp_replace(text, '(?is)<script\b[^<>]*>.*?</script\s*>|<style\b[^<>]*>.*?</style\s*>|<!--.*?-->', E'\n\n', 'g'),
+    '</?[a-zA-Z][^<>]*>', E'\n\n', 'g'), '[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'))"""
+_HAN = r"[\x{3040}-\x{30ff}\x{3400}-\x{9fff}]"
+SQL["p2_counts"] = rf"""WITH v AS (SELECT doc_id, {_VISIBLE} AS t FROM raw_documents WHERE text IS NOT NULL),
+  w AS (SELECT doc_id, t, len(regexp_extract_all(t, '{_HAN}')) AS han, regexp_replace(t, '{_HAN}', '.', 'g') AS spaced FROM v)
+  SELECT DISTINCT doc_id, length(regexp_replace(t, '[\p{{Z}}\p{{Cc}}]', '', 'g'))::BIGINT AS n_chars,
+    (len(regexp_extract_all(spaced, '[\p{{L}}\p{{M}}\p{{N}}\p{{Cf}}]+')) + han)::BIGINT AS n_words, len(regexp_extract_all(t || E'\n', '[^\n]\n'))::BIGINT AS n_lines FROM w"""
+
+
+@query
+def p2_chunked(spark, d):
+    """Verdicts with chunks of 256 characters, which most records exceed: the same as ``p2_found`` gives."""
+    rows = textstats.statistics(table(spark, d, "raw_documents").where("text <> ''"), chunk=256)
+    return rows.select("doc_id", "n_words", "n_prose", "natural", "rule").distinct()
+
+
 @query
 def p3_found(spark, d):
     return containers.cut_documents(containers.assignment(table(spark, d, "tokenized_records")))

@@ -1,19 +1,21 @@
 """Problem 2: text statistics of every document and a verdict on whether it is natural text.
 
-A text is cut into chunks; a chunk gives partial counts that add up, plus the state at both ends: the
-stretch before its first and after its last break, whether its ends lie inside a word and whether it
-ends on a mark that closes a sentence if a space follows.  Joining two chunks adds the counts and
-corrects the border from these states, so the result does not depend on where the text was cut.
-Chunks of one text are merged in a tree, ``FAN`` neighbours at a time; ratios and rules come last.
+A text without its markup is cut into chunks.  A chunk is counted with ``LEFT`` characters before and
+``RIGHT`` after it in sight, which settles everything that depends on neighbours: words, ends of sentences,
+wrapped lines, code lines.  It gives partial counts that add up, plus the state at both ends: the stretch
+before its first and after its last break, with its counts and content hash, and what closes it.  Joining two
+chunks adds the counts and closes the stretch at the border, so all counts are the same wherever the text was
+cut.  Chunks of one text are merged in a tree, ``FAN`` neighbours at a time; ratios and rules come last.
 
 A *stretch* is the text between breaks: ends of sentences, blank lines, the starts of list items and
-markup.  Stretches that read like a sentence or clause make a text natural; items, cells, log lines and
-symbol runs do not.
+markup.  Stretches that read like a sentence or clause make a text natural; items, cells, log lines, encoded
+data and symbol runs do not.  A line counts as wrapped only up to ``WIDEST`` characters.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_rows
+from .lookalikes import tables
 
-CHUNK = 1 << 16
+CHUNK, WIDEST = 1 << 16, 2000
+LEFT, RIGHT = WIDEST + 48, 80  # context in sight of a chunk
 FAN, LEVELS = 64, 3  # 64 ** 3 chunks of 65,536 characters: more than a string can hold
+REGISTERS = 64  # of the sketch that counts different stretches
 
 # Frequent function words.
 COMMON = {
@@ -31,13 +36,27 @@ COMMON = {
     "vi": "và của là các những trong được có cho với không một đã bị khi vào ra như sau trên dù mà".split(),
     "de": "der die das und ist in den von zu mit sich auf des dem ein eine nicht auch bei nach im".split(),
     "fr": "le la les de des et est un une du en que qui dans pour sur avec au ce ne pas par".split(),
-    "es": "el la los las de y en que un una es por con para del se no su al lo como sin".split(),
+    "es": "el la los las de en que un una es por con para del se no su al lo como sin".split(),
     "ru": "и в не на что с по как из к за от для это при до у же но о".split(),
-    "el": "ο η το και να τα την του με για που από σε τη των τον στο είναι οι της όλη".split(),
+    "el": "το και να τα την του με για που από σε τη των τον στο είναι οι της όλη".split(),
     "ar": "في من على أن إلى عن هذا التي مع ما هو لا قبل بعد كما كان أو دون".split(),
     "hi": "के का की है में से को और पर यह ने हैं कि तक एक नहीं करता लिए बिना".split(),
 }
 
+# Articles, prepositions and conjunctions of two letters and more that end no sentence.
+OPEN_ENDS = {
+    "en": "the of and to that with by from which are be or an its".split(),
+    "vi": "và của các những với".split(),
+    "de": "der die das und den von des dem ein eine im".split(),
+    "fr": "le la les de des et un une du que dans pour sur avec au".split(),
+    "es": "el la los las de en que un una por con del se al lo".split(),
+    "ru": "на по из от для или".split(),
+    "el": "το και να τα την του με για από σε τη των τον στο οι της".split(),
+    "ar": "في من على أن إلى عن أو دون".split(),
+    "hi": "के का की को और".split(),
+}
+
+
 SPACE, BREAK, LETTER, MARK, DIGIT, HAN, STOP, CLOSER, BULLET, DAMAGED, PUNCT, SYMBOL = range(12)
 
 
@@ -59,150 +78,289 @@ def classes() -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
-def _common_hashes() -> np.ndarray:
-    return np.unique(np.array([_word_hash(w) for words in COMMON.values() for w in words], dtype=np.uint64))
+@lru_cache(maxsize=2)
+def _word_hashes(which: str) -> np.ndarray:
+    lists = COMMON if which == "common" else OPEN_ENDS
+    return np.unique(np.array([_word_hash(w) for words in lists.values() for w in words], dtype=np.uint64))
+
 
+_P = 1099511628211
 
-_POW = np.array([pow(1099511628211, i, 1 << 64) for i in range(64)], dtype=np.uint64)
+
+@lru_cache(maxsize=8)
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, _P, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
 def _word_hash(word: str) -> int:
-    return sum(ord(c) * int(_POW[min(i, 63)]) for i, c in enumerate(word)) % (1 << 64)
+    return sum(_fold(ord(c)) * pow(_P, min(i, 63), 1 << 64) for i, c in enumerate(word)) % (1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _fold_table() -> np.ndarray:
+    """Small letters, and one letter for those of one shape."""
+    shapes = tables()["to_shape"]
+    out = np.arange(0x20000, dtype=np.uint32)
+    for o in range(0x20000):
+        low = chr(o).lower()
+        low = shapes.get(ord(low), low) if len(low) == 1 else chr(o)
+        if len(low) == 1:
+            out[o] = ord(low)
+    return out
+
+
+def _fold(o: int) -> int:
+    return int(_fold_table()[min(o, 0x1FFFF)])
+
+
+@lru_cache(maxsize=1)
+def _small_table() -> np.ndarray:
+    return np.array([chr(o).islower() for o in range(0x20000)], dtype=bool)
+
+
+# --- cleaning and cutting ----------------------------------------------------------------------------
+
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*>")
+_OPENS = re.compile(r"<(?:(script|style)\b[^<>]*>|!--)", re.I)
+_IGNORED = re.compile("[­​-‏⁠﻿]")
+
+
+def cleaned(text: str) -> str:
+    """Text in composed form without ignorable characters, markup as blank lines, ending in a line break."""
+    if "<" in text:
+        out, at = [], 0
+        closers = {k: re.compile(re.escape(k) if k == "-->" else rf"</{k}\s*>", re.I) for k in ("script", "style", "-->")}
+        while m := _OPENS.search(text, at):
+            kind = (m.group(1) or "-->").lower()
+            end = closers[kind].search(text, m.end()) if closers[kind] else None
+            if end is None:
+                closers[kind] = None  # no later one is closed either
+            out += [text[at: m.start()], "\n\n"] if end else [text[at: m.end()]]
+            at = end.end() if end else m.end()
+        text = _TAG.sub("\n\n", "".join([*out, text[at:]]))
+    if not text.isascii():
+        if _IGNORED.search(text):
+            text = _IGNORED.sub("", text)
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+    return text + "\n"
+
+
+def cut_text(text: str, size: int = CHUNK):
+    """Ranges of at most ``size`` characters, cut after a line if one ends in the second half, else after white space.
+
+    A token without white space is cut only where it is longer than ``size``.
+    """
+    size = max(size, 64)
+    at = 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            found = text.rfind("\n", at + size // 2, end)
+            if found < 0:
+                found = next((i for i in range(end - 1, at, -1) if text[i].isspace()), -1)
+            if found >= 0:
+                end = found + 1
+        yield at, min(end, len(text))
+        at = end
 
 
-MARKUP = re.compile(r"<(script|style)\b[^>]*>.*?</\1>|</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
+# --- counting chunks -----------------------------------------------------------------------------------
 
-FIELDS = ("chars", "words", "letters", "digits", "symbols", "han", "common", "damaged")
-COUNTS = ("n_chars", "n_words", "n_letters", "n_digits", "n_symbols", "n_han", "n_common", "n_damaged", "n_lines", "n_stop_lines", "n_clauses", "n_prose", "prose_chars", "n_pairs", "n_code")
-# two stretches of eight counts each, then flags
-STATE = (*COUNTS, *(f"head_{f}" for f in FIELDS), *(f"tail_{f}" for f in FIELDS), "whole", "starts_word", "ends_word", "starts_space", "ends_stop")
+FIELDS = ("chars", "words", "letters", "digits", "symbols", "han", "common", "damaged", "blanks")
+NF = len(FIELDS)
+COUNTS = (*(f"n_{f}" for f in FIELDS), "n_lines", "n_stop_lines", "n_code", "n_stretches", "n_stopped", "n_open", "n_prose", "prose_chars", "n_pairs")
+NC = len(COUNTS)
+LINES, STOP_LINES, CODE, STRETCHES, STOPPED, OPEN, PROSE, PROSE_CHARS, PAIRS = range(NF, NC)
+# the stretches at both ends: counts and content hash; flags of the whole; what closes the head and how both start; the inner stretches next to them
+HEAD, TAIL = NC, NC + NF + 1
+WHOLE, HEAD_END, HEAD_START, TAIL_START, INNER, FIRST_PROSE, LAST_STOPPED = range(TAIL + NF + 1, TAIL + NF + 8)
+SKETCH = LAST_STOPPED + 1
+STATE_SIZE = SKETCH + REGISTERS
+IS_STOP, IS_WIDE, IS_NUMBERED, IS_OPEN, ENDS_LINE = 1, 2, 4, 8, 16  # what closes a stretch
 
 LEAST_WORDS, LEAST_HAN, CLAUSE_WORDS, CLAUSE_HAN, MOST_CLAUSE = 6, 9, 9, 15, 40
 
 
-def is_prose(s: np.ndarray, stopped: np.ndarray) -> np.ndarray:
-    """Which stretches (rows of eight counts) read like running text."""
-    chars, words, letters, digits, symbols, han, common, damaged = s.T
+def sentence_like(s: np.ndarray, ends: np.ndarray, starts_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which stretches (rows of ``FIELDS``) read like running text, and which of them a sentence end closes."""
+    chars, words, letters, digits, symbols, han, common, damaged, blanks = s.T
     size = np.maximum(chars, 1)
-    readable = (letters + han >= 0.55 * size) & (damaged * 20 <= size) & (symbols * 5 <= size) & (digits * 4 <= size)
-    spaced = readable & (words <= np.where(stopped, 120, MOST_CLAUSE)) & (letters >= 2.2 * words)
-    long_enough = np.where(stopped, words >= LEAST_WORDS, words >= CLAUSE_WORDS)
-    dense = readable & (han * 2 >= size) & np.where(stopped, han >= LEAST_HAN, han >= CLAUSE_HAN) & (han <= np.where(stopped, 400, 3 * MOST_CLAUSE))
-    return (spaced & long_enough) | dense
+    dense = (han * 2 >= size) & (han > 0)
+    # in text without spaces a full stop of the Latin script ends no sentence
+    stopped = (ends & IS_STOP > 0) & (~dense | (ends & IS_WIDE > 0))
+    readable = (letters + han >= 0.55 * size) & (damaged * 20 <= size) & (symbols * 5 <= size)
+    spaced = readable & (digits * 4 <= size) & (words <= np.where(stopped, 120, MOST_CLAUSE)) & (letters >= 2.2 * words) & (letters <= 14 * words) & (blanks * 2 >= words - 1)
+    # a line of its own needs as many words as a clause, so that questions in lists of links are none
+    alone = starts_line & (ends & ENDS_LINE > 0)
+    spaced &= np.where(stopped & ~alone, words >= LEAST_WORDS, words >= CLAUSE_WORDS)
+    dense &= readable & (digits * 3 <= size) & np.where(stopped, han >= LEAST_HAN, han >= CLAUSE_HAN) & (han <= np.where(stopped, 400, 3 * MOST_CLAUSE)) & (blanks * 6 <= han)
+    # headlines end in a year in brackets, clauses do not
+    return (spaced | dense) & (stopped | (ends & IS_NUMBERED == 0)), stopped
+
 
+_CODE = re.compile(r"^[^\S\n]*(?://|#include|/\*|--|(?:def|fn|func|pub|return|for|if|while|class|import|const|export|SELECT|FROM|WHERE|GROUP BY|let|var|static|int)\b)", re.M)
 
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?://|#include|/\*|--)|^\s*(?:def|fn|func|pub|return|for|if|while|class|import|const|export|SELECT|FROM|WHERE|GROUP BY|let|var|static|int)\b.*[(){}:;=]?", re.M)
+
+def _shift(x: np.ndarray, by: int, fill) -> np.ndarray:
+    """``x`` seen ``by`` places later (earlier if negative)."""
+    out = np.full_like(x, fill)
+    if by > 0:
+        out[:-by] = x[by:]
+    else:
+        out[-by:] = x[:by]
+    return out
 
 
-def partials(texts: list[str]) -> np.ndarray:
-    """One row of ``STATE`` for every chunk text.  All chunks of a batch are counted together."""
-    clean = [MARKUP.sub("\n\n", t) if "<" in t else t for t in texts]
-    raw = np.frombuffer("\n\n".join(clean).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0\n\0\0\0", dtype="<u4")
+def partials(pieces: list[tuple[str, int, int]]) -> np.ndarray:
+    """One state for every piece (text, from, to) of cleaned texts.  All pieces of a call are counted together."""
+    seen = [t[max(0, a - LEFT): b + RIGHT] for t, a, b in pieces]
+    joined = "\n\n".join(seen) + "\n\n"
+    # what is left out of sight on the left is no line start
+    size = np.array([len(t) for t in seen], dtype=np.int64)
+    begin = np.concatenate(([0], np.cumsum(size + 2)[:-1]))
+    start = begin + np.array([min(a, LEFT) for _, a, _ in pieces], dtype=np.int64)
+    end = start + np.array([b - a for _, a, b in pieces], dtype=np.int64)
+    clipped = begin[np.array([a > LEFT for _, a, _ in pieces], dtype=bool)]
+    raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     code = np.minimum(raw, 0x1FFFF)
-    lens = np.array([len(t) for t in clean], dtype=np.int64)
-    start = np.concatenate(([0], np.cumsum(lens + 2)[:-1]))
-    end = start + lens
     n = len(code)
     k = classes()[code]
-    after = np.concatenate((k[1:], [BREAK]))
-    second = np.concatenate((k[2:], [BREAK, BREAK]))
-    before = np.concatenate(([BREAK], k[:-1]))
-    blank = (k == SPACE) | (k == BREAK)
+    after, second, before = _shift(k, 1, BREAK), _shift(k, 2, BREAK), _shift(k, -1, BREAK)
+    before[clipped] = SPACE
+    code_1, code_2, code_3, code_before = _shift(code, 1, 10), _shift(code, 2, 10), _shift(code, 3, 10), _shift(code, -1, 10)
+    is_break = k == BREAK
+    blank = (k == SPACE) | is_break
     wordy = (k == LETTER) | (k == MARK) | (k == DIGIT)
     word_start = wordy & ~((before == LETTER) | (before == MARK) | (before == DIGIT))
     han = k == HAN
     gap_after = (after == SPACE) | (after == BREAK)
     closed = (after == CLOSER) & ((second == SPACE) | (second == BREAK) | (second == HAN))
-    wide_stop = np.isin(code, [ord(c) for c in "。！？।؟．"])
+    wide_stop = np.isin(code, [ord(c) for c in "。！？।؟…．"])
     stop = (k == STOP) & (gap_after | closed | wide_stop)
-    numbered = (after == DIGIT) & ((np.concatenate((code[2:], [0, 0])) == 46) | (np.concatenate((code[2:], [0, 0])) == 41) | (np.concatenate((code[3:], [0, 0, 0])) == 46) | (np.concatenate((code[3:], [0, 0, 0])) == 41))
+    # lines
+    at = np.flatnonzero(is_break)
+    line_start = np.concatenate(([0], at[:-1] + 1))
+    width = at - line_start
+    known = (width <= WIDEST) & ~np.isin(line_start, clipped)
+    per_line = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)[at])))
     # the next line begins with a bullet, a number or nothing; or the line so far is short
-    line_no = np.cumsum(k == BREAK)
-    hard = (k == BREAK) & ((after == BREAK) | (after == BULLET) | numbered)
-    code_before = np.concatenate(([10], code[:-1]))
-    after_code = np.concatenate((code[1:], [10]))
-    small_after = _small_table()[after_code]
-    # a line that ends well before the usual width of its neighbours is not wrapped
-    at = np.flatnonzero(k == BREAK)
-    width = np.diff(np.concatenate(([-1], at)))
+    numbered = (after == DIGIT) & ((code_2 == 46) | (code_2 == 41) | (code_3 == 46) | (code_3 == 41))
+    hard = is_break & ((after == BREAK) | (after == BULLET) | numbered)
     wrapped = np.zeros(n, dtype=bool)
-    wrapped[at] = (width >= 45) & (width <= 140)
-    wide = np.zeros(n, dtype=bool)
-    wide[at] = width >= 16
+    wrapped[at] = known & (width >= 45) & (width <= 140)
     # a sentence goes on where a small letter, or in scripts without spaces another character, comes next
     # and the line is words with spaces, no row of cells
-    per_line = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)[at])))
-    gaps, cells, numerals = per_line(k == SPACE), per_line(np.isin(code, [44, 59, 124, 9])), per_line(k == DIGIT)
+    gaps, cells, numerals, hans = per_line(k == SPACE), per_line(np.isin(code, [44, 59, 124, 9])), per_line(k == DIGIT), per_line(han)
     text_line = np.zeros(n, dtype=bool)
-    text_line[at] = ((gaps >= 3) & (cells * 4 <= gaps) & (numerals * 8 <= width)) | (per_line(k == HAN) * 2 >= width)
-    goes_on = (k == BREAK) & text_line & (((before == LETTER) | (code_before == 44)) & small_after | ((before == HAN) & (after == HAN) & wide))
-    wrapped |= goes_on
-    hard |= (k == BREAK) & ~wrapped
-    cut = hard | stop
-    cut[end] = True  # chunk ends; the end states below undo them
-    bounds = np.flatnonzero(cut)
-    seg_start = np.concatenate(([0], bounds[:-1] + 1))
-    # word hashes
+    text_line[at] = known & (((gaps >= 3) & (cells * 4 <= gaps) & (numerals * 8 <= width)) | (hans * 2 >= width))
+    wide = np.zeros(n, dtype=bool)
+    wide[at] = known & (width >= 16)
+    small_after = _small_table()[code_1]
+    wrapped |= is_break & text_line & (((before == LETTER) | (code_before == 44)) & small_after | ((before == HAN) & (after == HAN) & wide))
+    hard |= is_break & ~wrapped
+    # code lines: how they begin or the last mark in them
+    last_mark = np.maximum.accumulate(np.where(blank, 0, np.arange(n)))[at]
+    code_line = known & (last_mark >= line_start) & np.isin(code[last_mark], [59, 123, 125])
+    if starts := [m.start() for m in _CODE.finditer(joined)]:
+        code_line |= known & np.isin(line_start, starts)
+    is_code = np.zeros(n, dtype=bool)
+    is_code[at] = code_line
+    # words
     ws = np.flatnonzero(word_start)
-    is_common = np.zeros(n, dtype=np.int64)
+    is_common, last_open = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     if len(ws):
-        lower = _lower(code)
         pos = np.arange(n) - np.maximum.accumulate(np.where(word_start, np.arange(n), 0))
-        term = np.where(wordy, lower.astype(np.uint64) * _POW[np.minimum(pos, 63)], np.uint64(0))
+        term = np.where(wordy, _fold_table()[code].astype(np.uint64) * _powers(64)[np.minimum(pos, 63)], np.uint64(0))
         h = np.add.reduceat(term, ws)
-        keys = _common_hashes()
-        where = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        is_common[ws] = keys[where] == h
-    per_char = (~blank, word_start, (k == LETTER) | (k == MARK), k == DIGIT, (k == SYMBOL) | (k == BULLET), han, is_common, k == DAMAGED)
-    sums = [np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in per_char]
-    stretch = np.stack([c[bounds + 1] - c[seg_start] for c in sums], axis=1)
-    stopped = stop[bounds]
-    # headlines end in a year in brackets, clauses do not
-    numbered_end = (before[bounds] == CLOSER) & (np.concatenate(([BREAK, BREAK], k[:-2]))[bounds] == DIGIT)
-    # in text without spaces a full stop of the Latin script ends no sentence
-    stopped &= ~((stretch[:, 5] * 2 >= stretch[:, 0]) & (stretch[:, 5] > 0)) | wide_stop[bounds] | (code[bounds] == 0x2026)
-    prose = is_prose(stretch, stopped) & (stopped | ~numbered_end)
-    owner = np.searchsorted(start, bounds, side="right") - 1
-    first = np.searchsorted(bounds, start)
-    last = np.searchsorted(bounds, end)
-    out = np.zeros((len(texts), len(STATE)), dtype=np.int64)
-    for j, c in enumerate(sums):
+        for which, out in (("common", is_common), ("open", last_open)):
+            keys = _word_hashes(which)
+            out[ws] = keys[np.minimum(np.searchsorted(keys, h), len(keys) - 1)] == h
+    # stretches
+    cut = hard | stop
+    body = np.zeros(n + 1, dtype=np.int64)
+    body[start] += 1
+    np.add.at(body, end, -1)
+    bounds = np.flatnonzero(cut & (np.cumsum(body[:-1]) > 0))
+    # the word before a cut, if it is the last thing before it
+    word_at = np.maximum.accumulate(np.where(word_start, np.arange(n), 0))[bounds]
+    flags = (stop[bounds] * IS_STOP + wide_stop[bounds] * IS_WIDE + ((before[bounds] == CLOSER) & (_shift(k, -2, BREAK)[bounds] == DIGIT)) * IS_NUMBERED
+             + (last_open[word_at] & wordy[np.maximum(bounds - 1, 0)]) * IS_OPEN + (is_break[bounds] | (stop[bounds] & (after[bounds] == BREAK))) * ENDS_LINE).astype(np.int64)
+    per_char = (~blank, word_start, (k == LETTER) | (k == MARK), k == DIGIT, (k == SYMBOL) | (k == BULLET), han, is_common, k == DAMAGED, blank & ~cut)
+    sums = np.stack([np.concatenate(([0], np.cumsum(x, dtype=np.int64))) for x in per_char])
+    # content hashes: characters weighted by their place among the visible ones
+    visible = np.where(blank, np.uint64(0), code.astype(np.uint64) + np.uint64(7))
+    inside = sums[0][:-1]
+    out = np.zeros((len(pieces), STATE_SIZE), dtype=np.int64)
+    out[:, :NF] = (sums[:, end] - sums[:, start]).T
+    for j, x in ((LINES, is_break & (before != BREAK)), (STOP_LINES, is_break & (before == STOP)), (CODE, is_code)):
+        c = np.concatenate(([0], np.cumsum(x, dtype=np.int64)))
         out[:, j] = c[end] - c[start]
-    stops_line = np.concatenate(([0], np.cumsum((k == BREAK) & (before == STOP), dtype=np.int64)))
-    full_line = np.concatenate(([0], np.cumsum((k == BREAK) & (before != BREAK), dtype=np.int64)))
-    out[:, 8] = full_line[end + 1] - full_line[start]
-    out[:, 9] = stops_line[end + 1] - stops_line[start]
-    # head and tail stretches are left out of the sums here: they may go on in the neighbour
-    # two sentences side by side; chunks end at blank lines, over which no pair goes
-    pair = np.zeros(len(bounds) + 1, dtype=np.int64)
-    pair[2:] = np.cumsum(prose[1:] & prose[:-1] & stopped[:-1])
-    # list items that are clauses: one line each
-    breaks = np.concatenate(([0], np.cumsum(k == BREAK)))
-    clause = np.concatenate(([0], np.cumsum(prose & ~stopped & (breaks[bounds] == breaks[seg_start]) & (k[bounds] == BREAK))))
-    for i in range(len(texts)):
-        a, b = first[i], last[i]
-        out[i, 10] = clause[b + 1] - clause[a]
-        out[i, 13] = pair[b + 1] - pair[a + 1]
-        out[i, 15:23] = stretch[a]
-        out[i, 23:31] = stretch[b]
-        out[i, 31] = a == b
-        inner = slice(a + 1, b) if b > a else slice(a, a)
-        if b > a:
-            out[i, 11] = prose[inner].sum()
-            out[i, 12] = stretch[inner, 0][prose[inner]].sum()
-        out[i, 14] = len(_CODE.findall(clean[i]))
-    empty = lens == 0
-    s, e = np.minimum(start, n - 1), np.maximum(end - 1, 0)
-    out[:, 32] = wordy[s] & ~empty
-    out[:, 33] = wordy[e] & ~empty
-    out[:, 34] = blank[s] & ~empty
-    out[:, 35] = (k[e] == STOP) & ~empty
-    # whether the head stretch was closed by a sentence end is needed once it is complete
-    out[:, 31] += 2 * stopped[first]
+    begins_line = np.concatenate(([True], is_break[:-1]))
+    begins_line[clipped] = False
+    # stretches of all pieces in order; the first and last of a piece go on in its neighbours
+    many = np.searchsorted(bounds, end) - np.searchsorted(bounds, start) + 1
+    heads = np.cumsum(many) - many
+    tails = heads + many - 1
+    owner = np.repeat(np.arange(len(pieces)), many)
+    is_head, is_tail = np.zeros(len(owner), dtype=bool), np.zeros(len(owner), dtype=bool)
+    is_head[heads], is_tail[tails] = True, True
+    low, high, ends = np.zeros(len(owner), dtype=np.int64), np.zeros(len(owner), dtype=np.int64), np.zeros(len(owner), dtype=np.int64)
+    low[is_head], low[~is_head] = start, bounds + 1
+    high[is_tail], high[~is_tail], ends[~is_tail] = end, bounds + 1, flags
+    counts = (sums[:, high] - sums[:, low]).T
+    hashes = _hashes(visible, inside, low, high)
+    line = begins_line[np.minimum(low, n - 1)]
+    out[:, HEAD: HEAD + NF], out[:, HEAD + NF] = counts[heads], hashes[heads]
+    out[:, TAIL: TAIL + NF], out[:, TAIL + NF] = counts[tails], hashes[tails]
+    out[:, WHOLE], out[:, HEAD_END], out[:, HEAD_START], out[:, TAIL_START] = many == 1, ends[heads], line[heads], line[tails]
+    inner = ~is_head & ~is_tail
+    good, stopped = np.zeros(len(owner), dtype=bool), np.zeros(len(owner), dtype=bool)
+    good[inner], stopped[inner] = sentence_like(counts[inner], ends[inner], line[inner])
+    there = inner & (counts[:, 0] > 0)
+    pair = np.concatenate((good[1:] & good[:-1] & stopped[:-1] & (owner[1:] == owner[:-1]), [False]))
+    for j, x in ((STRETCHES, there), (STOPPED, there & stopped), (OPEN, there & stopped & (ends & IS_OPEN > 0)), (PROSE, good), (PROSE_CHARS, good * counts[:, 0]), (PAIRS, pair)):
+        out[:, j] = np.bincount(owner, x, len(pieces)).astype(np.int64)
+    some = many > 2
+    out[some, INNER], out[some, FIRST_PROSE] = 1, good[heads[some] + 1]
+    out[some, LAST_STOPPED] = good[tails[some] - 1] & stopped[tails[some] - 1]
+    _sketch(out, owner[there], hashes[there])
     return out
 
 
+def _hashes(visible: np.ndarray, inside: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Content hash of every stretch, as signed numbers.  ``inside`` is the place of a character among the visible ones."""
+    size = high - low
+    at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+    place = inside[at] - np.repeat(inside[np.minimum(low, len(inside) - 1)], size)
+    terms = visible[at] * _powers(1 << int(place.max(initial=0) + 1).bit_length())[place]
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(terms, dtype=np.uint64)))
+    ends = np.cumsum(size)
+    return (sums[ends] - sums[ends - size]).view(np.int64)
+
+
+def _sketch(out: np.ndarray, rows: np.ndarray, hashes: np.ndarray) -> None:
+    """Add stretches to the registers of rows: the longest run of leading zeros among those of a register."""
+    h = hashes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    register = (h >> np.uint64(58)).astype(np.int64)
+    rest = (h & np.uint64(0xFFFFFFFF)).astype(np.float64)
+    rank = 33 - np.frexp(rest)[1].astype(np.int64)
+    np.maximum.at(out, (rows, SKETCH + register), rank)
+
+
+def different(row: np.ndarray) -> float:
+    """About how many different stretches the registers saw."""
+    r = row[SKETCH:]
+    m = REGISTERS
+    estimate = 0.709 * m * m / np.sum(2.0 ** -r.astype(np.float64))
+    zeros = int((r == 0).sum())
+    return m * float(np.log(m / zeros)) if estimate <= 2.5 * m and zeros else float(estimate)
+
+
 def slices(texts: list[str], most: int = 4 * CHUNK):
     """Ranges of texts with about ``most`` characters, so that counting needs bounded memory."""
     a = size = 0
@@ -215,144 +373,140 @@ def slices(texts: list[str], most: int = 4 * CHUNK):
         yield a, len(texts)
 
 
-def cut_text(text: str, size: int = CHUNK):
-    """Parts of at most ``size`` characters, cut after a blank line if there is one, else a line, else a space."""
-    at = 0
-    while at < len(text):
-        end = at + size
-        if end < len(text):
-            for mark in ("\n\n", "\n", " "):
-                found = text.rfind(mark, at + size // 2, end)
-                if found >= 0:
-                    end = found + len(mark)
-                    break
-        yield text[at:end]
-        at = end
-
-
-def _lower(code: np.ndarray) -> np.ndarray:
-    return _lower_table()[code]
-
-
-@lru_cache(maxsize=1)
-def _small_table() -> np.ndarray:
-    return np.array([chr(o).islower() for o in range(0x20000)], dtype=bool)
+# --- merging -------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=1)
-def _lower_table() -> np.ndarray:
-    out = np.arange(0x20000, dtype=np.uint32)
-    for o in range(0x20000):
-        low = chr(o).lower()
-        if len(low) == 1:
-            out[o] = ord(low)
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Counts and content hash of two parts of one stretch."""
+    out = a + b
+    shift = pow(_P, int(a[0]), 1 << 64)
+    out[NF] = np.uint64((int(a[NF]) + shift * int(b[NF])) % (1 << 64)).view(np.int64)
     return out
 
 
-def _close(counts: np.ndarray, part: np.ndarray, stopped: bool) -> None:
-    """Count a stretch that is now complete."""
-    if is_prose(part[None, :], np.array([stopped]))[0]:
-        counts[11] += 1
-        counts[12] += part[0]
+def _close(row: np.ndarray, part: np.ndarray, ends: int, starts_line: int) -> tuple[bool, bool]:
+    """Count a stretch that is complete; gives whether it is prose and whether a sentence end closes it."""
+    good, stopped = (bool(x[0]) for x in sentence_like(part[None, :NF], np.array([ends]), np.array([bool(starts_line)])))
+    if part[0] > 0:
+        row[STRETCHES] += 1
+        row[STOPPED] += stopped
+        row[OPEN] += stopped and bool(ends & IS_OPEN)
+        _sketch(row[None, :], np.zeros(1, dtype=np.int64), part[NF: NF + 1])
+    row[PROSE] += good
+    row[PROSE_CHARS] += part[0] if good else 0
+    return good, stopped
 
 
 def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """State of the text whose left part has state ``a`` and right part ``b``."""
     out = a.copy()
-    out[:15] += b[:15]
-    joint = bool(a[33] and b[32])
-    if joint:
-        out[1] -= 1  # one word was counted on both sides
-    middle = a[23:31] + b[15:23]
-    if joint:
-        middle[1] -= 1
-    a_whole, b_whole = a[31] & 1, b[31] & 1
-    head, tail = a[15:23].copy(), b[23:31].copy()
-    ends_here = bool(a[35] and b[34])  # the mark at the border closes a sentence after all
-    head_stop = a[31] & 2
-    if ends_here and not a_whole:
-        _close(out, a[23:31], True)
-        middle = b[15:23].copy()
-    if a_whole and b_whole:
-        head = tail = a[15:23] + b[15:23] - (np.eye(8, dtype=np.int64)[1] if joint else 0)
-        head_stop = b[31] & 2
-    elif a_whole:
-        head, head_stop = middle, b[31] & 2
-    elif b_whole:
-        tail = middle
+    out[:NC] += b[:NC]
+    out[SKETCH:] = np.maximum(a[SKETCH:], b[SKETCH:])
+    middle = _join(a[TAIL: TAIL + NF + 1], b[HEAD: HEAD + NF + 1])
+    # a part that begins with the stretch takes over how it starts
+    start = a[TAIL_START]
+    if a[WHOLE] and b[WHOLE]:
+        out[HEAD: HEAD + NF + 1] = out[TAIL: TAIL + NF + 1] = middle
+    elif a[WHOLE]:
+        out[HEAD: HEAD + NF + 1], out[HEAD_END], out[WHOLE] = middle, b[HEAD_END], 0
+        out[TAIL: TAIL + NF + 1], out[TAIL_START] = b[TAIL: TAIL + NF + 1], b[TAIL_START]
+        out[INNER], out[FIRST_PROSE], out[LAST_STOPPED] = b[INNER], b[FIRST_PROSE], b[LAST_STOPPED]
+    elif b[WHOLE]:
+        out[TAIL: TAIL + NF + 1] = middle
     else:
-        _close(out, middle, bool(b[31] & 2))
-    out[15:23], out[23:31] = head, tail
-    out[31] = int(bool(a_whole and b_whole)) + head_stop
-    out[33], out[35] = b[33], b[35]
+        good, stopped = _close(out, middle, int(b[HEAD_END]), int(start))
+        out[PAIRS] += bool(a[INNER] and a[LAST_STOPPED] and good) + bool(b[INNER] and good and stopped and b[FIRST_PROSE])
+        out[FIRST_PROSE] = a[FIRST_PROSE] if a[INNER] else good
+        out[LAST_STOPPED] = b[LAST_STOPPED] if b[INNER] else good and stopped
+        out[INNER] = 1
+        out[TAIL: TAIL + NF + 1], out[TAIL_START] = b[TAIL: TAIL + NF + 1], b[TAIL_START]
     return out
 
 
 def finish(state: np.ndarray) -> np.ndarray:
-    """Counts of a whole text: the stretches at its two ends are complete now."""
+    """Counts of a whole text; its last stretch is empty, since it ends in a break."""
     out = state.copy()
-    _close(out, state[15:23], bool(state[31] & 2))
-    if not state[31] & 1:
-        _close(out, state[23:31], bool(state[35]))
-    return out[:15]
+    good, stopped = _close(out, state[HEAD: HEAD + NF + 1], int(state[HEAD_END]), int(state[HEAD_START]))
+    out[PAIRS] += bool(good and stopped and state[INNER] and state[FIRST_PROSE])
+    return out
+
+
+def whole_counts(texts: list[str]) -> list[np.ndarray]:
+    """Counts of whole texts."""
+    clean = [cleaned(t) for t in texts]
+    return [finish(s) for s in partials([(t, 0, len(t)) for t in clean])]
+
 
+# --- verdict -------------------------------------------------------------------------------------------
 
-RESULT = "n_chars bigint, n_words bigint, n_lines bigint, mean_word_len double, symbol_ratio double, digit_ratio double, stop_line_share double, common_share double, prose_share double, n_prose bigint, damaged_share double, natural boolean, rule string"
+RESULT = "n_chars bigint, n_words bigint, n_lines bigint, mean_word_len double, symbol_ratio double, digit_ratio double, stop_line_share double, common_share double, prose_share double, n_prose bigint, damaged_share double, different_share double, natural boolean, rule string"
 
 #: Share of the characters in running text that is enough alone, and with two sentences side by side.
 PROSE_SHARE, ARTICLE_SHARE = 0.6, 0.25
+#: Share of different stretches, of function words, and of sentences that end in a word none ends in.
+LEAST_DIFFERENT, LEAST_COMMON, MOST_OPEN = 0.35, 0.01, 0.12
+LEAST_STRETCHES, SPACED_WORDS = 8, 20  # from which on these shares say something
 
 
 def verdict(c: np.ndarray, category: str | None) -> tuple[bool, str]:
     """Rules over the counts of a whole text, first match decides."""
-    (chars, words, letters, digits, symbols, han, common, damaged, lines, stops, clauses, prose, prose_chars, pairs, code) = (int(x) for x in c)
+    chars, words, han, common, damaged = (int(c[COUNTS.index(f"n_{f}")]) for f in ("chars", "words", "han", "common", "damaged"))
     if chars == 0:
         return False, "empty"
-    share = prose_chars / chars
+    share = int(c[PROSE_CHARS]) / chars
     if damaged * 20 > chars:
         return False, "damaged"
-    if code >= 3 and code * 3 >= lines and category in ("code", None):
+    if c[CODE] >= 3 and c[CODE] * 3 >= c[LINES] and category in ("code", None):
         return True, "code"
+    if c[STRETCHES] >= LEAST_STRETCHES and different(c) < LEAST_DIFFERENT * int(c[STRETCHES]):
+        return False, "repeated"
+    if words >= SPACED_WORDS and han * 4 < chars and common < LEAST_COMMON * words:
+        return False, "no_function_words"
+    if c[OPEN] >= 2 and c[OPEN] >= MOST_OPEN * int(c[STOPPED]):
+        return False, "open_ends"
     if share >= PROSE_SHARE:
         return True, "prose"
-    if pairs and share >= ARTICLE_SHARE:
+    if c[PAIRS] and share >= ARTICLE_SHARE:
         return True, "article"
     return False, "no_prose"
 
 
 def _row(c: np.ndarray, category: str | None) -> tuple:
-    chars, words = int(c[0]), int(c[1]) + int(c[5])
+    n = dict(zip(COUNTS, c[:NC].tolist()))
+    words = n["n_words"] + n["n_han"]
     natural, rule = verdict(c, category)
     part = lambda a, b: float(a) / float(b) if b else 0.0
-    return (chars, words, int(c[8]), part(c[2] + c[5], words), part(c[4], chars), part(c[3], chars), part(c[9], c[8]), part(c[6], c[1]), part(c[12], c[0]), int(c[11]), part(c[7], chars), natural, rule)
+    return (
+        n["n_chars"], words, n["n_lines"], part(n["n_letters"] + n["n_han"], words), part(n["n_symbols"], n["n_chars"]), part(n["n_digits"], n["n_chars"]), part(n["n_stop_lines"], n["n_lines"]),
+        part(n["n_common"], n["n_words"]), part(n["prose_chars"], n["n_chars"]), n["n_prose"], part(n["n_damaged"], n["n_chars"]), min(1.0, part(different(c), n["n_stretches"])), natural, rule,
+    )
 
 
-def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", category: str = "category") -> DataFrame:
+def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", category: str = "category", chunk: int = CHUNK) -> DataFrame:
     """One row per (key, category, text) given, repeated rows folded, with statistics and verdict.
 
     NULL texts give no row; an empty text gets zeros, ``natural`` false and rule ``empty``.  A NULL
-    category is read as unknown.
+    category is read as unknown.  Texts above ``chunk`` characters go through chunks; the counts are the same.
     """
     types = dict(df.dtypes)
     rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(category).alias("c"), F.col(text).alias("t"))
     size = F.length("t")
-    short, long = rows.where(size <= CHUNK), rows.where(size > CHUNK)
+    short, long = rows.where(size <= chunk), rows.where(size > chunk)
     out = f"{key} {types[key]}, {category} string, {RESULT}"
 
     def make_short():
         def one(keys, cats, texts):
-            out = []
             for a, b in slices(texts):
-                states = partials(texts[a:b])
-                out += [(k, c, *_row(finish(s), c)) for k, c, s in zip(keys[a:b], cats[a:b], states)]
-            return out
+                for k, c, counts in zip(keys[a:b], cats[a:b], whole_counts(texts[a:b])):
+                    yield k, c, *_row(counts, c)
 
         return one
 
     def make_chunks():
         def one(k, c, t, h):
-            for n, part in enumerate(cut_text(t)):
-                yield k, c, h, n, partials([part])[0].tolist()
+            t = cleaned(t)
+            for n, (a, b) in enumerate(cut_text(t, chunk)):
+                yield k, c, h, n, partials([(t, a, b)])[0].tolist()
 
         return one
 

@@ -587,7 +587,10 @@ def boilerplate(df: DataFrame, key: str = "doc_id", text: str = "text", url=None
 
 
 def main_body(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
-    """``df`` with ``body``: the text without its boilerplate lines, the others unchanged; NULL stays NULL."""
+    """``df`` with ``body`` last: the text without its boilerplate lines, the others unchanged; NULL stays NULL.
+
+    A column already called ``body`` is replaced.
+    """
     found = page_lines(df, key, text, url).groupBy("text_hash", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).agg(F.min("lines").alias("lines"))
 
     @F.pandas_udf("string")
@@ -605,7 +608,9 @@ def main_body(df: DataFrame, key: str = "doc_id", text: str = "text", url=None)
         extra += "_"
     rows = df.withColumn(extra, F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k")))
     found = found.select(F.struct(F.col("text_hash").alias("h"), F.col("key").alias("k")).alias(extra), F.col("lines").alias(extra + "lines"))
-    return rows.join(found, extra, "left").select(*df.columns, body(F.col(text), F.col(extra + "lines")).alias("body"))
+    joined = rows.join(found, extra, "left").withColumn(extra, body(F.col(text), F.col(extra + "lines")))
+    others = [c for c in df.columns if c != "body"]
+    return joined.select(*others, F.col(extra).alias("body"))
 
 
 def expressions(df: DataFrame, key: str = "doc_id", text: str = "text", url=None) -> DataFrame:
