@@ -280,18 +280,41 @@ def pii_model():
     return pii.train()
 
 
-def test_pii_held_out(pii_model):
-    lines = pii_examples.sample(4, seed=123)
-    found = pii.mentions_of([t for t, _ in lines], pii_model)
-    hits = sum(len(set(m) & set(f)) for (_, m), f in zip(lines, found))
-    assert hits >= 0.98 * sum(len(m) for _, m in lines) and hits >= 0.98 * sum(map(len, found))
+def pii_scores(lines, model):
+    hits = true = found = 0
+    for _, _, t, m in pii_examples.sample(4, seed=123, lines=lines):
+        got = set(pii.mentions_of([t], model)[0])
+        hits, true, found = hits + len(got & set(m)), true + len(m), found + len(got)
+    return hits / true, hits / found
+
+
+def test_pii_held_out_lines():
+    """Whole lines are unknown to the model that reads them."""
+    lines = pii_examples.all_lines()
+    recall, precision = pii_scores(lines[3::5], pii.train(lines=[x for i, x in enumerate(lines) if i % 5 != 3]))
+    assert recall >= 0.9 and precision >= 0.9
+
+
+def test_pii_held_out_language():
+    lines = pii_examples.all_lines()
+    recall, precision = pii_scores([x for x in lines if x[0] == "es"], pii.train(lines=[x for x in lines if x[0] != "es"]))
+    assert recall >= 0.85 and precision >= 0.85
+
+
+def test_names_are_proposed_without_lists():
+    """The generator has no gate of known names or contexts."""
+    t = "Kofi Mensah opened the gate. Then Wanjiru N. Odhiambo-Clarke left."
+    spans = {t[a:b] for k, a, b in pii.candidates(t) if k == 4}
+    assert {"Kofi Mensah", "Wanjiru N. Odhiambo-Clarke"} <= spans
+    for text in ("An\nder Mauer 4", "Auf\ndem Berg 12", "45 Quang Trung", "Hinter der Kirche, Kirchweg 3", "12 rue de\nla Paix"):
+        assert any(k == 3 for k, _, _ in pii.candidates(text)), text
 
 
 def test_pii_positions_and_redaction(spark, pii_model):
-    text = "A note.\nReviewed-by: Ｆrank Belheim <info@mel​hal.example> Version 2.14.18 of 2021-04-27."
+    text = "A note.\nReviewed-by: Ｆrank Miller <info@mel​hal.example> Version 2.14.18 of 2021-04-27."
     rows = spark.createDataFrame([("a", text), ("b", None), ("c", ""), ("a", text)], "doc_id string, text string")
     got = {tuple(r) for r in pii.mentions(rows, model=pii_model).collect()}
-    name, mail = "Ｆrank Belheim", "info@mel​hal.example"
+    name, mail = "Ｆrank Miller", "info@mel​hal.example"
     assert got == {("a", "name", text.index(name), text.index(name) + len(name)), ("a", "email", text.index(mail), text.index(mail) + len(mail))}
     red = {r.doc_id: r.redacted for r in pii.redacted(rows, model=pii_model).collect()}
     assert red == {"a": "A note.\nReviewed-by: [NAME] <[EMAIL]> Version 2.14.18 of 2021-04-27.", "b": None, "c": ""}

@@ -6,15 +6,14 @@ a probability from boosted trees; spans at or above their kind's calibrated thre
 text, the most probable first.
 
 The trees are trained on the labelled lines of ``pii_examples`` (a fixed number), one part of which is
-held out to calibrate the thresholds.  Given names seen after titles and signatures in the corpus itself
-are a feature; they are counted over all texts.
+held out to calibrate the thresholds.  They are the same for every corpus, so nothing grows with the data.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -22,14 +21,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stored
 from . import boosting, pii_examples
 from .arrow import map_rows
 from .lookalikes import tables
+from .textstats import slices
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 MARKS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-LEAST_SEEN = 3  # a given name is learned from so many titles or signatures
+SLICE_CHARS = 500_000  # texts scored together
 
 # --- folding with positions -------------------------------------------------------------------------
 
@@ -94,27 +93,24 @@ _AT = r"(?:@|\s?(?:\[at\]|\(at\)|\{at\})\s?|\sAT\s)"
 EMAIL = re.compile(rf"(?<![\w.+'’-])(?:{_LOCAL})(?:\s?(?:\[dot\]|\(dot\)|DOT)\s?{_LOCAL})*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
 _AT_HINT = re.compile(r"@|[\[({]at[\])}]|\sAT\s")
 
-PHONE = re.compile(r"(?<![\w@#.:/-])(?<!\d[ ])(?:\(\+\d{1,3}\)|\+\d{1,3}|\(\d{2,4}\)|00\d{2}|\d)(?:[ \n]?\(\d{1,4}\))?(?:[ .\-/\n]?\d){5,13}(?![\w@])")
+PHONE = re.compile(r"(?<![\w@#.:/-])(?<!\d[ ])(?:\(\+\d{1,3}\)|\+\d{1,3}|\(\d{2,5}\)|00\d{2}|\d)(?:[ \n]?\(\d{1,4}\))?(?:[ .\-/\n]?\d){5,13}(?![\w@])")
 NUMBER_ID = re.compile(r"(?<![\w@#./-])(?<!\d[ ])\d(?:[ \n.-]?\d){7,14}(?:[ -]?[A-Z])?(?![\w@])")
-LETTER_ID = re.compile(r"(?<![\w@#./-])(?:[A-Z]{1,3}-?\d{6,9}|[A-Z]\d[ \n]\d{6}|[A-Z]-\d{6,8}-[A-Z]|[A-Z]\d{7}[A-Z]|[Qq]{2}(?:[ \n]?\d){6}[ \n]?[A-Da-d])(?![\w-])")
+LETTER_ID = re.compile(r"(?<![\w@#./-])(?:[A-Z]{1,3}-?\d{6,9}[A-Z]?|[A-Z]\d[ \n]\d{6}|[A-Z]-\d{6,8}-[A-Z]|[A-Za-z]{2}(?:[ \n]?\d){6}[ \n]?[A-Da-d])(?![\w-])")
 
-_UP = "A-ZÀ-ÖØ-ÞĂĐĨŨƠƯẠ-Ỹ"
+# capitals of the Latin script, Vietnamese included, by rule from the Unicode data
+_UP = "A-ZÀ-ÖØ-Þ" + "".join(chr(o) for o in [*range(0x100, 0x250), *range(0x1E00, 0x1F00)] if chr(o).isupper())
 _CAP = rf"(?:Mc|Mac|O['’]|d['’]|D['’])?[{_UP}][\w'’]*\w"
 _WAY = r"(?:Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.|Close|Court|Ct\.|Way|Place|Square|Hill|Boulevard|Blvd\.?|Terrace|Crescent|Row|Walk|Gardens|Grove)"
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.)[ \n]\d+[A-Za-z]?"
-ADDRESS = [  # strings one of which any match holds, pattern
-    (("Street", "St.", "Road", "Rd", "Ave", "Lane", "Ln", "Dr", "Close", "Court", "Ct", "Way", "Place", "Square", "Hill", "Boulevard", "Blvd", "Terrace", "Crescent", "Row", "Walk", "Gardens", "Grove"),
-     re.compile(rf"(?:\b{_FLAT},[ \n])?\b\d{{1,5}}[A-Za-z]?[ \n](?:(?:North|South|East|West|N\.|S\.|E\.|W\.)[ \n])?(?:{_CAP}[ \n]){{1,3}}{_WAY}(?:,?[ \n]{_FLAT})?")),
-    (("Am ", "An der", "Im ", "Auf dem", "In der", "Am\n", "An\nder", "Im\n"),
-     re.compile(rf"\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der)[ \n]{_CAP}[ \n]\d{{1,4}}[a-z]?\b")),
-    (("straße", "strasse", "weg", "platz", "allee", "gasse", "ring", "ufer", "damm", "steig", "Str.", "Straße", "Weg", "Platz", "Allee", "Gasse", "Ring"),
-     re.compile(rf"\b{_CAP}(?:(?:straße|strasse|weg|platz|allee|gasse|ring|ufer|damm|steig)|[ \n](?:Str\.|Straße|Weg|Platz|Allee|Gasse|Ring))[ \n]\d{{1,4}}[a-z]?\b")),
-    (("rue", "avenue", "boulevard", "bd", "place", "allée", "chemin", "impasse", "quai", "route", "cours"),
-     re.compile(rf"\b\d{{1,4}}(?:[ \n](?:bis|ter))?,?[ \n](?:rue|avenue|boulevard|bd|place|allée|chemin|impasse|quai|route|cours)[ \n](?:(?:de[ \n]la|de|du|des|d['’]|la|le)[ \n]?)?{_CAP}(?:[ \n-]{_CAP})?")),
-    (("Avda.", "Av.", "Avenida", "Calle", "Plaza", "Pza.", "Paseo", "Camino", "Ronda", "C/"),
-     re.compile(rf"(?:\b(?:Avda\.|Av\.|Avenida|Calle|Plaza|Pza\.|Paseo|Camino|Ronda)|\bC/)[ \n](?:(?:de[ \n]la|de|del|los|las)[ \n])?{_CAP}(?:[ \n]{_CAP})?,?[ \n](?:n\.º[ \n])?\d{{1,4}}(?:,[ \n]\d{{1,2}}\.?º(?:[ \n][A-Z]\b)?)?")),
-    (("đường", "phố", "Đường", "Phố", "ngõ", "hẻm", "Lê", "Nguyễn", "Trần", "Phạm", "Lý", "Hai Bà", "Phan", "Hoàng", "Võ", "Đinh"),
-     re.compile(rf"\b\d{{1,4}}(?:/\d{{1,4}})*[A-Z]?(?:[ \n]ngõ[ \n]\d{{1,4}}(?:/\d+)?|[ \n]hẻm[ \n]\d+)?[ \n](?:(?:đường|phố|Đường|Phố)[ \n]{_CAP}(?:[ \n]{_CAP}){{0,2}}|{_CAP}[ \n]{_CAP})")),
+_WAY_FR, _WAY_ES = r"(?:rue|avenue|boulevard|bd|place|allée|chemin|impasse|quai|route|cours)", r"(?:(?:Avda\.|Av\.|Avenida|Calle|Plaza|Pza\.|Paseo|Camino|Ronda)|C/)"
+_END_DE, _WAY_DE = r"(?:straße|strasse|weg|platz|allee|gasse|ring|ufer|damm|steig)", r"(?:Str\.|Straße|Weg|Platz|Allee|Gasse|Ring)"
+ADDRESS = [  # what every match holds, pattern
+    (re.compile(_WAY), re.compile(rf"(?:\b{_FLAT},[ \n])?\b\d{{1,5}}[A-Za-z]?[ \n](?:(?:North|South|East|West|N\.|S\.|E\.|W\.)[ \n])?(?:{_CAP}[ \n]){{1,3}}{_WAY}(?:,?[ \n]{_FLAT})?")),
+    (re.compile(rf"\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der)[ \n][{_UP}]"), re.compile(rf"\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der)[ \n]{_CAP}[ \n]\d{{1,4}}[a-z]?\b")),
+    (re.compile(rf"(?:{_END_DE}|{_WAY_DE})[ \n]\d"), re.compile(rf"\b{_CAP}(?:{_END_DE}|[ \n]{_WAY_DE})[ \n]\d{{1,4}}[a-z]?\b")),
+    (re.compile(rf"\d[ \n\w,]*?[ \n]{_WAY_FR}[ \n]"), re.compile(rf"\b\d{{1,4}}(?:[ \n](?:bis|ter))?,?[ \n]{_WAY_FR}[ \n](?:(?:de[ \n]la|de|du|des|d['’]|la|le)[ \n]?)?{_CAP}(?:[ \n-]{_CAP})?")),
+    (re.compile(_WAY_ES), re.compile(rf"(?:\b(?:Avda\.|Av\.|Avenida|Calle|Plaza|Pza\.|Paseo|Camino|Ronda)|\bC/)[ \n](?:(?:de[ \n]la|de|del|los|las)[ \n])?{_CAP}(?:[ \n]{_CAP})?,?[ \n](?:n\.º[ \n])?\d{{1,4}}(?:,[ \n]\d{{1,2}}\.?º(?:[ \n][A-Z]\b)?)?")),
+    (None, re.compile(rf"\b\d{{1,4}}(?:/\d{{1,4}})*[A-Z]?(?:[ \n]ngõ[ \n]\d{{1,4}}(?:/\d+)?|[ \n]hẻm[ \n]\d+)?[ \n](?:(?:đường|phố|Đường|Phố)[ \n]{_CAP}(?:[ \n]{_CAP}){{0,2}}|{_CAP}[ \n]{_CAP})")),
 ]
 
 _INITIAL = rf"[{_UP}]\."
@@ -123,54 +119,85 @@ _FAMILY = rf"(?:(?:{_PARTICLE}[ \n]){{0,2}}(?:d['’])?{_CAP}(?:-{_CAP})*)"
 NAME = re.compile(
     rf"(?<![\w@#.'’-])(?:{_CAP}(?:-{_CAP})?,[ \n]{_CAP}(?:[ \n]{_INITIAL})?|(?:{_CAP}(?:-{_CAP})?|{_INITIAL})(?:[ \n]{_INITIAL}){{0,2}}(?:[ \n]{_FAMILY}){{1,3}}|{_CAP}[ \n]{_INITIAL})(?![\w@])"
 )
-_TITLE = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Herrn|Mme|M|Mlle|Don|Doña|Sr|Sra|Dña|Ông|Bà|Anh|Chị|Cô"
 
 # --- context ----------------------------------------------------------------------------------------
 
-CUES = {
-    "phone": re.compile(r"(?i)(?:call|phone|tel|tél|cell|mobile|reach|unter|joindre|gardien au|teléfono|số|đt|on-call|·|go to|fon|\bat)\W*(?:\w+\W+){0,3}$"),
-    "id_number": re.compile(r"(?i)(?:ssn|passport|security number|insurance no|\bid|ausweis|steuernummer|sécurité sociale|documento|dni|nie|nif|căn cước số|cccd|cmnd|nummer)\W*(?:[\w ]{0,14}/ )?$"),
-    "address": re.compile(r"(?i)(?:lives at|home|left at|gehen an|wohnt in der nähe|gezeichnet|habite|signé|vive en|firmado|ở số|người ký|address|anschrift|adresse|\()\W*(?:[\w.' -]{0,30}, )?$"),
-    "name": re.compile(r"(?:Author|Reviewed-by|name|signed by|My name is|According to|write to|said|Attendees were|sold to|had lent|go to|Thanks,|and|by Mrs|\bMr|\bMrs|\bDr|\bProf|\bHerr|\bFrau|Rückfragen bitte an|Ich heiße|gehörte früher|gehört zu|und|Gezeichnet|Selon|écrire à|Signé|\bMme|\bM|Según|Escriba a|nombre de|Firmado|\bDon|\bDoña|\by|xin gửi|\bBà|\bÔng|Người ký|đứng tên|và|et|Nach Angaben von)\W*(?:\w+\W+)?$"),
+# Closed-class words and forms of address, in lower case, that begin or follow no name.
+FUNCTION = frozenset("""the a an of in on at for by with from to and or but if as is are was were be been do does did not no it its this that these those there here they we you he she his her their our your my
+    who what when where why how which can could will would should may must all any each some after before under over between during without into about more most please thanks dear hello
+    der die das ein eine einen einem einer den dem des und oder aber wenn als ist sind war nicht kein mit von zu zum zur bei nach aus auf im am in an für über unter vor wir ihr sie er es ich dieser diese dieses jeder alle was wer wie wo warum bitte laut
+    le la les un une des du et ou mais si est sont dans sur sous avec sans pour par ce cette ces nous vous ils elle elles il je qui que quoi où comment chaque selon merci
+    el los las una unos unas y o pero es son en con sin por para al del este esta estos nosotros usted ellos ella yo quien qué cómo cuando cada según gracias
+    và của các những là có không một này đó khi với cho trong trên dưới từ theo bị được đã sẽ hay hoặc nếu mỗi
+    mr mrs ms miss dr prof sir herr frau mme mlle don doña sr sra dña ông bà anh chị cô monsieur madame señor señora""".split())
+# Labels and kinds of places, bodies and products, in lower case; a feature, not a gate.
+THING = frozenset("""street road lane drive avenue square market hill river valley lake bridge harbor harbour port mount mountain island park garden hall house tower station airport church
+    institute university college school academy museum library hospital method theorem effect media ltd inc gmbh ag sa llc cms group company corp press news journal society association club team project system version model edition
+    straße platz weg gasse hochschule institut brücke markt bad schloss rue boulevard place institut université mont plaza calle avenida universidad instituto sierra đường phố trường viện hồ núi chợ khu đại học
+    user author assistant human bot home contact login help search menu imprint jobs settings privacy terms id ssn tel phone email fax subject date page part advertisement
+    products news blog events archive about careers shop gallery forum support register topics subscribe sign read share rights rechte datenschutz startseite suche drucken anzeige
+    accueil aide boutique actualités publicité inicio tienda noticias buscar publicidad str null not select where""".split())
+_TITLE = r"Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Herrn|Frau|Mme|Madame|M|Mlle|Monsieur|Don|Doña|Sr|Sra|Dña|Ông|ông|Bà|bà|Anh|anh|Chị|chị|Cô|cô"
+_CUE = {
+    "phone": r"phone|telephone|tel|tél|téléphone|telefon|telefonisch|teléfono|móvil|fax|cell|mobile|call|reach|hotline|on-call|contact|unter|joindre|appeler|au|llamar|llamarnos|correo|điện thoại|đt|gọi|số|·|\|",
+    "id_number": r"ssn|security number|insurance (?:number|no)|passport(?: no)?|id(?: card)?|id number|ausweis|ausweisnummer|personalausweis|steuernummer|steuer-id|steueridentifikationsnummer|sécurité sociale|document|documento|dni|nie|nif|căn cước|căn cước số|cccd|cccd số|cmnd|công dân|hộ chiếu|file|dossier",
+    "address": r"lives at|moved from|home|address|ship to|mail|at|left at|from|to|anschrift|adresse|wohnhaft|wohnt|wohnt in der nähe|an|in der|liegt in der|habite|demeurant|domicilio en|vive en|vive|au|à|en|a|ngụ tại|số|ở|ở số|địa chỉ",
 }
-NOT_CUES = re.compile(r"(?i)(?:isbn|serial|order no|ticket|version|order|bestellnummer|ref|id=|host|between|handle|sits at|track|page|part|no\.|the|rgb|color)\W*[\w-]{0,12}\W*$")
-AFTER_NAME = re.compile(r"^(?:['’]s\b|,? (?:lives|and|und|et|y|và|wohnt|habite|vive|at \S*@|said|who|in the|ở số|cho biết|cùng|ist|le bassin|la presa|theo|the)|[;,.<(]| <| \()")
-AFTER_NOT = re.compile(r"^[ \n](?:method|Institute|River|Harbor|Valley|Street|Market|CMS|Media|Road|Lane|notes|readers|Prozent|por ciento)|^[ \n]?(?:000|m²|kg|%)")
-BAD_NAME = frozenset("avda calle plaza the a an of in on at for by to and or der die das ein eine den dem le la les un une el los las una this that there they when each can why of after before under over even without our your we it its no is der mr mrs dr read share terms site home tin bộ hệ kho mô khu lớp dòng bảng hồ đường người hai các những toàn phần lượng cánh bờ vùng đoạn nach nous vous wir sie and et und author user assistant human model bot passport parcels questions call order version powered street market institute method harbor valley river media cms greek cyrillic lea mit ouvrez frau herr mme don doña mrs ông bà personalausweis steuernummer rückfragen gezeichnet signé selon según firmado merci tél tel escriba attendees according please thanks dear hello name ssn id".split())
+CUES = {k: re.compile(rf"(?i)(?:^|[^\w])(?:{v})(?:[^\w\n]|\n(?!\n))*(?:[^\W\d]+[^\w\n]+){{0,3}}$") for k, v in _CUE.items()}
+CUES["name"] = re.compile(
+    r"(?:^|[^\w])(?:(?:[Aa]uthor|[Mm]aintainer|[Rr]eviewed-by|[Nn]ame(?: is)?|[Ss]igned(?: by)?|[Pp]atient|[Cc]ontact|[Uu]nterschrieben|[Gg]ezeichnet|[Ss]igné|[Ff]irmado|[Nn]gười ký|[Pp]resent|[Aa]ttendees(?: were)?|[Aa]nwesend|[Pp]résents|[Aa]sistentes|[Cc]ó mặt)[^\w\n]{1,3}"
+    r"|(?:[Rr]egards|[Tt]hanks|Grüßen|[Cc]ordialement|[Ss]aludo|[Tt]rân trọng)[^\w]{1,3}"
+    r"|(?:[Aa]ccording to|[Tt]o|[Nn]ames|[Nn]amed|[Cc]alled|[Gg]ave|[Ll]ent|[Ss]old|[Ss]aid|[Bb]y|[Oo]f|[Ww]ith|[Tt]hat|Laut|Name ist|heiße|[Aa]n|[Vv]on|[Gg]ehört(?:e)?(?: früher| zu)?|beantwortet|Selon|[Dd]'après|appelle|[Éé]cri(?:re|vez) à|à|nom de|contacter"
+    r"|Según|llamo|a|nombre de|contacto con|con|gửi|tên(?: là)?|[Tt]heo|[Ll]iên hệ|cho)[ \n])$")
+JOINED = re.compile(rf"[{_UP}][\w.'’-]*,?[ \n](?:and|und|et|y|và)[ \n]$")
+NOT_CUES = re.compile(r"(?i)(?:isbn|serial|order|invoice|ticket|version|bestellnummer|rechnung|facture|pedido|đơn hàng|ref|id=|host|server|handle|page|part|©|powered by|library|error|rgb|color)\W*(?:\w{1,6}\W+)?[\w-]{0,12}\W*$")
+AFTER_NAME = re.compile(r"^(?:['’]s\b|,? (?:lives|and|und|et|y|và|wohnt|wohnhaft|habite|vive|sống|ngụ|said|who|whose|ist|has|had|reviewed|signed|ont|a|at \S*@|cho biết|cùng|theo|ở)\b|[;,.<(]|[ \n][<(]|$|\n)")
+AFTER_NOT = re.compile(r"^[ \n]?(?:000|m²|kg|%|km|ms|€|\$)|^[ \n](?:Prozent|por ciento|pour cent|euros?|Euro|đồng|cases|cas|Fällen|casos|trường hợp|readers|copies)")
 _TITLED = re.compile(rf"\b(?:{_TITLE})\.?[ \n]$")
 _CAP_BEFORE = re.compile(rf"[{_UP}][\w'’-]*\.?[ \n]$")
 _CAP_AFTER = re.compile(rf"[ \n](?:{_PARTICLE}[ \n])?[{_UP}]")
 _INITIALS = re.compile(rf"(?:^|\s)[{_UP}]\.")
 WORD_BEFORE = re.compile(r"([\w.'’-]+)\W{0,3}$")
+_SENTENCE = re.compile(r"(?:^|[.!?:]\s*|\n\s*|>)$")
+_INSIDE = re.compile(r"(?:[^\W\d_A-Z][,;]?|\))[ \n]$")  # a small letter before, so a sentence goes on
+_GOES_ON = re.compile(r"^,?[ \n][^\W\d_A-Z]")
+_QUAD = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}")
+_NUMBER_BEFORE, _NUMBER_AFTER = re.compile(r"\d[ ,;|]{1,3}$|\d,$"), re.compile(r"^(?:[ ;|]{1,3}|,[ ]?)\d")
+_PART_LEFT = re.compile(rf"(?:{_FLAT},|\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der|North|South|East|West|[NSEW]\.))[ \n]$")
+_PART_RIGHT = re.compile(rf"^(?:,?[ \n]{_FLAT}|,[ \n]\d{{1,2}}\.?º|[ \n](?:{_WAY}|{_WAY_DE}))")
+_ANY_WAY = re.compile(rf"{_WAY}|{_END_DE}|{_WAY_DE}|{_WAY_ES}|\b{_WAY_FR}\b|đường|phố|Đường|Phố|ngõ|hẻm")
 
 
-@dataclass
-class Names:
-    given: dict[str, int] = field(default_factory=dict)
+@lru_cache(maxsize=1)
+def given_names() -> frozenset[str]:
+    return frozenset(n.lower() for names in (*pii_examples.GIVEN.values(), pii_examples.VI_FAMILY) for n in names)
 
 
-def family_shape(word: str) -> bool:
-    w = word.lower()
-    return w.endswith(("berg", "heim", "quist", "ard", "ell", "inge", "mont", "ova", "sted", "lund", "ridge", "wick", "moor", "andis", "ory", "ane", "son", "sen", "ez", "ette", "mann", "ski", "ale", "man", "ton", "ley"))
+_MIDDLE = frozenset(n.lower() for n in pii_examples.VI_MIDDLE)
 
 
 def left_features(kind: int, t: str, a: int) -> tuple[float, ...]:
     """What stands before a span; spans of one kind and start share it."""
     left = t[max(0, a - 48): a]
     prev = left[-1:] or "\n"
-    before = WORD_BEFORE.search(left)
-    word_before = before.group(1).rstrip(".").lower() if before else ""
     number, name = kind in (1, 2), kind == 4
-    titled = name and _TITLED.search(left) is not None
+    if name:
+        before = WORD_BEFORE.search(left)
+        word_before = before.group(1).rstrip(".").lower() if before else ""
+        titled = _TITLED.search(left) is not None
+        return (
+            0.0, 0.0, 0.0, float(CUES["name"].search(left) is not None), float(NOT_CUES.search(left) is not None), float(prev in ".-/:_=#@$€&" and prev != "="),
+            float(titled), float(not titled and word_before not in FUNCTION and _CAP_BEFORE.search(left) is not None), float(JOINED.search(left) is not None), float(_SENTENCE.search(left) is not None),
+            float(_INSIDE.search(left) is not None), 0.0,
+        )
     return (
-        float(number and CUES["phone"].search(left) is not None), float(number and CUES["id_number"].search(left) is not None),
-        float(kind == 3 and CUES["address"].search(left) is not None), float(name and CUES["name"].search(left) is not None),
-        float(kind and NOT_CUES.search(left) is not None), float(prev in ".-/:_=#@$€&" and not (prev == "=" and kind in (1, 4))),
-        float(titled), float(name and not titled and word_before not in BAD_NAME and _CAP_BEFORE.search(left) is not None),
+        float(number and CUES["phone"].search(left) is not None), float(number and CUES["id_number"].search(left) is not None), float(kind == 3 and CUES["address"].search(left) is not None), 0.0,
+        float(number and NOT_CUES.search(left) is not None), float(prev in ".-/:_=#@$€&" and not (prev == "=" and kind == 1)), 0.0, 0.0, 0.0, float(_SENTENCE.search(left) is not None),
+        float(kind == 3 and _INSIDE.search(left) is not None), float(number and _NUMBER_BEFORE.search(left) is not None),
     )
 
 
-def features(kind: int, t: str, a: int, b: int, given: dict[str, int], lefts: dict | None = None) -> list[float]:
+def features(kind: int, t: str, a: int, b: int, given: frozenset[str], lefts: dict | None = None) -> list[float]:
     s = t[a:b]
     right = t[b: b + 24]
     if lefts is None:
@@ -179,7 +206,7 @@ def features(kind: int, t: str, a: int, b: int, given: dict[str, int], lefts: di
         before = lefts.get((kind, a))
         if before is None:
             before = lefts[kind, a] = left_features(kind, t, a)
-    digits = sum(map(str.isdigit, s))
+    digits = sum(map(str.isdigit, s)) if kind != 4 else 0
     letters = sum(map(str.isalpha, s))
     groups = _DIGITS.findall(s) if digits else []
     kinds = [0.0] * 5
@@ -187,16 +214,19 @@ def features(kind: int, t: str, a: int, b: int, given: dict[str, int], lefts: di
     first, last = (groups[0], groups[-1]) if groups else ("", "")
     words = _WORDS.findall(s) if kind >= 3 else []
     nxt = right[:1] or "\n"
-    bare_first = words[0].rstrip(".,").lower() if words else ""
-    bare_last = words[-1].rstrip(".,").lower() if words else ""
+    low = [w.rstrip(".,").lower() for w in words]
     name = kind == 4
     return [
         *kinds, float(digits), float(len(groups)), float(len(first)), float(len(last)), float(max(map(len, groups), default=0)), float(letters), float(len(s)),
-        float("+" in s), float("(" in s), float(s.count("-")), float(s.count(" ") + s.count("\n")), float(s.count(".")), float(s[0] == "0"), float(s[0] == "9"), float(s[0].isalpha()), float(s[-1].isalpha()),
+        float("+" in s), float("(" in s), float(s.count("-")), float(s.count(" ") + s.count("\n")), float(s.count(".")), float(s[0] == "0"), float(s[0].isalpha()), float(s[-1].isalpha()),
         *before, float(name and AFTER_NAME.match(right) is not None), float(AFTER_NOT.match(right) is not None),
         float(nxt in "-/_@=#&%$" or (nxt in ".," and right[1:2].isdigit())),
-        float(len(words)), float(min(given.get(bare_first, 0), 20)), float(min(given.get(bare_last, 0), 20) if "," in s else 0), float(bare_first in BAD_NAME), float(bare_last in BAD_NAME),
-        float(name and family_shape(bare_last)), float(name and _INITIALS.search(s) is not None), float(s.isupper()), float("," in s), float(name and _CAP_AFTER.match(right) is not None),
+        float(len(words)), float(name and low[0] in given), float(name and "," in s and low[-1] in given), float(name and any(w in given for w in low[1:])), float(name and len(low) > 1 and low[1] in _MIDDLE),
+        float(any(w in FUNCTION for w in low[1:])), float(any(w in THING for w in low)), float(bool(low) and low[-1] in THING),
+        float(name and _INITIALS.search(s) is not None), float(s.isupper()), float("," in s), float("\n" in s), float(name and _CAP_AFTER.match(right) is not None), float(kind == 3 and _ANY_WAY.search(s) is not None),
+        float(kind == 3 and "/" in s), float(kind == 3 and any(w in given for w in low)),
+        float(kind == 3 and (_PART_RIGHT.match(right) is not None or _PART_LEFT.search(t[max(0, a - 16): a]) is not None)),
+        float(name and _GOES_ON.match(right) is not None), float(kind in (1, 2) and _NUMBER_AFTER.match(right) is not None), float(kind in (1, 2) and _QUAD.fullmatch(s) is not None),
     ]
 
 
@@ -205,44 +235,44 @@ _WORDS = re.compile(r"[\w'’.-]+")
 _HEAD = re.compile(r"[^\s,]+")
 _DIGIT = re.compile(r"\d")
 _LONG_NUMBER = re.compile(r"(?:\d[ \n().\-/]{0,3}){5}\d")
+_PART = re.compile(r"[^\s,]+")
+_ONLY_PARTICLE = re.compile(_PARTICLE)
+
 
+def candidates(t: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of every proposed span of a folded text.
 
-def candidates(t: str, given: dict[str, int]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of every proposed span of a folded text."""
+    Every run of two to four capitalised words or initials is proposed as a name unless its first word is
+    closed-class; lists and contexts are left to the trees.
+    """
     out: list[tuple[int, int, int]] = []
     if _AT_HINT.search(t):
         out += [(0, *m.span()) for m in EMAIL.finditer(t)]
-    if _LONG_NUMBER.search(t):
-        # a line may be wrapped inside a number, a column of numbers is none
-        out += [(1, *m.span()) for m in PHONE.finditer(t) if m.group().count("\n") < 2]
-        out += [(2, *m.span()) for m in NUMBER_ID.finditer(t) if m.group().count("\n") < 2]
-        out += [(2, *m.span()) for m in LETTER_ID.finditer(t)]
     if _DIGIT.search(t):
-        for hints, pattern in ADDRESS:
-            if any(h in t for h in hints):
+        if _LONG_NUMBER.search(t):
+            # a line may be wrapped inside a number, a column of numbers is none
+            out += [(1, *m.span()) for m in PHONE.finditer(t) if m.group().count("\n") < 2]
+            out += [(2, *m.span()) for m in NUMBER_ID.finditer(t) if m.group().count("\n") < 2]
+            out += [(2, *m.span()) for m in LETTER_ID.finditer(t)]
+        for needed, pattern in ADDRESS:
+            if needed is None or needed.search(t):
                 out += [(3, *m.span()) for m in pattern.finditer(t)]
+        out = list(dict.fromkeys(out))
     at = 0
     while m := NAME.search(t, at):
         a, b = m.span()
         whole = m.group()
         first = _HEAD.match(whole)
         at = a + first.end()
-        if first.group().lower() in BAD_NAME:
-            continue
-        tokens = list(re.finditer(r"[^\s,]+", whole))
-        head = tokens[0].group().rstrip(".").lower()
-        if (head in BAD_NAME and not (len(head) == 1 and tokens[0].group().endswith("."))) or (len(tokens) > 1 and tokens[1].group().lower() in BAD_NAME and tokens[1].group()[0].isupper()):
+        if first.group().lower() in FUNCTION:
             continue
         # a name may end earlier than the run of capitals does
-        ends = {a + x.end() for x in tokens[1:]}
-        known = head in given or len(head) == 1 or any(x.group().lower().rstrip(",.") in given for x in tokens[1:])
-        cue = CUES["name"].search(t[max(0, a - 48): a]) is not None
-        if not known and not cue:
-            continue
-        for e in sorted(ends):
-            if t[e - 1] == "," or re.fullmatch(_PARTICLE, t[a:e].split()[-1]):
-                continue
-            out.append((4, a, e))
+        for x in list(_PART.finditer(whole))[1:]:
+            e = a + x.end()
+            if not _ONLY_PARTICLE.fullmatch(x.group()):
+                out.append((4, a, e))
+                if x.group().lower() in FUNCTION:
+                    break
     return out
 
 
@@ -250,30 +280,29 @@ def candidates(t: str, given: dict[str, int]) -> list[tuple[int, int, int]]:
 class Model:
     trees: boosting.Trees
     thresholds: tuple[float, ...]
-    given: dict[str, int]
+    given: frozenset[str]
+
 
+HELD = 5  # every fifth line is held out to calibrate the thresholds
 
-def train(given: dict[str, int] | None = None, copies: int = pii_examples.COPIES) -> Model:
-    """Trees from the labelled lines; every fifth line is held out to calibrate the thresholds."""
-    known = dict(given or {})
-    for names in (*pii_examples.GIVEN.values(), pii_examples.VI_FAMILY):
-        for n in names:
-            known.setdefault(n.lower(), 20)
+
+def train(copies: int = pii_examples.COPIES, lines: list[tuple[str, str]] | None = None) -> Model:
+    """Trees from the labelled lines; whole lines are held out to calibrate the thresholds."""
+    known = given_names()
     # every third listed name is unknown in training, so the trees do not rest on the list alone
-    listed = sorted({n.lower() for names in pii_examples.GIVEN.values() for n in names})
-    some = {k: v for k, v in known.items() if k not in set(listed[::3])}
+    some = known - set(sorted(known)[::3])
     rows, labels, kinds, held, missed = [], [], [], [], [0] * len(KINDS)
-    for i, (text, mentions) in enumerate(pii_examples.sample(copies)):
+    for i, _, text, mentions in pii_examples.sample(copies, lines=lines):
         t, _ = fold(text)
         truth = {(KINDS.index(k), a, b) for k, a, b in mentions}
-        found = set(candidates(t, some))
+        found = set(candidates(t))
         for k, _, _ in truth - found:
-            missed[k] += i % 5 == 0
+            missed[k] += i % HELD == 0
         for c in sorted(found):
             rows.append(features(c[0], t, c[1], c[2], some))
             labels.append(c in truth)
             kinds.append(c[0])
-            held.append(i % 5 == 0)
+            held.append(i % HELD == 0)
     x, y, k, h = np.array(rows), np.array(labels, dtype=float), np.array(kinds), np.array(held)
     trees = boosting.fit(x[~h], y[~h])
     p = trees.score(x[h])
@@ -281,6 +310,12 @@ def train(given: dict[str, int] | None = None, copies: int = pii_examples.COPIES
     return Model(trees, thresholds, known)
 
 
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of all labelled lines; it does not depend on the corpus."""
+    return train()
+
+
 def mentions_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int]]]:
     """Accepted mentions of each text: the most probable spans that do not overlap, longer ones first at equal probability."""
     rows, spans, folded = [], [], []
@@ -288,7 +323,7 @@ def mentions_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int
         t, at = fold(text)
         folded.append((t, at))
         lefts: dict = {}
-        for kind, a, b in candidates(t, model.given):
+        for kind, a, b in candidates(t):
             rows.append(features(kind, t, a, b, model.given, lefts))
             spans.append((i, kind, a, b))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
@@ -315,40 +350,21 @@ def _end(text: str, at: list[int], b: int) -> int:
     return end
 
 
-SIGNED = r"\b(?=[ARMFDSIGHn])(?:Author: |Reviewed-by: |name=|(?:Mr|Mrs|Ms|Frau|Herr|Mme|Don|Doña)\.? |According to |My name is |Selon |Según |Ich heiße |Signé : |Firmado: |Gezeichnet: )([A-ZÀ-Ý]\p{L}+) "
-
-
-def learn_given(df: DataFrame, text: str = "text") -> dict[str, int]:
-    """First names after titles and signatures, counted over all texts in the JVM.
-
-    Only names seen ``LEAST_SEEN`` times and on at least a millionth of the texts come to the driver, so
-    their number is bounded by how often such phrases can occur in a text.
-    """
-    n = df.where(F.col(text).contains(" ")).select(F.explode(F.regexp_extract_all(text, F.lit(SIGNED), F.lit(1))).alias("w"))
-    counts = stored(n.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n")), "given")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {r[0]: int(r[1]) for r in counts.where(F.col("n") >= max(LEAST_SEEN, total * 1e-6)).collect() if r[0] not in BAD_NAME}
-
-
 def mentions(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(key, kind, start_pos, end_pos) of every mention, positions in code points, distinct.
 
     NULL and empty texts give none; repeated rows fold.
     """
     rows = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(key).isNotNull()).select(key, text)
-    model = train(learn_given(rows, text)) if model is None else model
+    model = trained() if model is None else model
     kind = dict(df.dtypes)[key]
 
     def make():
         def one(keys, texts):
-            size = a = 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size > 500_000 or i == len(texts) - 1:
-                    for k, found in zip(keys[a: i + 1], mentions_of(texts[a: i + 1], model)):
-                        for m in found:
-                            yield k, *m
-                    a, size = i + 1, 0
+            for a, b in slices(texts, SLICE_CHARS):
+                for k, found in zip(keys[a:b], mentions_of(texts[a:b], model)):
+                    for m in found:
+                        yield k, *m
 
         return one
 
@@ -365,7 +381,7 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
 
 def redacted(df: DataFrame, text: str = "text", model: Model | None = None) -> DataFrame:
     """``df`` with ``redacted``: the text with each mention replaced by the placeholder of its kind."""
-    model = train(learn_given(df, text)) if model is None else model
+    model = trained() if model is None else model
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
