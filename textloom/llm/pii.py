@@ -93,8 +93,8 @@ _AT = r"(?:@|\s?(?:\[at\]|\(at\)|\{at\})\s?|\sAT\s)"
 EMAIL = re.compile(rf"(?<![\w.+'’-])(?:{_LOCAL})(?:\s?(?:\[dot\]|\(dot\)|DOT)\s?{_LOCAL})*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+")
 _AT_HINT = re.compile(r"@|[\[({]at[\])}]|\sAT\s")
 
-PHONE = re.compile(r"(?<![\w@#.:/-])(?<!\d[ ])(?:\(\+\d{1,3}\)|\+\d{1,3}|\(\d{2,5}\)|00\d{2}|\d)(?:[ \n]?\(\d{1,4}\))?(?:[ .\-/\n]?\d){5,13}(?![\w@])")
-NUMBER_ID = re.compile(r"(?<![\w@#./-])(?<!\d[ ])\d(?:[ \n.-]?\d){7,14}(?:[ -]?[A-Z])?(?![\w@])")
+PHONE = re.compile(r"(?=[(+\d])(?<![\w@#.:/-])(?<!\d[ ])(?:\(\+\d{1,3}\)|\+\d{1,3}|\(\d{2,5}\)|00\d{2}|\d)(?:[ \n]?\(\d{1,4}\))?(?:[ .\-/\n]?\d){5,13}(?![\w@])")
+NUMBER_ID = re.compile(r"(?=\d)(?<![\w@#./-])(?<!\d[ ])\d(?:[ \n.-]?\d){7,14}(?:[ -]?[A-Z])?(?![\w@])")
 LETTER_ID = re.compile(r"(?<![\w@#./-])(?:[A-Z]{1,3}-?\d{6,9}[A-Z]?|[A-Z]\d[ \n]\d{6}|[A-Z]-\d{6,8}-[A-Z]|[A-Za-z]{2}(?:[ \n]?\d){6}[ \n]?[A-Da-d])(?![\w-])")
 
 # capitals of the Latin script, Vietnamese included, by rule from the Unicode data
@@ -104,20 +104,26 @@ _WAY = r"(?:Street|St\.|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.|Close|Cou
 _FLAT = r"(?:Flat|Apt\.?|Apartment|Unit|Suite|Room|No\.)[ \n]\d+[A-Za-z]?"
 _WAY_FR, _WAY_ES = r"(?:rue|avenue|boulevard|bd|place|allée|chemin|impasse|quai|route|cours)", r"(?:(?:Avda\.|Av\.|Avenida|Calle|Plaza|Pza\.|Paseo|Camino|Ronda)|C/)"
 _END_DE, _WAY_DE = r"(?:straße|strasse|weg|platz|allee|gasse|ring|ufer|damm|steig)", r"(?:Str\.|Straße|Weg|Platz|Allee|Gasse|Ring)"
-ADDRESS = [  # what every match holds, pattern
-    (re.compile(_WAY), re.compile(rf"(?:\b{_FLAT},[ \n])?\b\d{{1,5}}[A-Za-z]?[ \n](?:(?:North|South|East|West|N\.|S\.|E\.|W\.)[ \n])?(?:{_CAP}[ \n]){{1,3}}{_WAY}(?:,?[ \n]{_FLAT})?")),
-    (re.compile(rf"\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der)[ \n][{_UP}]"), re.compile(rf"\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der)[ \n]{_CAP}[ \n]\d{{1,4}}[a-z]?\b")),
-    (re.compile(rf"(?:{_END_DE}|{_WAY_DE})[ \n]\d"), re.compile(rf"\b{_CAP}(?:{_END_DE}|[ \n]{_WAY_DE})[ \n]\d{{1,4}}[a-z]?\b")),
-    (re.compile(rf"\d[ \n\w,]*?[ \n]{_WAY_FR}[ \n]"), re.compile(rf"\b\d{{1,4}}(?:[ \n](?:bis|ter))?,?[ \n]{_WAY_FR}[ \n](?:(?:de[ \n]la|de|du|des|d['’]|la|le)[ \n]?)?{_CAP}(?:[ \n-]{_CAP})?")),
-    (re.compile(_WAY_ES), re.compile(rf"(?:\b(?:Avda\.|Av\.|Avenida|Calle|Plaza|Pza\.|Paseo|Camino|Ronda)|\bC/)[ \n](?:(?:de[ \n]la|de|del|los|las)[ \n])?{_CAP}(?:[ \n]{_CAP})?,?[ \n](?:n\.º[ \n])?\d{{1,4}}(?:,[ \n]\d{{1,2}}\.?º(?:[ \n][A-Z]\b)?)?")),
-    (None, re.compile(rf"\b\d{{1,4}}(?:/\d{{1,4}})*[A-Z]?(?:[ \n]ngõ[ \n]\d{{1,4}}(?:/\d+)?|[ \n]hẻm[ \n]\d+)?[ \n](?:(?:đường|phố|Đường|Phố)[ \n]{_CAP}(?:[ \n]{_CAP}){{0,2}}|{_CAP}[ \n]{_CAP})")),
+ADDRESS = [  # strings one of which every match holds, what every match holds, pattern
+    (("Street", "St.", "Road", "Rd", "Ave", "Lane", "Ln", "Dr", "Close", "C", "Way", "Pl", "Sq", "Hill", "B", "Terr", "Row", "Walk", "G"), re.compile(_WAY),
+     re.compile(rf"(?:\b{_FLAT},[ \n])?\b\d{{1,5}}[A-Za-z]?[ \n](?:(?:North|South|East|West|N\.|S\.|E\.|W\.)[ \n])?(?:{_CAP}[ \n]){{1,3}}{_WAY}(?:,?[ \n]{_FLAT})?")),
+    (("Am", "Im", "der", "dem"), re.compile(rf"\b[AI](?:m|n[ \n]der|uf[ \n]dem)[ \n][{_UP}]"), re.compile(rf"\b(?:Am|An[ \n]der|Im|Auf[ \n]dem|In[ \n]der)[ \n]{_CAP}[ \n]\d{{1,4}}[a-z]?\b")),
+    (("stra", "weg", "latz", "llee", "asse", "ing", "ufer", "damm", "steig", "Str", "Weg"),
+     re.compile(r"[ \n](?=\d)(?:(?<=straße.)|(?<=asse.)|(?<=[wW]eg.)|(?<=latz.)|(?<=llee.)|(?<=ing.)|(?<=ufer.)|(?<=damm.)|(?<=steig.)|(?<=Str\..)|(?<=Straße.))", re.S),
+     re.compile(rf"\b{_CAP}(?:{_END_DE}|[ \n]{_WAY_DE})[ \n]\d{{1,4}}[a-z]?\b")),
+    (("rue", "avenue", "boulevard", "bd", "place", "allée", "chemin", "impasse", "quai", "route", "cours"), re.compile(rf"[ \n](?:{_WAY_FR})[ \n]"),
+     re.compile(rf"\b\d{{1,4}}(?:[ \n](?:bis|ter))?,?[ \n]{_WAY_FR}[ \n](?:(?:de[ \n]la|de|du|des|d['’]|la|le)[ \n]?)?{_CAP}(?:[ \n-]{_CAP})?")),
+    (("Avda.", "Av.", "Avenida", "Calle", "Plaza", "Pza.", "Paseo", "Camino", "Ronda", "C/"), re.compile(_WAY_ES),
+     re.compile(rf"(?:\b(?:Avda\.|Av\.|Avenida|Calle|Plaza|Pza\.|Paseo|Camino|Ronda)|\bC/)[ \n](?:(?:de[ \n]la|de|del|los|las)[ \n])?{_CAP}(?:[ \n]{_CAP})?,?[ \n](?:n\.º[ \n])?\d{{1,4}}(?:,[ \n]\d{{1,2}}\.?º(?:[ \n][A-Z]\b)?)?")),
+    (("",), re.compile(rf"\d[A-Z]?[ \n](?:[đĐpPnh]|[{_UP}][\w'’]*[ \n][{_UP}])"),
+     re.compile(rf"(?=\d)\b\d{{1,4}}(?:/\d{{1,4}})*[A-Z]?(?:[ \n]ngõ[ \n]\d{{1,4}}(?:/\d+)?|[ \n]hẻm[ \n]\d+)?[ \n](?:(?:đường|phố|Đường|Phố)[ \n]{_CAP}(?:[ \n]{_CAP}){{0,2}}|{_CAP}[ \n]{_CAP})")),
 ]
 
 _INITIAL = rf"[{_UP}]\."
 _PARTICLE = r"(?:de|du|da|del|della|di|van|von|zu|der|den|la|le|el|al|bin|ten|ter)"
 _FAMILY = rf"(?:(?:{_PARTICLE}[ \n]){{0,2}}(?:d['’])?{_CAP}(?:-{_CAP})*)"
-NAME = re.compile(
-    rf"(?<![\w@#.'’-])(?:{_CAP}(?:-{_CAP})?,[ \n]{_CAP}(?:[ \n]{_INITIAL})?|(?:{_CAP}(?:-{_CAP})?|{_INITIAL})(?:[ \n]{_INITIAL}){{0,2}}(?:[ \n]{_FAMILY}){{1,3}}|{_CAP}[ \n]{_INITIAL})(?![\w@])"
+NAME = re.compile(  # what begins a match is asked for first, as in the patterns above
+    rf"(?=['’{_UP}dD])(?<![\w@#.'’-])(?:{_CAP}(?:-{_CAP})?,[ \n]{_CAP}(?:[ \n]{_INITIAL})?|(?:{_CAP}(?:-{_CAP})?|{_INITIAL})(?:[ \n]{_INITIAL}){{0,2}}(?:[ \n]{_FAMILY}){{1,3}}|{_CAP}[ \n]{_INITIAL})(?![\w@])"
 )
 
 # --- context ----------------------------------------------------------------------------------------
@@ -182,6 +188,7 @@ def left_features(kind: int, t: str, a: int) -> tuple[float, ...]:
     prev = left[-1:] or "\n"
     number, name = kind in (1, 2), kind == 4
     if name:
+        left = left[-28:]  # what counts for a name stands right before it
         before = WORD_BEFORE.search(left)
         word_before = before.group(1).rstrip(".").lower() if before else ""
         titled = _TITLED.search(left) is not None
@@ -254,8 +261,8 @@ def candidates(t: str) -> list[tuple[int, int, int]]:
             out += [(1, *m.span()) for m in PHONE.finditer(t) if m.group().count("\n") < 2]
             out += [(2, *m.span()) for m in NUMBER_ID.finditer(t) if m.group().count("\n") < 2]
             out += [(2, *m.span()) for m in LETTER_ID.finditer(t)]
-        for needed, pattern in ADDRESS:
-            if needed is None or needed.search(t):
+        for some, needed, pattern in ADDRESS:
+            if any(x in t for x in some) and needed.search(t):
                 out += [(3, *m.span()) for m in pattern.finditer(t)]
         out = list(dict.fromkeys(out))
     at = 0
