@@ -50,6 +50,17 @@ def test_lookalike_pairs(spark):
     assert lookalikes.lookalike_pairs(rows.limit(0)).count() == 0
 
 
+def test_lookalike_classes_and_split_groups(spark, monkeypatch):
+    spell = lambda i: "one g" + ("аa"[i % 2]) + "te"
+    rows = raw(spark, [(f"k{i:03}", spell(i), "en", None, None) for i in range(60)] + [(f"x{i}", "the same", "en", None, None) for i in range(9)])
+    got = {r.doc_id: (r.class_id, r.n_spellings, r.n_others) for r in lookalikes.lookalike_classes(rows).collect()}
+    assert got == {f"k{i:03}": ("k000", 2, 30) for i in range(60)}
+    pairs = {tuple(r) for r in lookalikes.lookalike_pairs(rows).collect()}
+    monkeypatch.setattr(lookalikes, "GROUP", 7)
+    assert {tuple(r) for r in lookalikes.lookalike_pairs(rows).collect()} == pairs
+    assert len(pairs) == 900 and all(a < b for a, b in pairs)
+
+
 def test_consistent_keeps_columns(spark):
     rows = spark.createDataFrame([(1, "оne gate here", "eн", "x"), (2, None, None, "y"), (3, "", "", "z")], "doc_id int, text string, language string, _forms string")
     got = {r.doc_id: r for r in lookalikes.consistent(rows, model={}).collect()}
@@ -269,6 +280,14 @@ def test_budget_updates_equal_a_fresh_count(spark):
     want = sum(len(enc.encode_ordinary(r.text)) for r in deliveries(3).collect() if r.text)
     assert [r.n_tokens for r in fresh.where("source_id='*' and category='*' and language='*'").collect()] == [want]
     assert state.counts.count() == state.counts.select("content").distinct().count()
+    again = budget.State(spark, folder=state.folder)
+    assert sorted(map(tuple, again.cube.collect())) == sorted(map(tuple, cube.collect()))
+    assert sorted(map(tuple, again.update(deliveries(4)).collect())) == sorted(map(tuple, budget.State(spark).update(deliveries(4)).collect()))
+    # nothing is new: no text is read for encoding
+    assert budget.counted(deliveries(4), again.counts).count() == 0
+    known = again.counts.where("n_tokens < 3")
+    few, many = (sorted(map(tuple, budget.counted(deliveries(4), known, most=m).collect())) for m in (0, 100))
+    assert few == many and few
     assert budget.State(spark).update(deliveries(1).limit(0)).count() <= 1
 
 
@@ -385,6 +404,24 @@ def test_text_between_comparison_signs_is_searched(spark):
     assert {r.doc_id for r in leakage.regions(ddf, idf).collect() if r.exact} == {0, 1, 2, 3}
 
 
+def test_banded_alignment():
+    run = " the quick river gate opened for seven old ships "
+    assert leakage.banded("xx" + run + "yy", run, 1) == 0 and leakage.banded("xx" + run.replace("seven", "sevn") + "yy", run, 1) == 1
+    assert leakage.banded("xx" + run.replace("seven", "se en").replace("gate", "gat") + "yy", run, 1) == 2
+    rng = random.Random(1)
+    for _ in range(300):
+        a = "".join(rng.choice("ab ") for _ in range(rng.randrange(4, 12)))
+        t = "".join(rng.choice("ab ") for _ in range(rng.randrange(0, 14)))
+        row = [0] * (len(t) + 1)  # edit distance to the best stretch, by the whole table
+        for i, ch in enumerate(a, 1):
+            new = [i]
+            for j in range(1, len(t) + 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (t[j - 1] != ch)))
+            row = new
+        for k in (1, 2):
+            assert leakage.banded(t, a, k) == min(min(row), k + 1), (t, a, k)
+
+
 def test_one_edit_is_a_region(spark):
     item = "the quick river gate opened for seven old ships near the tower of stone at dawn"
     ddf = spark.createDataFrame([(1, "well " + item.replace("seven", "sevem") + " so"), (2, item.replace("seven", "all the many"))], "doc_id bigint, text string")

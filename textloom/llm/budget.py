@@ -1,7 +1,7 @@
 """Problem 5: token totals by source, category and language, kept up to date by signed deltas.
 
-State, all in one folder: a count table (content hash, tokenizer hash) -> tokens that only grows, and the
-slice and content of every document as last seen.  An update encodes only contents the count table lacks,
+State, all in one folder that can be reopened: a count table (content hash, tokenizer hash) -> tokens that only
+grows, and the slice and content of every document as last seen.  An update encodes only contents the count table lacks,
 compares documents with the last state and adds signed deltas to the cube: new documents count plus,
 removed ones minus, changed ones both.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from ..functions.text import canonical_name
-from ..session import stored
+from ..session import shared_dir, stored
 from .lookalikes import Resolver
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,7 +55,11 @@ def token_counter(path: str = VOCABULARY):
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         e = encoding(path)
         for texts in batches:
-            yield pd.Series([None if t is None else len(e.encode_ordinary(t)) for t in texts], index=texts.index, dtype="Int64")
+            seen: dict = {None: None}  # copies in a batch are encoded once
+            for t in texts:
+                if t not in seen:
+                    seen[t] = len(e.encode_ordinary(t))
+            yield pd.Series([seen[t] for t in texts], index=texts.index, dtype="Int64")
 
     return count
 
@@ -89,20 +94,43 @@ def documents(df: DataFrame, key: str = "doc_id") -> DataFrame:
     named = lambda c: F.when(c.isNull() | (c == ""), UNKNOWN).otherwise(c)
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key), named(canonical_name(odd("source_id"))).alias("source_id"), named(F.lower(F.trim("category"))).alias("category"),
-        language_key(odd("language")).alias("language"), F.md5("text").alias("content"),
+        language_key(odd("language")).alias("language"), digest().alias("content"),
         F.coalesce(F.col("ingested_at"), F.lit("1970-01-01").cast("timestamp")).alias("at"),
     )
-    latest = F.max(F.struct("at", F.coalesce("content", F.lit("")).alias("tie"), "source_id", "category", "language", "content")).alias("d")
+    latest = F.max(F.struct("at", F.coalesce("content", F.lit(b"")).alias("tie"), "source_id", "category", "language", "content")).alias("d")
     return rows.groupBy(key).agg(latest).select(key, "d.source_id", "d.category", "d.language", "d.content")
 
 
-def counted(df: DataFrame, known: DataFrame | None, path: str = VOCABULARY) -> DataFrame:
-    """(content, tokenizer, n_tokens) of contents of ``df`` that ``known`` lacks, each encoded once."""
+BROADCAST_ROWS = 200_000  # unseen contents up to this number (16 bytes each) are sent to the tasks, more are joined
+SALTS = 16
+COUNTS = "content binary, tokenizer string, n_tokens bigint"
+
+
+def digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(text))
+
+
+def counted(df: DataFrame, known: DataFrame | None, path: str = VOCABULARY, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(content, tokenizer, n_tokens) of contents of ``df`` that ``known`` lacks.
+
+    Hashes are compared before any text moves.  Texts are encoded where they are read; a text is shuffled
+    only if more than ``most`` contents are new next to known ones, and then with a salt.
+    """
     ident = tokenizer_id(path)
-    texts = df.where(F.col("text").isNotNull()).groupBy(F.md5("text").alias("content")).agg(F.first("text").alias("text"))
+    rows = df.where(F.col("text").isNotNull()).select(digest().alias("content"), "text")
     if known is not None:
-        texts = texts.join(known.where(F.col("tokenizer") == ident).select("content"), "content", "left_anti")
-    return texts.select("content", F.lit(ident).alias("tokenizer"), token_counter(path)("text").alias("n_tokens"))
+        have = known.where(F.col("tokenizer") == ident).select("content")
+        unseen = stored(rows.select("content").distinct().join(have, "content", "left_anti"), "unseen")
+        n = unseen.count()
+        if not n:
+            return df.sparkSession.createDataFrame([], COUNTS)
+        if n <= most:
+            rows = rows.join(F.broadcast(unseen), "content", "left_semi")
+        else:
+            salted = unseen.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("salt", (F.rand(1) * SALTS).cast("int")).join(salted, ["content", "salt"], "left_semi")
+    sized = rows.select("content", token_counter(path)("text").alias("n_tokens"))
+    return sized.groupBy("content").agg(F.max("n_tokens").alias("n_tokens")).select("content", F.lit(ident).alias("tokenizer"), "n_tokens")
 
 
 DIMENSIONS = ["source_id", "category", "language"]
@@ -118,31 +146,83 @@ def cube(deltas: DataFrame) -> DataFrame:
     return summed.select(*[F.coalesce(c, F.lit(ALL)).alias(c) for c in DIMENSIONS], "n_docs", "n_tokens")
 
 
+GENERATIONS = 16  # count tables read side by side before they are written as one
+
+
 class State:
-    """Count table, last documents and cube.  Tables are written to the shared folder and replaced as a whole."""
+    """Count table, last documents and cube, in the generations of one folder.
 
-    def __init__(self, spark: SparkSession, path: str = VOCABULARY):
+    Every update writes a generation and marks it when it is complete, so an update that is cut short leaves
+    the one before in force.  With ``folder`` a state goes on where the last one ended; without it a new
+    folder in the shared one is taken.
+    """
+
+    def __init__(self, spark: SparkSession, path: str = VOCABULARY, folder: str | None = None):
         self.spark, self.path = spark, path
+        self.folder = (folder or f"{shared_dir(spark)}/budget-{uuid.uuid4().hex}").rstrip("/")
         self.counts: DataFrame | None = None
         self.docs: DataFrame | None = None
         self.cube: DataFrame | None = None
+        done = self._generations()
+        self.generation = done[-1] if done else 0
+        if done:
+            self._open(done)
+
+    def _fs(self):
+        jvm = self.spark._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.folder)
+        return jvm, where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _generations(self) -> list[int]:
+        """Complete generations in order, from the last one that holds all counts."""
+        jvm, where, fs = self._fs()
+        if not fs.exists(where):
+            return []
+        names = {int(f.getPath().getName()) for f in fs.listStatus(where) if f.getPath().getName().isdigit()}
+        done = sorted(g for g in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{g:08d}/done")))
+        whole = [g for g in done if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{g:08d}/whole"))]
+        return [g for g in done if not whole or g >= whole[-1]]
+
+    def _open(self, done: list[int]) -> None:
+        at = lambda g, name: f"{self.folder}/{g:08d}/{name}"
+        self.counts = self.spark.read.schema(COUNTS).parquet(*[at(g, "counts") for g in done])
+        self.docs, self.cube = self.spark.read.parquet(at(done[-1], "documents")), self.spark.read.parquet(at(done[-1], "cube"))
+
+    def _write(self, df: DataFrame, generation: int, name: str) -> DataFrame:
+        path = f"{self.folder}/{generation:08d}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def update(self, df: DataFrame, key: str = "doc_id") -> DataFrame:
         """Bring the state to the deliveries in ``df`` and give the cube.  Keys that ``df`` lacks are removed."""
-        new = stored(counted(df, self.counts, self.path), "counts")
-        self.counts = new if self.counts is None else self.counts.unionByName(new)
+        g = self.generation + 1
+        new = counted(df, self.counts, self.path)
+        whole = self.counts is None or len(self._generations()) >= GENERATIONS
+        if whole and self.counts is not None:
+            new = self.counts.unionByName(new)
+        new = self._write(new, g, "counts")
+        counts = new if whole else self.counts.unionByName(new)
         ident = tokenizer_id(self.path)
-        sizes = self.counts.where(F.col("tokenizer") == ident).select("content", "n_tokens")
-        now = documents(df, key).join(sizes, "content", "left").select(key, *DIMENSIONS, "content", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
-        now = stored(now, "documents")
-        deltas = self.deltas(now, key)
-        added = cube(deltas)
+        sizes = counts.where(F.col("tokenizer") == ident).select("content", "n_tokens")
+        now = self._write(self.sized(documents(df, key), sizes, key), g, "documents")
+        added = cube(self.deltas(now, key))
         if self.cube is not None:
             added = self.cube.unionByName(added).groupBy(*DIMENSIONS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        self.cube = stored(added.where("n_docs <> 0 or n_tokens <> 0"), "cube")
-        self.docs = now
+        self._write(added.where("n_docs <> 0 or n_tokens <> 0"), g, "cube")
+        jvm, _, fs = self._fs()
+        for mark in (["whole"] if whole else []) + ["done"]:
+            fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{g:08d}/{mark}")).close()
+        self.generation = g
+        self._open(self._generations())
         return self.cube
 
+    @staticmethod
+    def sized(docs: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
+        """Documents with the tokens of their content; a content that many documents share is joined with a salt."""
+        salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        docs = docs.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        return docs.join(salted, ["content", "salt"], "left").select(key, *DIMENSIONS, "content", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+
     def deltas(self, now: DataFrame, key: str) -> DataFrame:
         """Signed rows: +1 for what a document is now, -1 for what it was; unchanged documents give none."""
         plus = now.select(key, *DIMENSIONS, "content", F.lit(1).cast("bigint").alias("n_docs"), "n_tokens")
@@ -150,5 +230,4 @@ class State:
             return plus
         minus = self.docs.select(key, *DIMENSIONS, "content", F.lit(-1).cast("bigint").alias("n_docs"), (-F.col("n_tokens")).alias("n_tokens"))
         same = [key, *DIMENSIONS, "content"]
-        both = plus.unionByName(minus).withColumn("content", F.coalesce("content", F.lit("")))
-        return both.groupBy(*same).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return plus.unionByName(minus).groupBy(*same).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")

@@ -8,8 +8,9 @@ characters that matches a passage with at most k edits shares at least n - q + 1
    length with fewer marks than the lemma's bound are dropped.
 2. In what is left, shared q-grams are counted per item in overlapping bands of diagonals; bands below the
    item's bound are dropped.
-3. The region of each remaining band is verified by an alignment inside the band, and last by an exact
-   check for consecutive words.
+3. The region of each remaining band is verified by an alignment inside the band with at most ``EDITS`` edits.
+   ``p7_regions`` gives them all; ``p7_found`` asks last that the alignment needs no edit, so that the words are
+   consecutive.
 
 Items are the stated query set and are searched in blocks of bounded size; documents are read once a block
 and never shuffled.
@@ -186,30 +187,37 @@ class Index:
 
 
 def aligned(region: str, item: Item, edits: int) -> tuple[int, bool]:
-    """Length of the longest passage of the item that the region holds, or 0, and whether it is word for word."""
-    best = max((len(r) for r in item.runs if r in region), default=0)
-    if best or not edits:
-        return best, best > 0
-    return max((len(r) for r in item.runs if banded(region, r, edits)), default=0), False
+    """Length of the longest passage of the item that aligns with the region inside the band, or 0, and whether it does so without an edit."""
+    exact = near = 0
+    for r in item.runs:
+        distance = banded(region, r, edits)
+        if distance == 0:
+            exact = max(exact, len(r))
+        elif distance <= edits:
+            near = max(near, len(r))
+    return exact or near, exact > 0
 
 
-def banded(region: str, run: str, edits: int) -> bool:
-    """Whether the run occurs in the region with at most ``edits`` edits.
+def banded(region: str, run: str, edits: int) -> int:
+    """Fewest edits with which the run occurs in the region, ``edits`` + 1 if it takes more.
 
     Pieces of the run, one more than there are edits, fix the diagonals: one piece must occur unchanged.
-    The alignment then stays within ``edits`` of that diagonal.
+    The alignment then stays within ``edits`` of that diagonal; on the diagonal itself it is a comparison.
     """
     parts = edits + 1
     step = len(run) // parts
+    best = edits + 1
     for p in range(parts):
         piece = run[p * step: (p + 1) * step if p < edits else len(run)]
         at = region.find(piece)
         while at >= 0:
             start = at - p * step
-            if _band_distance(region, run, start, edits) <= edits:
-                return True
+            if start >= 0 and region.startswith(run, start):
+                return 0
+            if best > 1:
+                best = min(best, _band_distance(region, run, start, edits))
             at = region.find(piece, at + 1)
-    return False
+    return best
 
 
 def _band_distance(region: str, run: str, start: int, edits: int) -> int:
@@ -281,6 +289,9 @@ def regions(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str =
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id) of documents that hold a passage of an item word for word: regions plus the exact check."""
-    near = regions(docs, items, key, text, edits=0)
+    """(key, item_id) of documents that hold a passage of an item word for word.
+
+    The regions are those within ``EDITS`` edits; of them the ones whose alignment needs none are leaks.
+    """
+    near = regions(docs, items, key, text, edits=EDITS)
     return near.where("exact").select(key, "item_id").distinct()

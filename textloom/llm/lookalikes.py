@@ -138,6 +138,12 @@ class Resolver:
         self.cache: dict[tuple[str, int], str] = {}
 
     def form(self, text: str) -> str:
+        """The text with every token replaced by the best path through its lattice.
+
+        The lattice of a letter is the same whichever of its look-alikes was written, so texts that look
+        the same get one form, and letters of different looks share no lattice.  A token of letters that only
+        Latin has, in a text without other scripts, has one path and is not searched.
+        """
         sk = skeleton(text)
         other = _OTHER.findall(sk)
         if not other and _CLEAR_LATIN.search(sk):
@@ -296,17 +302,40 @@ def form_keys(df: DataFrame, key: str = "doc_id", text: str = "text", language:
     return map_rows(rows, make, f"{key} {kind}, form binary, raw binary").distinct()
 
 
+GROUP = 4096  # records of a form that one task pairs with the others
+
+
+def mixed_forms(keys: DataFrame) -> DataFrame:
+    """(form, n, n_spellings) of the forms that stand for more than one spelling; ``keys`` is of ``form_keys``."""
+    per_raw = keys.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("n"))
+    return per_raw.groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_spellings")).where("n_spellings > 1")
+
+
+def lookalike_classes(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "language") -> DataFrame:
+    """(key, class_id, n_spellings, n_others): one row per record that looks like one of other characters.
+
+    ``class_id`` is the lowest key of the class, ``n_others`` the number of its records that are spelled
+    otherwise.  Groups of any size come out in proportion to their records, never as pairs.
+    """
+    keys = stored(form_keys(df, key, text, language), "forms")
+    per_raw = keys.groupBy("form", "raw").agg(F.count(F.lit(1)).alias("same"), F.min(key).alias("first"))
+    per_form = per_raw.groupBy("form").agg(F.sum("same").alias("n"), F.count(F.lit(1)).alias("n_spellings"), F.min("first").alias("class_id")).where("n_spellings > 1")
+    known = per_raw.join(per_form, "form").select("form", "raw", "class_id", "n_spellings", (F.col("n") - F.col("same")).alias("n_others"))
+    # rows of one spelling are joined with a salt, so a hot text is spread
+    salt = F.pmod(F.xxhash64(key), F.lit(64)).cast("int")
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    return keys.withColumn("salt", salt).join(salted, ["form", "raw", "salt"]).select(key, "class_id", "n_spellings", "n_others").distinct()
+
+
 def lookalike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", language: str = "language") -> DataFrame:
     """Pairs (a < b) of records that look the same and differ in characters.
 
     Groups in which nothing differs, however large, never reach the join; rows with the same characters
-    are not paired with each other.
+    are not paired with each other.  A form of n records is split over n / ``GROUP`` tasks.
     """
     keys = stored(form_keys(df, key, text, language), "forms")  # feeds three branches
-    mixed = keys.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("form")
-    # a few digests per look-alike group
-    rows = keys.join(mixed, "form", "left_semi")
-    a = rows.select("form", F.col(key).alias(f"{key}_a"), F.col("raw").alias("raw_a"))
-    b = rows.select("form", F.col(key).alias(f"{key}_b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, "form").where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("raw_a") != F.col("raw_b")))
+    rows = keys.join(mixed_forms(keys), "form").withColumn("parts", F.ceil(F.col("n") / GROUP).cast("int"))
+    a = rows.select("form", F.pmod(F.xxhash64(key), F.col("parts")).cast("int").alias("part"), F.col(key).alias(f"{key}_a"), F.col("raw").alias("raw_a"))
+    b = rows.select("form", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col(key).alias(f"{key}_b"), F.col("raw").alias("raw_b"))
+    pairs = a.join(b, ["form", "part"]).where((F.col(f"{key}_a") < F.col(f"{key}_b")) & (F.col("raw_a") != F.col("raw_b")))
     return pairs.select(f"{key}_a", f"{key}_b").distinct()

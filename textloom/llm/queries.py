@@ -31,6 +31,12 @@ def p1_consistent(spark, d):
     return rows.select("doc_id", F.md5("text_form").alias("form_md5"), "language_form", (~F.col("text").eqNullSafe(F.col("text_form"))).alias("changed"))
 
 
+@query
+def p1_classes(spark, d):
+    """Records that look like one of other characters, with their class; no pairs."""
+    return lookalikes.lookalike_classes(table(spark, d, "raw_documents"))
+
+
 @query
 def p2_found(spark, d):
     rows = textstats.statistics(table(spark, d, "raw_documents").where("text <> ''"))
@@ -158,6 +164,18 @@ def p5_cube_update(spark, d):
     return state.update(raw)
 
 
+@query
+def p5_documents(spark, d):
+    """Documents of every category and in all, from the cube."""
+    cube = budget.State(spark).update(table(spark, d, "raw_documents"))
+    return cube.where("source_id = '*' and language = '*'").select("category", "n_docs")
+
+
+SQL["p5_documents"] = """WITH l AS (SELECT DISTINCT ON (doc_id) doc_id, coalesce(nullif(lower(trim(category)), ''), 'unknown') AS category FROM raw_documents
+    WHERE doc_id IS NOT NULL ORDER BY doc_id, ingested_at DESC NULLS LAST)
+  SELECT coalesce(category, '*') AS category, count(*) AS n_docs FROM l GROUP BY ROLLUP (category)"""
+
+
 @query
 def p8_draws(spark, d):
     return mixing.draws(table(spark, d, "documents"), table(spark, d, "mixture_targets"))[0]
