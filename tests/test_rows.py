@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import accounting, dedup, lineage, mixture, packing, shards
+from textloom import session
+from textloom.operators import accounting, dedup, gate, lineage, mixture, packing, shards
 from textloom.operators.prefix import with_running_total
 from textloom.operators.ranking import ranked
 from textloom.sources import adapters, config, registry
@@ -102,6 +103,93 @@ def test_running_total_and_rank(spark):
         assert [ranks[i] for i, x, _ in sorted(vals, key=lambda r: r[2]) if x == v] == list(range(1, sum(x == v for _, x, _ in vals) + 1))
 
 
+def test_running_total_with_ties_nulls_and_wide_columns(spark):
+    rows = [(k, i, "x" * i) for i, k in enumerate(["b", "a", None, "b", "b", None, "prefix-of-many-keys-1", "prefix-of-many-keys-2"])]
+    df = spark.createDataFrame(rows, "k string, v int, wide string").repartition(3)
+    got = with_running_total(df, "k", {"t": F.col("v"), "n": F.lit(1)}, tie=["v"]).collect()
+    total = 0
+    for n, (k, v, w) in enumerate(sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))):
+        (r,) = [r for r in got if r.v == v]
+        assert (r.k, r.wide, r.t, r.n) == (k, w, total, n)
+        total += v
+    assert with_running_total(df.limit(0), "k", {"t": F.col("v")}).count() == 0
+    # rows that tie in everything stay as many as they are
+    assert with_running_total(spark.createDataFrame([(1, 2)] * 5, "k int, v int"), "k", {"t": F.col("v")}).agg(F.sum("t")).first()[0] == 20
+
+
+def test_hot_copies(spark):
+    rows = spark.createDataFrame([(i, "same" if i % 3 else f"t{i % 4}") for i in range(60)] + [(99, None)], "doc_id bigint, text string")
+    want = sorted(map(tuple, dedup.membership(rows).collect()))
+    assert sorted(map(tuple, dedup.membership(rows, hot=10).collect())) == want and len(want) == 60
+    most, dedup.MOST_HOT = dedup.MOST_HOT, 0
+    try:
+        assert sorted(map(tuple, dedup.membership(rows, hot=10).collect())) == want
+    finally:
+        dedup.MOST_HOT = most
+
+
+def test_dataset_gate(spark):
+    shards_of = lambda rows: spark.createDataFrame(rows, "shard_name string, sha256 string")
+    reg = spark.createDataFrame([(f"s{i}", "MIT") for i in range(6)], "source_id string, license string")
+    tok = spark.createDataFrame([("FROZEN", "h", "h")], "status string, tokenizer_hash string, expected_hash string")
+    good = shards_of([("shard-0", "a"), ("shard-1", "b")])
+    assert gate.dataset_reasons(good, good, reg, tok).count() == 0
+    assert gate.dataset_status(gate.dataset_reasons(good, good, reg, tok)).first().status == "READY"
+    bad_reg = spark.createDataFrame([("s0", None), ("s1", "UNKNOWN"), ("s2", "MIT")], "source_id string, license string")
+    bad_tok = spark.createDataFrame([("TRAINED", "h", "g")], tok.schema)
+    got = {r.reason for r in gate.dataset_reasons(good, shards_of([("shard-1", "x")]), bad_reg, bad_tok).collect()}
+    assert got == {"MISSING_SHARD_shard-0", "CORRUPTED_SHARD_shard-1", "UNRESOLVED_LICENSE_s0", "UNRESOLVED_LICENSE_s1", "INSUFFICIENT_APPROVED_SOURCES", "TOKENIZER_NOT_FROZEN", "TOKENIZER_HASH_MISMATCH"}
+    empty = {r.reason for r in gate.dataset_reasons(shards_of([]), shards_of([]), reg, tok.limit(0)).collect()}
+    assert empty == {"ZERO_SHARDS_IN_MANIFEST", "MISSING_TOKENIZER_FILE"}
+
+
+def test_blocks_and_fallback(spark, tmp_path):
+    packed = packing.pack(spark.createDataFrame([(i, list(range(i))) for i in range(9)], "doc_id bigint, tokens array<int>"), "doc_id", length=6)
+    shards.write_blocks(packed, str(tmp_path / "b"), 2)
+    assert sorted(map(tuple, shards.read_blocks(spark, str(tmp_path / "b")).drop("shard").collect())) == sorted(map(tuple, packed.collect()))
+    assert [r.seq_idx for r in shards.read_blocks(spark, str(tmp_path / "b"), "shard-000001").orderBy("seq_idx").collect()] == [2, 3]
+    live = spark.range(3)
+    assert adapters.with_fallback(lambda: live, spark.range(9)).count() == 3
+    assert adapters.with_fallback(lambda: spark.read.parquet(str(tmp_path / "none")), live).count() == 3
+    assert adapters.with_fallback(lambda: spark.range(0), live).count() == 3
+
+
+def test_permissions(spark):
+    reg = spark.createDataFrame([("s_1", True), ("s_2", False), ("s_3", None)], "source_id string, allowed_for_training boolean")
+    rows = spark.createDataFrame([(1, "S-1"), (2, "s_2"), (3, "s_3"), (4, None)], "id int, source_id string")
+    assert [r.id for r in registry.permitted(rows, reg).collect()] == [1]
+    with pytest.raises(ValueError):
+        registry.require_permitted(rows, reg)
+    assert registry.require_permitted(rows.where("id = 1"), reg).count() == 1
+
+
+def test_lineage_cycles(spark):
+    rows = spark.createDataFrame([("a", "e", "b", 1), ("b", "e", "a", 2)], "checkpoint_id string, experiment_id string, parent_id string, step bigint")
+    with pytest.raises(ValueError):
+        lineage.ancestry(rows)
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    class Elsewhere:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: Elsewhere)
+
+        @staticmethod
+        def getCheckpointDir():
+            return Elsewhere
+
+        isDefined = staticmethod(lambda: False)
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Elsewhere)
+
+
 def test_sampling(spark):
     with pytest.raises(ValueError):
         mixture.check_policy({"web": 0.9, "math": 0.9})
@@ -168,6 +256,9 @@ def test_settings(tmp_path):
     assert config.Settings.load(str(tmp_path / "s.json")) == s
     with pytest.raises(ValueError):
         config.Settings(sequence_length=0)
+    (tmp_path / "s.yaml").write_text("seed: 7  # a note\npolicy:\n  web: 1.0\n")
+    assert config.Settings.load(str(tmp_path / "s.yaml")) == config.Settings(seed=7, policy={"web": 1.0})
+    assert mixture.estimated_documents(100_000_000) == 24415 * 120
 
 
 def test_adapters(spark):

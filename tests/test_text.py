@@ -1,5 +1,6 @@
 """Cleaning, filters and scores against plain Python on strings the tables do not hold."""
 
+import hashlib
 import re
 import unicodedata
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions.text import canonical_name, nfc, py_strip, shingles, words
-from textloom.operators import cleaning, filters, hashing
+from textloom.operators import cleaning, filters, hashing, tokenization
 
 STRINGS = [
     None, "", " ", "é lone ́", "a b　c\x85d\x1ce", "  edge ", "١٢٣.١.٢.٣ call 555-123-4567",
@@ -102,6 +103,21 @@ def test_hashes(spark):
     assert hashing.dataset_hash({**m, "shards": shards}) != hashing.dataset_hash({**m, "shards": shards[:2]})
 
 
+def test_canonical_values(tmp_path):
+    """Floats are numbers rounded to eight significant digits; everything JSON does not know is text."""
+    assert hashing.canonical({"b": (1, 0.1 + 0.2), "a": 1 / 3, "c": None, "d": True}) == {"a": 0.33333333, "b": [1, 0.3], "c": None, "d": True}
+    assert hashing.canonical_hash({"x": 0.1 + 0.2}) == hashing.canonical_hash({"x": 0.3}) != hashing.canonical_hash({"x": "0.3"})
+    assert hashing.canonical_hash({"lr": 3e-4, "n": 2.0}) == hashlib.sha256(b'{"lr":0.0003,"n":2.0}').hexdigest()
+    path = tmp_path / "t.json"
+    path.write_text('{"model": {"p": 0.1000000001, "v": ["é"]}}')
+    assert tokenization.tokenizer_hash(str(path)) == hashlib.sha256(b'{"model":{"p":0.1,"v":["\\u00e9"]}}').hexdigest()
+    frozen = tokenization.freeze(str(path), "v1")
+    tokenization.guard(str(path), frozen["tokenizer_hash"], frozen["status"])
+    for expected, status in (("0" * 64, "FROZEN"), (frozen["tokenizer_hash"], "TRAINED")):
+        with pytest.raises(ValueError):
+            tokenization.guard(str(path), expected, status)
+
+
 def test_names(spark):
     df = spark.createDataFrame([("Falmor_Web_V1",), (" falmor-web-v1​",), ("falmor.web.v1",), (None,)], "s string")
     assert [r[0] for r in df.select(canonical_name("s")).collect()] == ["falmor_web_v1"] * 3 + [None]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 from ..functions.text import col
-from ..session import cut
+from ..session import cut, stored
 
 PERMUTATIONS, THRESHOLD, SHINGLE = 64, 0.8, 5
 
@@ -34,15 +34,29 @@ def exact_first(df: DataFrame, text: str = "text", order_by: str = "doc_id") ->
     return firsts
 
 
-def membership(df: DataFrame, text: str = "text", order_by: str = "doc_id") -> DataFrame:
-    """One row per document with the lowest id of its exact copies as class id."""
-    firsts = exact_first(df, text, order_by)
-    return (
-        df.where(F.col(text).isNotNull())
-        .select(F.col(order_by), F.sha2(F.col(text), 256).alias("content_hash"))
-        .join(firsts, "content_hash")
-        .select(order_by, F.col("first_id").alias("class_id"), (F.col(order_by) != F.col("first_id")).alias("is_copy"))
-    )
+HOT, MOST_HOT = 100_000, 10_000  # copies from which on a text is hot, and hot texts sent to the tasks at most
+
+
+def membership(df: DataFrame, text: str = "text", order_by: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """One row per document with the lowest id of its exact copies as class id; NULL texts give none.
+
+    Classes of more than ``hot`` copies go to the tasks, so their rows are never gathered by content; there
+    are at most rows / ``hot`` of them, and beyond ``MOST_HOT`` all classes are joined with a salt instead.
+    """
+    firsts = stored(exact_first(df, text, order_by), "firsts")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(order_by), F.sha2(F.col(text), 256).alias("content_hash"))
+    large = firsts.where(F.col("copies") > hot).select("content_hash", F.col("first_id").alias("hot_id"))
+    n = large.count()
+    if n > MOST_HOT:
+        salted = firsts.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        joined = rows.withColumn("_s", F.pmod(F.xxhash64(order_by), F.lit(16)).cast("int")).join(salted, ["content_hash", "_s"])
+    elif n:
+        marked = rows.join(F.broadcast(large), "content_hash", "left")
+        cold = marked.where(F.col("hot_id").isNull()).join(firsts.where(F.col("copies") <= hot), "content_hash").select(order_by, "first_id")
+        joined = marked.where(F.col("hot_id").isNotNull()).select(order_by, F.col("hot_id").alias("first_id")).unionByName(cold)
+    else:
+        joined = rows.join(firsts, "content_hash")
+    return joined.select(order_by, F.col("first_id").alias("class_id"), (F.col(order_by) != F.col("first_id")).alias("is_copy"))
 
 
 def minhash(text: str | Column, permutations: int = PERMUTATIONS, size: int = SHINGLE) -> Column:
@@ -94,21 +108,21 @@ def band_ranges(permutations: int, threshold: float) -> list[tuple[int, int]]:
 
 
 def near_pairs(signed: DataFrame, key: str, permutations: int = PERMUTATIONS, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (id_a < id_b) of ``signed(key, sig)`` with at least the threshold of equal slots."""
+    """Pairs (id_a < id_b) of ``signed(key, sig)`` with at least the threshold of equal slots.
+
+    Only (band, id) goes through the band join; signatures are joined to the distinct pairs that come out.
+    """
     need = math.ceil(threshold * permutations - 1e-9)
     bands = F.array(*[
         F.xxhash64(F.lit(i), F.slice(F.col("sig"), start, length))
         for i, (start, length) in enumerate(band_ranges(permutations, threshold))
     ])
-    keyed = signed.select(F.col(key).alias("id"), "sig", F.explode(bands).alias("band"))
-    a = keyed.select(F.col("id").alias("id_a"), F.col("sig").alias("sig_a"), "band")
-    b = keyed.select(F.col("id").alias("id_b"), F.col("sig").alias("sig_b"), "band")
-    hits = a.join(b, "band").where(F.col("id_a") < F.col("id_b"))
-    return (
-        hits.withColumn("equal_slots", equal_slots(F.col("sig_a"), F.col("sig_b")))
-        .where(F.col("equal_slots") >= need)
-        .groupBy("id_a", "id_b").agg(F.first("equal_slots").cast("bigint").alias("equal_slots"))
-    )
+    keyed = signed.select(F.col(key).alias("id"), F.explode(bands).alias("band"))
+    a, b = keyed.select(F.col("id").alias("id_a"), "band"), keyed.select(F.col("id").alias("id_b"), "band")
+    pairs = a.join(b, "band").where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b").distinct()
+    side = lambda x: signed.select(F.col(key).alias(f"id_{x}"), F.col("sig").alias(f"sig_{x}"))
+    checked = pairs.join(side("a"), "id_a").join(side("b"), "id_b")
+    return checked.select("id_a", "id_b", equal_slots(F.col("sig_a"), F.col("sig_b")).cast("bigint").alias("equal_slots")).where(F.col("equal_slots") >= need)
 
 
 def greedy_keep(pairs: DataFrame) -> DataFrame:

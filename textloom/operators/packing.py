@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import col
-from ..session import stored
 from .prefix import with_running_total
 
 LENGTH, EOS, PAD = 4096, 2, 3
+SECOND_SHARE = 0.2  # fixed value: weight of the second label
 
 
 def with_eos(tokens: str | Column, eos: int = EOS) -> Column:
@@ -19,10 +22,26 @@ def with_eos(tokens: str | Column, eos: int = EOS) -> Column:
     return F.when(F.coalesce(ended, F.lit(False)), c).otherwise(F.concat(c, F.array(F.lit(eos))))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _bytes_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else np.frombuffer(t.encode(), dtype=np.uint8).astype(np.int32) + 4 for t in texts], index=texts.index, dtype=object)
+
+
 def byte_tokens(text: str | Column) -> Column:
-    """One token per UTF-8 byte, shifted by 4 so the special ids stay free."""
-    latin = F.decode(F.encode(col(text), "UTF-8"), "ISO-8859-1")  # one character a byte
-    return F.transform(F.filter(F.split(latin, ""), lambda c: c != ""), lambda c: F.ascii(c) + 4)
+    """One token per UTF-8 byte, shifted by 4 so the special ids stay free; NULL stays NULL."""
+    return _bytes_udf(col(text))
+
+
+def places(df: DataFrame, order_by: str, n_tokens: Column, length: int = LENGTH) -> DataFrame:
+    """``df`` with ``off`` and ``doc_counter``, a row for every sequence ``seq_idx`` that a document of ``n_tokens`` tokens touches."""
+    rows = df.withColumn("n", n_tokens)
+    placed = with_running_total(rows, order_by, {"off": F.col("n"), "doc_counter": F.lit(1)}).withColumn("doc_counter", F.col("doc_counter") + 1)
+    return placed.withColumn("seq_idx", F.explode(F.sequence(F.floor(F.col("off") / length), F.floor((F.col("off") + F.col("n") - 1) / length))))
+
+
+def sequences(df: DataFrame, order_by: str, n_tokens: Column, length: int = LENGTH) -> DataFrame:
+    """(seq_idx) of all sequences; needs the lengths of the documents only."""
+    return places(df.select(order_by, n_tokens.alias("_len")), order_by, F.col("_len"), length).select("seq_idx").distinct()
 
 
 def fragments(df: DataFrame, order_by: str, tokens: str = "tokens", length: int = LENGTH, eos: int = EOS,
@@ -35,10 +54,7 @@ def fragments(df: DataFrame, order_by: str, tokens: str = "tokens", length: int
     if skip_empty:
         rows = rows.where(F.size(tokens) > 0)
     rows = rows.select(F.col(order_by).alias("ord"), with_eos(tokens, eos).alias("tok"))
-    rows = stored(rows.withColumn("n", F.size("tok")), "tokens")  # bounds, totals and windows all read it
-    placed = with_running_total(rows, "ord", {"off": F.col("n"), "doc_counter": F.lit(1)}).withColumn("doc_counter", F.col("doc_counter") + 1)
-    seqs = F.sequence(F.floor(F.col("off") / length), F.floor((F.col("off") + F.col("n") - 1) / length))
-    cut_at = placed.select("ord", "tok", "n", "off", "doc_counter", F.explode(seqs).alias("seq_idx"))
+    cut_at = places(rows, "ord", F.size("tok"), length)
     start = F.greatest(F.col("off"), F.col("seq_idx") * length)
     end = F.least(F.col("off") + F.col("n"), (F.col("seq_idx") + 1) * length)
     return cut_at.select(
@@ -86,6 +102,11 @@ def valid_count(mask: Column) -> Column:
     return F.greatest(F.aggregate(mask, F.lit(0), lambda s, x: s + x), F.lit(1)).cast("bigint")
 
 
+def joint_loss(next_loss: Column, second_loss: Column, second_share: float = SECOND_SHARE) -> Column:
+    """Loss of the next token plus the share of the loss of the token after it."""
+    return next_loss + second_share * second_loss
+
+
 def masked_mean(losses: Column, mask: Column) -> Column:
     weighted = F.aggregate(F.zip_with(losses, mask, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     return weighted / valid_count(mask)

@@ -1,7 +1,9 @@
-"""Running totals over a whole table without a single-task window.
+"""Running totals and numbers over a whole table without a single-task window.
 
-Rows go to buckets whose bounds are literals (so a recomputed task puts every row in the same bucket),
-bucket totals give each bucket its offset, and a window inside the bucket does the rest.
+Rows are range-partitioned by the order key into as many parts as ``spark.sql.shuffle.partitions`` says and
+written once; the write keeps every row in its part, whatever is computed again later.  Windows then run over
+keys and values alone, one part a task, and part totals (one row a part) give each part its offset.  Wide
+columns are joined back by row number only where they are asked for.
 """
 
 from __future__ import annotations
@@ -9,42 +11,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+from ..session import stored
 
 
-def bucket_bounds(df: DataFrame, order_by: str, buckets: int = BUCKETS) -> list:
-    """At most ``buckets`` - 1 order keys that split the rows about evenly."""
-    kind = dict(df.dtypes)[order_by]
-    if kind == "string":
-        # a prefix is enough to cut; equal prefixes stay together
-        sample = df.select(F.substring(order_by, 1, 12).alias("k")).where(F.col("k").isNotNull())
-        n = sample.count()
-        if not n:
-            return []
-        keys = sorted(r[0] for r in sample.sample(min(1.0, 40 * buckets / n), seed=7).limit(100 * buckets).collect())
-        return sorted({keys[i * len(keys) // buckets] for i in range(1, buckets)}) if keys else []
-    row = df.agg(F.percentile_approx(order_by, [i / buckets for i in range(1, buckets)], 2000)).first()[0]
-    return sorted(set(row or []))
+def parts_of(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bucket_of(key: Column, bounds: list) -> Column:
-    """Number of bounds at or below the key."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= key))
+def placed(df: DataFrame, order_by: list[str]) -> DataFrame:
+    """``df`` with ``_part`` and ``_row``: rows in parts that follow each other in ``order_by`` order, and a number of their own."""
+    ranged = df.repartitionByRange(parts_of(df), *order_by)
+    return stored(ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "placed")
 
 
 def with_running_total(df: DataFrame, order_by: str, values: dict[str, Column], tie: list[str] | None = None) -> DataFrame:
-    """Add for each name the sum of its value over the rows before this one in ``order_by`` order."""
-    bounds = bucket_bounds(df, order_by)
-    marked = df.withColumn("_bucket", bucket_of(F.col(order_by), bounds))
-    marked = marked.withColumns({f"_v_{k}": F.coalesce(v.cast("bigint"), F.lit(0)) for k, v in values.items()})
-    totals = marked.groupBy("_bucket").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
-    # at most BUCKETS rows
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values])
-    inside = Window.partitionBy("_bucket").orderBy(order_by, *(tie or [])).rowsBetween(Window.unboundedPreceding, -1)
-    summed = marked.join(F.broadcast(offsets), "_bucket").withColumns(
-        {k: F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0)) for k in values}
+    """Add for each name the sum of its value over the rows before this one in ``order_by`` order.
+
+    Rows that tie in ``order_by`` and ``tie`` follow each other in any order; NULL values count as 0 and NULL
+    keys come first.
+    """
+    order = [order_by, *(tie or [])]
+    valued = df.withColumns({f"_v_{k}": F.coalesce(v.cast("bigint"), F.lit(0)) for k, v in values.items()})
+    rows = placed(valued, order)
+    lean = rows.select("_part", "_row", *order, *[f"_v_{k}" for k in values])
+    totals = lean.groupBy("_part").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values])
+    # one row a part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_part", *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values])
+    inside = Window.partitionBy("_part").orderBy(*order, "_row").rowsBetween(Window.unboundedPreceding, -1)
+    summed = lean.join(F.broadcast(offsets), "_part").select(
+        *(["_row"] if set(df.columns) - set(order) else order), *[(F.col(f"_o_{k}") + F.coalesce(F.sum(f"_v_{k}").over(inside), F.lit(0))).alias(k) for k in values]
     )
-    return summed.drop("_bucket", *[f"_{x}_{k}" for x in "vo" for k in values])
+    others = [c for c in df.columns if c not in values]
+    if not set(df.columns) - set(order):
+        return summed.select(*others, *values)
+    return rows.select("_row", *others).join(summed, "_row").select(*others, *values)

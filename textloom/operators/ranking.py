@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import bucket_bounds, bucket_of
+from .prefix import placed
 
 
-def ranked(df: DataFrame, keys: list[str], order_by: str, name: str, buckets: int = 32) -> DataFrame:
-    """Add ``name``: 1, 2, ... in ``order_by`` order inside ``keys``.
+def ranked(df: DataFrame, keys: list[str], order_by: str, name: str) -> DataFrame:
+    """Add ``name``: 1, 2, ... in ``order_by`` order inside ``keys``; ties in any order.
 
-    The order key is cut at literal bounds; rows are counted per (keys, bucket), and a row's number is
-    its number in the bucket plus the counts of the buckets before.  The count table has at most
-    ``buckets`` rows a group.
+    Rows are range-partitioned by the order key and counted per (keys, part); a row's number is its number
+    in the part plus the counts of the parts before.  The count table has one row a group and part.
     """
-    bounds = bucket_bounds(df, order_by, buckets)
-    marked = df.withColumn("_b", bucket_of(F.col(order_by), bounds))
-    counts = marked.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy(*keys, "_b").orderBy(order_by)
+    rows = placed(df, [order_by])
+    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(order_by, "_row")
     return (
-        marked.withColumn("_r", F.row_number().over(inside))
-        .join(offsets, [*keys, "_b"]).withColumn(name, F.col("_off") + F.col("_r")).drop("_b", "_r", "_off")
+        rows.withColumn("_r", F.row_number().over(inside))
+        .join(offsets, [*keys, "_part"]).withColumn(name, F.col("_off") + F.col("_r")).drop("_part", "_row", "_r", "_off")
     )

@@ -31,10 +31,34 @@ def manifest(totals: DataFrame, length: int, version: str) -> DataFrame:
     )
 
 
+def manifest_rows(totals: DataFrame, length: int, version: str) -> DataFrame:
+    """The manifest as one row a shard, for any number of shards."""
+    return totals.select(F.lit(version).alias("dataset_version"), F.lit(length).alias("sequence_length"), "shard_name", "num_samples", "num_tokens")
+
+
+def located(seqs: DataFrame, per_shard: int = PER_SHARD, index: str = "seq_idx") -> DataFrame:
+    """Shard and place in it of sequence numbers."""
+    i = F.col(index)
+    return seqs.select(index, F.format_string("shard-%06d", F.floor(i / per_shard)).alias("shard_name"), F.pmod(i, F.lit(per_shard)).alias("place"))
+
+
+def write_blocks(packed: DataFrame, folder: str, per_shard: int = PER_SHARD) -> None:
+    """Write packed rows through Spark to any file system, a folder a shard, rows in sequence order."""
+    rows = packed.withColumn("shard", F.format_string("shard-%06d", F.floor(F.col("seq_idx") / per_shard)))
+    rows.repartition("shard").sortWithinPartitions("shard", "seq_idx").write.mode("overwrite").partitionBy("shard").parquet(folder)
+
+
+def read_blocks(spark, folder: str, shard: str | None = None) -> DataFrame:
+    """Packed rows of all shards or of one; other shards' folders are not read."""
+    rows = spark.read.option("spark.sql.sources.partitionColumnTypeInference.enabled", "false").parquet(folder)
+    return rows.where(F.col("shard") == shard) if shard else rows
+
+
 def write_binary(packed: DataFrame, folder: str, per_shard: int = PER_SHARD) -> DataFrame:
     """Write ``[n, 3, T]`` uint32 blocks, a file a shard, and give name, samples and SHA-256 of each.
 
     Rows stream into the file in sequence order, so a task holds one batch and never a whole shard.
+    ``folder`` must be a path all executors mount; ``write_blocks`` writes to any file system.
     """
     name = "shard_idx"
     rows = packed.withColumn(name, F.floor(F.col("seq_idx") / per_shard).cast("bigint")).repartition(name).sortWithinPartitions(name, "seq_idx")

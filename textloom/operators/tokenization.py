@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType
 
 from ..functions.text import words
+from .hashing import canonical_hash
 
 VOCABULARY_DIR = "/opt/tokenizers"
 
@@ -68,16 +69,23 @@ def efficiency(df: DataFrame, by: str, text: str = "text", tokens: str | None =
 
 
 def tokenizer_hash(path: str) -> str:
-    """Hash of the canonical JSON of a tokenizer file, or of its bytes where it is not JSON."""
-    raw = open(path, "rb").read()
+    """Hash of the canonical value of a tokenizer file, or of its bytes where it is not JSON."""
+    with open(path, "rb") as f:
+        raw = f.read()
     try:
-        raw = json.dumps(json.loads(raw), sort_keys=True, separators=(",", ":"), ensure_ascii=True).encode()
+        return canonical_hash(json.loads(raw))
     except ValueError:
-        pass
-    return hashlib.sha256(raw).hexdigest()
+        return hashlib.sha256(raw).hexdigest()
 
 
-def guard(path: str, expected: str) -> None:
-    """Stop unless the file is the frozen one."""
+def guard(path: str, expected: str, status: str | None = "FROZEN") -> None:
+    """Stop unless the file is the one frozen under ``expected``."""
+    if status != "FROZEN":
+        raise ValueError(f"{path} is not frozen")
     if (found := tokenizer_hash(path)) != expected:
         raise ValueError(f"{path} has hash {found}, not {expected}")
+
+
+def freeze(path: str, version: str) -> dict[str, str]:
+    """What a manifest keeps of a tokenizer from now on: version, hash and status."""
+    return {"tokenizer_version": version, "tokenizer_hash": tokenizer_hash(path), "status": "FROZEN"}

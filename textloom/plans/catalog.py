@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_name, nfc, shingles, words
-from ..operators import accounting, cleaning, dedup, filters, hashing, lineage, mixture, packing, shards, tokenization
+from ..operators import accounting, cleaning, dedup, filters, gate, hashing, lineage, mixture, packing, shards, tokenization
 from ..operators.prefix import with_running_total
 from ..sources import adapters, registry
-from ..session import spread, table
+from ..session import shared_dir, spread, table
 from ..streaming import stateful
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-LINEAGE = [("c1", "e1", None, 100), ("c2", "e1", "c1", 200), ("c3", "e1", "c2", 150), ("c4", "e1", "gone", 300),
-           ("c5", "", "c2", 400), ("c6", "e1", "c3", 500), ("c6", "e1", "c3", 500)]
-IDENTITIES = [("a" * 40, "h1", "v1", "d1", "t1", "th", "arch", 1), ("unknown", "h1", "v1", "d1", "t1", "th", "arch", 1),
-              ("a" * 40, "sha256_placeholder", "v1", "d1", "", "th", "arch", -1), (None, "h1", None, "d1", "t1", "th", "arch", None)]
-MEMORY = [(b, 16, 96, 18) for b in (1, 8, 64, 256)]
 PACK_LENGTH, PER_SHARD, TARGET = 1024, 100, 500000
 
 
@@ -35,6 +31,30 @@ def _raw(spark, d):
     return table(spark, d, "raw_documents")
 
 
+def _experiments(spark, d):
+    """One made-up experiment for every run and stage of the accounting table; hash digits decide what is wrong with it."""
+    rows = table(spark, d, "stage_stats").where("run_id is not null and stage_ord is not null").select("run_id", "stage_ord").distinct()
+    k = F.md5(F.concat_ws("-", "run_id", "stage_ord"))
+    digit = lambda i: F.substring(F.col("k"), i, 1)
+    rows = rows.withColumn("k", k)
+    return rows.select(
+        F.concat_ws("-", "run_id", "stage_ord").alias("id"),
+        F.when(digit(1) == "0", "unknown").when(digit(1) == "1", "").otherwise(F.concat("k", F.substring("k", 1, 8))).alias("git_commit"),
+        F.when(digit(2) == "0", "sha256_placeholder").when(digit(2) != "1", F.md5(F.concat(F.lit("c"), "k"))).alias("config_hash"),
+        F.when(digit(3) == "0", "").otherwise(F.concat(F.lit("v"), F.col("stage_ord").cast("string"))).alias("dataset_version"),
+        F.md5(F.concat(F.lit("d"), "k")).alias("dataset_hash"), F.lit("t1").alias("tokenizer_version"), F.md5(F.concat(F.lit("t"), "k")).alias("tokenizer_hash"),
+        F.lit("arch").alias("model_architecture"), F.when(digit(4) == "0", -1).otherwise(F.col("stage_ord")).cast("bigint").alias("random_seed"),
+    )
+
+
+def _checkpoints(spark, d):
+    """Stages as checkpoints whose parent is the stage before; the table's repeated and missing rows are the errors."""
+    rows = table(spark, d, "stage_stats").where("run_id is not null and stage_ord is not null")
+    name = lambda o: F.concat_ws("-", F.col("run_id"), o.cast("string"))
+    return rows.select(name(F.col("stage_ord")).alias("checkpoint_id"), F.col("run_id").alias("experiment_id"),
+                       F.when(F.col("stage_ord") > 0, name(F.col("stage_ord") - 1)).alias("parent_id"), F.col("num_tokens").alias("step"))
+
+
 @query
 def clean_boilerplate(spark, d):
     s = cleaning.clean_stats("text")
@@ -216,6 +236,11 @@ def _tokens(spark, d):
     return spread(table(spark, d, "documents")).where("text is not null").select("doc_id", packing.byte_tokens("text").alias("tokens"))
 
 
+def _lengths(spark, d):
+    """Byte tokens of every document; no text leaves the scan."""
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.octet_length("text").cast("bigint").alias("n"))
+
+
 @query
 def pack_sequences(spark, d):
     p = packing.pack(_tokens(spark, d), "doc_id", length=PACK_LENGTH)
@@ -257,7 +282,7 @@ def masked_loss(spark, d):
 
 @query
 def shard_manifest(spark, d):
-    seqs = packing.fragments(_tokens(spark, d), "doc_id", length=PACK_LENGTH).select("seq_idx").distinct()
+    seqs = packing.sequences(_lengths(spark, d), "doc_id", F.col("n") + 1, PACK_LENGTH)
     return shards.manifest(shards.shard_totals(seqs, PACK_LENGTH, PER_SHARD), PACK_LENGTH, "v1")
 
 
@@ -279,8 +304,7 @@ def target_token_cut(spark, d):
 def diversity_audit(spark, d):
     n = F.octet_length("text")
     return table(spark, d, "documents").where("text is not null").groupBy("category").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_tokens"), F.round(F.avg(n), 6).alias("mean_len"), F.percentile(n, F.lit(0.5)).alias("median_len"),
-        F.sum(sum((filters.pii_counts("text")[k] for k in ("email", "api_key")), F.lit(0))).alias("n_redactions"))
+        F.count(F.lit(1)).alias("n_docs"), F.sum(n).alias("n_tokens"), F.round(F.avg(n), 6).alias("mean_len"), F.percentile(n, F.lit(0.5)).alias("median_len"))
 
 
 @query
@@ -345,30 +369,149 @@ def registry_documents(spark, d):
 
 @query
 def checkpoint_lineage_check(spark, d):
-    return lineage.lineage_errors(spark.createDataFrame(LINEAGE, "checkpoint_id string, experiment_id string, parent_id string, step bigint"))
+    return lineage.lineage_errors(_checkpoints(spark, d))
 
 
 @query
 def lineage_ancestry(spark, d):
-    return lineage.ancestry(spark.createDataFrame(LINEAGE, "checkpoint_id string, experiment_id string, parent_id string, step bigint").distinct())
+    return lineage.ancestry(_checkpoints(spark, d))
 
 
 @query
 def identity_validation(spark, d):
-    cols = ", ".join(f"{c} string" for c in hashing.IDENTITY_FIELDS)
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(IDENTITIES)], f"id bigint, {cols}, random_seed bigint")
-    return rows.select("id", F.array_join(hashing.identity_violations(), ",").alias("violations"))
+    return _experiments(spark, d).select("id", F.array_join(hashing.identity_violations(), ",").alias("violations"))
+
+
+@query
+def identity_hashes(spark, d):
+    return _experiments(spark, d).select("id", hashing.identity_hash().alias("identity_hash"))
+
+
+@query
+def config_hashes(spark, d):
+    """Hashes of the mixing policies as settings, shares being floats that are rounded to eight digits first."""
+    spec = table(spark, d, "mixture_targets").where("policy_id is not null and source is not null")
+    return spec.groupBy("policy_id").agg(hashing.grouped_hash("source", "target_share").alias("config_hash"))
 
 
 @query
 def state_memory(spark, d):
-    return accounting.state_memory(spark.createDataFrame(MEMORY, "batch bigint, num_heads bigint, head_dim bigint, num_layers bigint"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").cast("bigint").alias("batch"), *[F.lit(v).cast("bigint").alias(k) for k, v in (("num_heads", 16), ("head_dim", 96), ("num_layers", 18))])
+    return accounting.state_memory(rows)
+
+
+@query
+def redaction_totals(spark, d):
+    return pipeline.redaction_totals(spread(table(spark, d, "documents")))
+
+
+@query
+def rejection_rates(spark, d):
+    return pipeline.rejection_rates(spread(table(spark, d, "documents")))
+
+
+@query
+def mixture_attempts(spark, d):
+    """Draws whose document scores high enough, up to a number of byte tokens."""
+    docs = table(spark, d, "documents")
+    s = mixture.active_shares(mixture.policy_frame(spark), docs)
+    pool = docs.select("doc_id", "category", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n"), filters.quality_score("text").alias("score"))
+    rows = mixture.attempts(mixture.hashed_draws(spark, s, 2000, 42), pool, s, "doc_id", F.col("score") >= 0.8, F.col("n"), 400000)
+    return rows.select("step", "domain", "doc_id", "n", "before")
+
+
+@query
+def policy_check(spark, d):
+    return mixture.policy_sums(table(spark, d, "mixture_targets"))
+
+
+@query
+def training_permitted(spark, d):
+    return registry.permitted(_raw(spark, d), table(spark, d, "source_registry")).select("doc_id", "source_key").distinct()
+
+
+@query
+def dataset_gate(spark, d):
+    """Reasons against the sources as shards: their artifact's hash against the one their name and version give."""
+    reg = table(spark, d, "source_registry")
+    manifest = reg.select(F.col("source_id").alias("shard_name"), F.sha2(F.concat_ws(":", "source_id", "version"), 256).alias("sha256"))
+    found = reg.where("raw_sha256 is not null").select(F.col("source_id").alias("shard_name"), F.col("raw_sha256").alias("sha256"))
+    tokenizer = spark.createDataFrame([("TRAINED", "a", "b")], "status string, tokenizer_hash string, expected_hash string")
+    return gate.dataset_reasons(manifest, found, reg, tokenizer)
+
+
+@query
+def registry_json(spark, d):
+    """The registry written as JSON lines and read again."""
+    reg = table(spark, d, "source_registry")
+    folder = f"{shared_dir(spark)}/registry-{uuid.uuid4().hex}"
+    registry.save_json(reg, folder)
+    return registry.load_json(spark, folder, reg.schema)
+
+
+@query
+def shard_blocks(spark, d):
+    """Packed rows written a folder a shard and read again: sequences and token sums of every shard."""
+    folder = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    shards.write_blocks(packing.pack(_tokens(spark, d), "doc_id", length=PACK_LENGTH), folder, PER_SHARD)
+    total = F.sum(F.aggregate("input_ids", F.lit(0).cast("bigint"), lambda x, y: x + y))
+    return shards.read_blocks(spark, folder).groupBy(F.col("shard").alias("shard_name")).agg(F.count(F.lit(1)).alias("num_samples"), total.alias("token_sum"))
+
+
+@query
+def shard_locate(spark, d):
+    seqs = packing.sequences(_lengths(spark, d), "doc_id", F.col("n") + 1, PACK_LENGTH)
+    return shards.located(seqs, PER_SHARD)
+
+
+@query
+def packing_health(spark, d):
+    """Tokens, end tokens, padding and changes of document inside the packed rows."""
+    p = packing.pack(_tokens(spark, d), "doc_id", length=PACK_LENGTH)
+    count = lambda c, v: F.sum(F.size(F.filter(c, lambda t: t == v))).alias(f"n_{v}")
+    turns = F.sum(F.size(F.filter(F.zip_with(F.slice("doc_ids", 1, PACK_LENGTH - 1), packing.shift(F.col("doc_ids"), 1), lambda a, b: (a != b) & (b != 0)), lambda t: t)))
+    return p.agg(F.count(F.lit(1)).alias("n_sequences"), count(F.col("input_ids"), packing.EOS), count(F.col("input_ids"), packing.PAD), turns.alias("n_boundaries"))
+
+
+@query
+def stream_counters(spark, d):
+    docs = _document_stream(spark, d).where("text is not null")
+    return stateful.drain_complete(stateful.running_counters(docs, "lang"), "counters")
+
+
+@query
+def stream_pack_offsets(spark, d):
+    """Places of documents in the packed stream, found batch by batch with a carried offset."""
+    folder = f"{shared_dir(spark)}/pack-{uuid.uuid4().hex}"
+
+    def place(frame, offset):
+        rows = frame.select("doc_id", (F.octet_length("text") + 1).cast("bigint").alias("n"))
+        with_running_total(rows, "doc_id", {"off": F.col("n")}).select("doc_id", (F.col("off") + offset).alias("off"), "n").write.mode("append").parquet(f"{folder}/out")
+        return offset + (rows.agg(F.sum("n")).first()[0] or 0)
+
+    stateful.packed_stream(_document_stream(spark, d).where("text is not null"), place, folder).awaitTermination()
+    return spark.read.schema("doc_id bigint, off bigint, n bigint").parquet(f"{folder}/out")
+
+
+@query
+def stream_near_dedup(spark, d):
+    """Near copies among the last 500 kept texts of each category, in the order of the stream."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        return stateful.drain(stateful.near_dedup_window(_document_stream(spark, d).where("category is not null"), "category"), "near")
+    finally:
+        spark.conf.set(name, before)
+
+
+def _document_stream(spark, d):
+    return spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet*")
 
 
 @query
 def stream_exact_dedup(spark, d):
-    docs = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{d}/documents.parquet*")
-    return stateful.drain(stateful.exact_dedup(docs.select("text")), "stream_dedup").select("content_hash")
+    return stateful.drain(stateful.exact_dedup(_document_stream(spark, d).select("text")), "stream_dedup").select("content_hash")
 
 
 @query

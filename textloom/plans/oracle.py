@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import filters, mixture
 from ..sources.adapters import TEMPLATES
-from .catalog import IDENTITIES, LINEAGE, MEMORY, PACK_LENGTH, PER_SHARD, TARGET
+from .catalog import PACK_LENGTH, PER_SHARD, TARGET
 
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -94,20 +94,43 @@ def scan_sql() -> str:
       sha256(category || '_templates:v1:' || source_record_id || ':' || substr(sha256(text), 1, 16)) AS doc_id FROM ({' UNION ALL '.join(parts)})"""
 
 
-def identity_sql() -> str:
-    from ..operators.hashing import IDENTITY_FIELDS
+EXPERIMENTS = """
+  e0 AS (SELECT DISTINCT run_id, stage_ord, md5(run_id || '-' || stage_ord) AS k FROM stage_stats WHERE run_id IS NOT NULL AND stage_ord IS NOT NULL),
+  x AS (SELECT run_id || '-' || stage_ord AS id, CASE k[1] WHEN '0' THEN 'unknown' WHEN '1' THEN '' ELSE k || k[1:8] END AS git_commit,
+    CASE k[2] WHEN '0' THEN 'sha256_placeholder' WHEN '1' THEN NULL ELSE md5('c' || k) END AS config_hash, CASE k[3] WHEN '0' THEN '' ELSE 'v' || stage_ord END AS dataset_version,
+    md5('d' || k) AS dataset_hash, 't1' AS tokenizer_version, md5('t' || k) AS tokenizer_hash, 'arch' AS model_architecture, CASE k[4] WHEN '0' THEN -1 ELSE stage_ord END AS random_seed FROM e0)"""
 
-    checks = []
-    for f in IDENTITY_FIELDS:
-        bad = f"coalesce({f}, '') = ''"
-        if f == "git_commit":
-            bad += f" OR {f} IN ('unknown', 'placeholder', 'latest')"
-        if f.endswith("_hash"):
-            bad += f" OR contains({f}, 'placeholder')"
-        checks.append(f"CASE WHEN {bad} THEN '{f}' END")
-    checks.append("CASE WHEN coalesce(random_seed, -1) < 0 THEN 'random_seed' END")
-    rows = values([(i, *r) for i, r in enumerate(IDENTITIES)])
-    return f"SELECT id::BIGINT AS id, concat_ws(',', {', '.join(checks)}) AS violations FROM {rows} v(id, {', '.join(IDENTITY_FIELDS)}, random_seed)"
+
+def quoted(c: str) -> str:
+    return f"coalesce('\"' || {c} || '\"', 'null')"
+
+
+IDENTITY_SQL = f"""WITH {EXPERIMENTS} SELECT id, concat_ws(',', CASE WHEN git_commit IN ('', 'unknown', 'placeholder', 'latest') THEN 'git_commit' END,
+    CASE WHEN coalesce(config_hash, '') = '' OR config_hash LIKE '%placeholder%' THEN 'config_hash' END, CASE WHEN dataset_version = '' THEN 'dataset_version' END,
+    CASE WHEN random_seed < 0 THEN 'random_seed' END) AS violations FROM x"""
+IDENTITY_HASH_SQL = f"""WITH {EXPERIMENTS} SELECT id, sha256('{{"config_hash":' || {quoted('config_hash')} || ',"dataset_hash":' || {quoted('dataset_hash')} || ',"dataset_version":' || {quoted('dataset_version')}
+    || ',"git_commit":' || {quoted('git_commit')} || ',"model_architecture":"arch","random_seed":' || random_seed || ',"tokenizer_hash":' || {quoted('tokenizer_hash')} || ',"tokenizer_version":"t1"}}') AS identity_hash FROM x"""
+LINES = """ l AS (SELECT run_id || '-' || stage_ord AS checkpoint_id, run_id AS experiment_id, CASE WHEN stage_ord > 0 THEN run_id || '-' || (stage_ord - 1) END AS parent_id, num_tokens AS step
+    FROM stage_stats WHERE run_id IS NOT NULL AND stage_ord IS NOT NULL)"""
+
+# what the redaction step looks for, in this dialect and apart from the operator's own patterns
+EMAILS = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+ADDRESSES = r"\b\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\b"
+NUMBERS = r"\b(?:\+?\p{Nd}{1,3}[-.S]?)?\(?\p{Nd}{2,4}\)?[-.S]?\p{Nd}{3,4}[-.S]?\p{Nd}{3,4}\b".replace("S", r"\s\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}")
+SECRETS = r"\b(?:ghp_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}|sk-[a-zA-Z0-9]{32,})\b"
+
+
+def counted(pattern: str) -> str:
+    return f"sum(len(regexp_extract_all(plain, '{pattern}')))::BIGINT"
+
+
+# near copies in document order: a document goes if an earlier one that stays is near
+GREEDY = """
+  pr AS (SELECT a.doc_id AS id_a, b.doc_id AS id_b FROM sig a JOIN sig b ON a.doc_id < b.doc_id AND list_sum(list_transform(list_zip(a.sig, b.sig), lambda z: (z[1] = z[2])::INT)) >= 52),
+  late AS (SELECT id_b AS id, list(id_a) AS early, row_number() OVER (ORDER BY id_b) AS k FROM pr GROUP BY id_b),
+  gr(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL
+    SELECT late.k, CASE WHEN len(list_filter(early, lambda e: NOT list_contains(gone, e))) > 0 THEN list_append(gone, id) ELSE gone END FROM gr JOIN late ON late.k = gr.k + 1),
+  near AS (SELECT unnest(gone) AS doc_id FROM gr WHERE k = (SELECT max(k) FROM gr))"""
 
 
 def re2(pattern: str) -> str:
@@ -131,8 +154,6 @@ CHAIN = f"""
   piped AS (SELECT doc_id, source, given, len({violations('plain')}) = 0 AS safe, {redacted('plain')} AS text FROM c),
   {QUALITY.strip().replace('FROM documents', 'FROM piped')}"""
 
-LINES = values(LINEAGE) + " l(checkpoint_id, experiment_id, parent_id, step)"
-
 SQL = {
     "clean_boilerplate": f"SELECT DISTINCT doc_id, md5({CLEAN}) AS clean_md5, length(text) AS original_len, length({UNSTRIPPED}) AS cleaned_len, length(text) - length({UNSTRIPPED}) AS removed_chars FROM raw_documents WHERE text IS NOT NULL",
     "nfc_normalize": """SELECT DISTINCT doc_id, md5(replace(n, chr(0), '')) AS text_md5, length(text) AS original_len, length(n) AS normalized_len, text <> n AS changed,
@@ -142,8 +163,7 @@ SQL = {
     "safety_after_clean": f"SELECT DISTINCT doc_id, len({violations('c')}) = 0 AS is_safe FROM (SELECT doc_id, {CLEAN} AS c FROM raw_documents WHERE text IS NOT NULL)",
     "pii_counts": "SELECT doc_id, " + ", ".join(f"{found(k)} AS {k}" for k in filters.PII) + " FROM documents WHERE text IS NOT NULL",
     "pii_redact": f"SELECT doc_id, md5({redacted()}) AS redacted_md5 FROM documents WHERE text IS NOT NULL",
-    "diversity_audit": f"""SELECT category, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_tokens, round(avg(strlen(text)), 6) AS mean_len, quantile_cont(strlen(text)::DOUBLE, 0.5) AS median_len,
-      sum({found('email')} + {found('api_key')})::BIGINT AS n_redactions FROM documents WHERE text IS NOT NULL GROUP BY 1""",
+    "diversity_audit": f"""SELECT category, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_tokens, round(avg(strlen(text)), 6) AS mean_len, quantile_cont(strlen(text)::DOUBLE, 0.5) AS median_len FROM documents WHERE text IS NOT NULL GROUP BY 1""",
     "quality_score": f"WITH {QUALITY} SELECT doc_id, round(score, 9) AS score, n AS n_words, round(q_struct, 9) AS q_struct, round(q_spam, 9) AS q_spam, round(q_quality, 9) AS q_quality, round(q_edu, 9) AS q_edu FROM s",
     "quality_breakdown_by_lang": f"WITH {QUALITY} SELECT lang, count(*) AS n_docs, round(avg(score), 6) AS mean_score, round(min(score), 6) AS min_score, count(*) FILTER (score < 0.4::DOUBLE) AS n_low FROM s GROUP BY 1",
     "quality_filter": f"WITH {QUALITY} SELECT doc_id, source, n_chars FROM s WHERE score >= 0.4::DOUBLE",
@@ -206,15 +226,51 @@ SQL = {
     "license_audit": "SELECT 'UNRESOLVED_LICENSE_' || source_id AS reason FROM source_registry WHERE coalesce(license, '') = '' OR upper(license) = 'UNKNOWN'",
     "registry_documents": f"""WITH came AS (SELECT {NAME.format('source_id')} AS k, count(DISTINCT doc_id) AS n FROM raw_documents GROUP BY 1)
       SELECT source_id, document_count, coalesce(n, 0)::BIGINT AS n_docs FROM source_registry LEFT JOIN came ON k = {NAME.format('source_id')}""",
-    "checkpoint_lineage_check": f"""WITH l AS (SELECT * FROM {LINES}), p AS (SELECT checkpoint_id AS pid, max(step) AS ps FROM l GROUP BY 1)
+    "checkpoint_lineage_check": f"""WITH {LINES}, p AS (SELECT checkpoint_id AS pid, max(step) AS ps FROM l GROUP BY 1)
       SELECT checkpoint_id, 'duplicate_id' AS error FROM l GROUP BY 1 HAVING count(*) > 1
       UNION ALL SELECT checkpoint_id, 'bad_field' FROM l WHERE coalesce(checkpoint_id, '') = '' OR coalesce(experiment_id, '') = '' OR coalesce(step, -1) < 0
       UNION ALL SELECT checkpoint_id, 'missing_parent' FROM l LEFT JOIN p ON parent_id = pid WHERE parent_id IS NOT NULL AND pid IS NULL
       UNION ALL SELECT checkpoint_id, 'step_before_parent' FROM l JOIN p ON parent_id = pid WHERE step < ps""",
-    "lineage_ancestry": f"""WITH RECURSIVE l AS (SELECT DISTINCT * FROM {LINES}), up AS (SELECT checkpoint_id, parent_id AS ancestor_id, 1::BIGINT AS distance FROM l WHERE parent_id IS NOT NULL
-      UNION ALL SELECT up.checkpoint_id, l.parent_id, distance + 1 FROM up JOIN l ON l.checkpoint_id = ancestor_id WHERE l.parent_id IS NOT NULL) SELECT * FROM up""",
-    "identity_validation": identity_sql(),
-    "state_memory": f"SELECT batch::BIGINT AS batch, num_heads::BIGINT AS num_heads, head_dim::BIGINT AS head_dim, num_layers::BIGINT AS num_layers, (num_heads * head_dim * head_dim * num_layers)::BIGINT AS elements_per_sample, num_heads::BIGINT * head_dim * head_dim * num_layers * batch * 4 / 1048576.0::DOUBLE AS fp32_mb, num_heads::BIGINT * head_dim * head_dim * num_layers * batch * 2 / 1048576.0::DOUBLE AS bf16_mb FROM {values(MEMORY)} v(batch, num_heads, head_dim, num_layers)",
+    "lineage_ancestry": f"""WITH RECURSIVE {LINES}, r AS (SELECT DISTINCT checkpoint_id, parent_id FROM l WHERE parent_id IS NOT NULL), up AS (SELECT checkpoint_id, parent_id AS ancestor_id, 1::BIGINT AS distance FROM r
+      UNION ALL SELECT up.checkpoint_id, r.parent_id, distance + 1 FROM up JOIN r ON r.checkpoint_id = ancestor_id) SELECT * FROM up""",
+    "identity_validation": IDENTITY_SQL,
+    "identity_hashes": IDENTITY_HASH_SQL,
+    "state_memory": "SELECT s_suppkey::BIGINT AS batch, 16::BIGINT AS num_heads, 96::BIGINT AS head_dim, 18::BIGINT AS num_layers, (16 * 96 * 96 * 18)::BIGINT AS elements_per_sample, (16 * 96 * 96 * 18)::BIGINT * s_suppkey * 4 / 1048576.0::DOUBLE AS fp32_mb, (16 * 96 * 96 * 18)::BIGINT * s_suppkey * 2 / 1048576.0::DOUBLE AS bf16_mb FROM supplier",
+    "redaction_totals": f"""WITH c AS (SELECT category, replace(nfc_normalize({CLEAN}), chr(0), '') AS plain FROM documents WHERE text IS NOT NULL),
+      n AS (SELECT category, count(*) AS n_docs, {counted(EMAILS)} AS email, {counted(ADDRESSES)} AS ipv4, {counted(NUMBERS)} AS phone, {counted(SECRETS)} AS api_key FROM c WHERE len({violations('plain')}) = 0 GROUP BY 1)
+      SELECT *, email + ipv4 + phone + api_key AS n_redactions FROM n""",
+    "near_dedup_keep": f"""WITH RECURSIVE cl AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS class_id FROM documents WHERE text IS NOT NULL), reps AS (SELECT doc_id, text FROM cl WHERE doc_id = class_id), {SIGNED.replace('@SRC@', 'reps')}, {GREEDY}
+      SELECT doc_id, class_id, CASE WHEN doc_id <> class_id THEN 'exact_duplicate' WHEN doc_id IN (SELECT doc_id FROM near) THEN 'near_duplicate' ELSE 'unique' END AS reason FROM cl""",
+    "rejection_rates": f"""WITH RECURSIVE {CHAIN}, good AS (SELECT doc_id, text FROM s WHERE safe AND score >= 0.4::DOUBLE), reps AS (SELECT min(doc_id) AS doc_id, text FROM good GROUP BY text), {SIGNED.replace('w AS (', 'w2 AS (').replace('FROM w)', 'FROM w2)').replace('@SRC@', 'reps')}, {GREEDY},
+      t2 AS (SELECT count(*) AS n, count(*) FILTER (NOT safe) AS unsafe, count(*) FILTER (safe AND score < 0.4::DOUBLE) AS poor FROM s),
+      k AS (SELECT (SELECT count(*) FROM good) AS good, (SELECT count(*) FROM reps) AS uniq, (SELECT count(*) FROM near) AS near)
+      SELECT n AS n_seen, uniq - near AS n_accepted, round(unsafe / greatest(n, 1), 4) AS safety_rejection_rate, round(poor / greatest(n, 1), 4) AS quality_rejection_rate,
+        round((good - uniq) / greatest(n, 1), 4) AS exact_duplicate_rate, round(near / greatest(n, 1), 4) AS near_duplicate_rate FROM t2, k""",
+    "mixture_attempts": f"""WITH {QUALITY}, {SHARES.format(cond='')},
+      u AS (SELECT step, {HASHED.format("'42:' || step")} AS u FROM range(0, 2000) r(step)),
+      dr AS (SELECT step, domain, n_docs FROM u JOIN shares ON u >= upper - share AND (u < upper OR upper = (SELECT max(upper) FROM shares))),
+      kk AS (SELECT *, (row_number() OVER (PARTITION BY domain ORDER BY step) - 1) % n_docs AS pos FROM dr),
+      pool AS (SELECT doc_id, category AS domain, strlen(text)::BIGINT AS n, row_number() OVER (PARTITION BY category ORDER BY doc_id) - 1 AS pos FROM documents),
+      got AS (SELECT step, domain, doc_id, pool.n FROM kk JOIN pool USING (domain, pos) JOIN s USING (doc_id) WHERE score >= 0.8::DOUBLE),
+      sums AS (SELECT *, coalesce(sum(n) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM got) SELECT * FROM sums WHERE before < 400000""",
+    "config_hashes": """WITH e AS (SELECT DISTINCT policy_id, source, format('{:.8g}', coalesce(target_share, 0))::DOUBLE::VARCHAR AS v FROM mixture_targets WHERE policy_id IS NOT NULL AND source IS NOT NULL)
+      SELECT policy_id, sha256('{' || string_agg('"' || source || '":' || v, ',' ORDER BY source) || '}') AS config_hash FROM e GROUP BY 1""",
+    "policy_check": "SELECT policy_id, round(sum(target_share), 9) AS total, count(*) AS n_sources, abs(round(sum(target_share), 9) - 1.0::DOUBLE) <= 1e-4::DOUBLE AS adds_up FROM mixture_targets GROUP BY 1",
+    "training_permitted": f"SELECT DISTINCT doc_id, {NAME.format('source_id')} AS source_key FROM raw_documents WHERE {NAME.format('source_id')} IN (SELECT {NAME.format('source_id')} FROM source_registry WHERE allowed_for_training)",
+    "dataset_gate": """SELECT 'MISSING_SHARD_' || source_id AS reason FROM source_registry WHERE raw_sha256 IS NULL
+      UNION ALL SELECT 'CORRUPTED_SHARD_' || source_id FROM source_registry WHERE raw_sha256 <> sha256(concat_ws(':', source_id, version))
+      UNION ALL SELECT 'UNRESOLVED_LICENSE_' || source_id FROM source_registry WHERE coalesce(license, '') IN ('', 'UNKNOWN')
+      UNION ALL SELECT 'INSUFFICIENT_APPROVED_SOURCES' FROM (SELECT count(DISTINCT source_id) AS n FROM source_registry) WHERE n < 6
+      UNION ALL VALUES ('TOKENIZER_NOT_FROZEN'), ('TOKENIZER_HASH_MISMATCH')""",
+    "registry_json": "SELECT * FROM source_registry",
+    "shard_blocks": f"WITH {PACKED} SELECT printf('shard-%06d', seq_idx // {PER_SHARD}) AS shard_name, count(DISTINCT seq_idx) AS num_samples, sum(t)::BIGINT AS token_sum FROM f GROUP BY 1",
+    "shard_locate": f"WITH n AS (SELECT ceil(sum(strlen(text) + 1) / {PACK_LENGTH})::BIGINT AS seqs FROM documents WHERE text IS NOT NULL) SELECT i AS seq_idx, printf('shard-%06d', i // {PER_SHARD}) AS shard_name, i % {PER_SHARD} AS place FROM n, range(0, 10000000) r(i) WHERE i < seqs",
+    "packing_health": f"""WITH {PACKED}, c AS (SELECT count(*) FILTER (a.doc <> b.doc AND b.doc <> 0) AS n FROM f a JOIN f b ON a.seq_idx = b.seq_idx AND b.slot = a.slot + 1)
+      SELECT count(DISTINCT seq_idx) AS n_sequences, count(*) FILTER (t = 2) AS n_2, count(*) FILTER (t = 3) AS n_3, (SELECT n FROM c) AS n_boundaries FROM f""",
+    "dialogue_fold": r"""WITH t AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '\n([A-Za-z]+: )', chr(1) || '\1', 'g'), chr(1)), lambda x: regexp_matches(x, '^[A-Za-z]+: ')) AS turns FROM documents WHERE category = 'dialogue' AND text <> '')
+      SELECT doc_id, md5(array_to_string(list_transform(turns, lambda x: upper(x[1]) || lower(regexp_extract(x, '^([A-Za-z]+): ', 1)[2:]) || ': ' || regexp_replace(x, '^[A-Za-z]+: ', '')), chr(10) || chr(10))) AS text_md5 FROM t WHERE len(turns) > 0""",
+    "stream_counters": "SELECT lang, count(*) AS n_docs, sum(strlen(text))::BIGINT AS n_tokens FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "stream_pack_offsets": "SELECT doc_id, coalesce(sum(strlen(text) + 1) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, (strlen(text) + 1)::BIGINT AS n FROM documents WHERE text IS NOT NULL",
     "stream_exact_dedup": "SELECT DISTINCT sha256(text) AS content_hash FROM documents WHERE text IS NOT NULL",
     "stream_event_windows": "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

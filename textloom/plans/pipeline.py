@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import let
 from ..operators.cleaning import clean, normalize
-from ..operators.filters import QUALITY_CUT, is_safe, pii_redact, quality_score
+from ..operators.dedup import near_dedup
+from ..operators.filters import PII, QUALITY_CUT, is_safe, pii_counts, pii_redact, quality_score
 from ..operators.hashing import content_hash
 from ..session import stored
 
@@ -67,3 +68,26 @@ def stage_table(df: DataFrame, text: str = "text") -> DataFrame:
     stages = [("raw", "raw", "raw_t"), ("safe", "safe", "safe_t"), ("quality", "good", "good_t"), ("dedup", "uniq", "uniq_t")]
     rows = F.array(*[F.struct(F.lit(i).alias("stage_ord"), F.lit(name).alias("stage_name"), F.col(d).alias("num_documents"), F.col(t).alias("num_tokens")) for i, (name, d, t) in enumerate(stages)])
     return sums.select(F.explode(rows).alias("s")).select("s.*")
+
+
+def rejection_rates(df: DataFrame, text: str = "text", order_by: str = "doc_id") -> DataFrame:
+    """One row: documents seen and accepted, and the share of those seen that every stage takes out.
+
+    Near copies are looked for among the documents that pass the other stages.
+    """
+    a = stored(annotated(df.where(F.col(text).isNotNull()), text).select(order_by, "final_text", "rejected_by"), "annotated")
+    passed = a.where(F.col("rejected_by").isNull()).select(order_by, "final_text")
+    reasons = near_dedup(passed, "final_text", order_by).agg(F.count_if(F.col("reason") == "exact_duplicate").alias("exact"), F.count_if(F.col("reason") == "near_duplicate").alias("near"), F.count_if(F.col("reason") == "unique").alias("kept"))
+    seen = a.agg(F.count(F.lit(1)).alias("n_seen"), F.count_if(F.col("rejected_by") == "safety").alias("unsafe"), F.count_if(F.col("rejected_by") == "quality").alias("poor"))
+    rate = lambda c: F.round(F.col(c) / F.greatest("n_seen", F.lit(1)), 4)
+    both = seen.unionByName(reasons, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("n_seen", "unsafe", "poor", "exact", "near", "kept")])
+    return both.select("n_seen", F.col("kept").alias("n_accepted"), rate("unsafe").alias("safety_rejection_rate"), rate("poor").alias("quality_rejection_rate"), rate("exact").alias("exact_duplicate_rate"), rate("near").alias("near_duplicate_rate"))
+
+
+def redaction_totals(df: DataFrame, by: str = "category", text: str = "text") -> DataFrame:
+    """Redactions of every kind in the documents of each group that pass the safety stage."""
+    rows = df.where(F.col(text).isNotNull()).select(by, normalize(clean(text)).alias("_c"))
+    safe = stored(rows.where(is_safe("_c")), "safe")
+    counts = safe.select(by, pii_counts("_c").alias("n"))
+    sums = counts.groupBy(by).agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(f"n.{k}").alias(k) for k in PII])
+    return sums.withColumn("n_redactions", sum((F.col(k) for k in PII), F.lit(0)))

@@ -26,8 +26,8 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that setting is absent (tests on
-    one machine) is a local temporary folder made.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is absent a local master (tests on one
+    machine) gets a temporary folder; any other stops with an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -35,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return str(current.get()).rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="textloom-")
     spark.sparkContext.setCheckpointDir(made)
     return made

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,17 @@ def template_scan(spark: SparkSession, kind: str, n: int, resume: int = 0, versi
     )
 
 
+def with_fallback(live: Callable[[], DataFrame], fallback: DataFrame) -> DataFrame:
+    """The live source, or ``fallback`` where it cannot be read or has no rows."""
+    try:
+        rows = live()
+        if not rows.isEmpty():
+            return rows
+    except Exception as e:  # whatever a source raises when it cannot be reached
+        logging.getLogger(__name__).warning("live source failed: %s", e)
+    return fallback
+
+
 def replicate(df: DataFrame, copies: int) -> DataFrame:
     """Every row ``copies`` times, with ``copy_no`` from 0; no join."""
     return df.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))

@@ -1,4 +1,4 @@
-"""Run settings read from a JSON file and checked on the driver."""
+"""Run settings read from a JSON or YAML file and checked on the driver."""
 
 from __future__ import annotations
 
@@ -27,7 +27,14 @@ class Settings:
 
     @classmethod
     def load(cls, path: str) -> Settings:
-        return cls(**json.loads(Path(path).read_text()))
+        text = Path(path).read_text()
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("YAML settings need the yaml package") from e
+            return cls(**(yaml.safe_load(text) or {}))
+        return cls(**json.loads(text))
 
     def save(self, path: str) -> None:
         Path(path).write_text(json.dumps(asdict(self), indent=2, sort_keys=True))

@@ -23,6 +23,19 @@ def unregistered(rows: DataFrame, registry: DataFrame, source: str = "source_id"
     return with_registry_key(rows, source).join(keys, "source_key", "left_anti")
 
 
+def permitted(rows: DataFrame, registry: DataFrame, source: str = "source_id") -> DataFrame:
+    """Rows whose source the registry allows for training."""
+    return registered(rows, registry.where(F.coalesce("allowed_for_training", F.lit(False))), source)
+
+
+def require_permitted(rows: DataFrame, registry: DataFrame, source: str = "source_id") -> DataFrame:
+    """``rows``, or an error that names a source that is not allowed for training."""
+    allowed = registry.where(F.coalesce("allowed_for_training", F.lit(False)))
+    if bad := unregistered(rows, allowed, source).select(source).first():
+        raise ValueError(f"source {bad[0]} is not allowed for training")
+    return rows
+
+
 def upsert(current: DataFrame, changes: DataFrame, key: str = "source_id") -> DataFrame:
     """Rows of ``changes`` replace rows of ``current`` with the same key."""
     return current.join(changes.select(key), key, "left_anti").select(changes.columns).unionByName(changes)

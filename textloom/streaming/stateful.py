@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,18 +84,28 @@ class NearWindow(StatefulProcessor):
         self.kept = handle.getListState("kept", "sig array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        kept = [list(x[0]) for x in self.kept.get()]
-        out = []
+        # rows of a matrix twice the window, the kept ones at its end
+        old = [x[0] for x in self.kept.get()]
+        first = np.array(old, dtype=np.int64) if old else None
+        ring, n, out = None, 0, []
         for batch in rows:
             for ident, sig in sorted(zip(batch["doc_id"], batch["sig"]), key=lambda x: x[0]):
-                sig = [int(v) for v in sig]
-                near = any(sum(a == b for a, b in zip(sig, other)) >= self.need for other in kept[-self.window:])
+                sig = np.asarray(sig, dtype=np.int64)
+                if ring is None:
+                    ring = np.zeros((2 * self.window + 1, len(sig)), dtype=np.int64)
+                    if first is not None:
+                        ring[: len(first)] = first
+                        n = len(first)
+                near = bool(n and ((ring[max(0, n - self.window): n] == sig).sum(axis=1) >= self.need).any())
                 out.append((ident, "near_duplicate" if near else "unique"))
                 if not near:
-                    kept.append(sig)
-        kept = kept[-self.window:]
-        if kept:
-            self.kept.put([(s,) for s in kept])
+                    if n == len(ring):
+                        ring[: self.window] = ring[n - self.window: n]
+                        n = self.window
+                    ring[n] = sig
+                    n += 1
+        if ring is not None and n:
+            self.kept.put([(r.tolist(),) for r in ring[max(0, n - self.window): n]])
         yield pd.DataFrame(out, columns=["doc_id", "reason"])
 
     def close(self) -> None:
