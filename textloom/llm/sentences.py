@@ -31,10 +31,13 @@ ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 LEAST = 3  # words and pairs seen less often teach nothing
 
 _EDGE = re.compile(r"^[^\w]+|[^\w.\u0300-\u036f\u0900-\u0963\u064b-\u0652]+$")
-_PERIOD = re.compile(r"(\S+?)\.[\"”’»)\]]*\s+[\"“„«‘(\[¿¡']*([^\W_]\S*)")
-_MARKED = re.compile(r"(\S*[!?…。।؟])[\"”’»)\]]*\s+[\"“„«‘(\[¿¡']*([^\W_]\S*)")
+_CLOSERS, _OPENING = "\"”’»)]", "\"“„«‘([¿¡'"
+_ENDS = frozenset(_CLOSERS + ".!?…。।؟")
+_STOPS = frozenset("!?…。।؟")
 _CJK_START = re.compile(r"[。！？](?=([぀-ヿ㐀-鿿]{2}))")
-_MID = re.compile(r"(?<=[^\W_]|[,;]) ([^\W\d_]\S*)")
+# words with a capital after a word or comma and one space; the capitals are those of the Unicode data
+_CAPITALS = "".join(chr(o) for o in range(0x41, 0x2000) if chr(o).isupper() and chr(o).isalpha())
+_MID = re.compile(rf" (?=[{_CAPITALS}])(?<=[^\W_] |[,;] )(\S+)")
 _NUMBER = re.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
 NUMBER = "#"
 
@@ -85,17 +88,27 @@ def count_texts():
         pairs: Counter = Counter()
         for lang, t in zip(langs, texts):
             lang = language_of(lang, t)
-            by[lang].update(t.split())
-            for w, nxt in _PERIOD.findall(t):
-                pairs[lang, "p", w, nxt] += 1
-            for w, nxt in _MARKED.findall(t):
-                pairs[lang, "s", "", nxt] += 1
+            tokens = t.split()
+            by[lang].update(tokens)
+            period = mark = -1  # up to where tokens are taken as the word after an end
+            for i in [i for i, w in enumerate(tokens) if w[-1] in _ENDS]:
+                if i + 1 == len(tokens):
+                    continue
+                w = tokens[i].rstrip(_CLOSERS)
+                nxt = tokens[i + 1].lstrip(_OPENING)
+                if not w or not nxt or not (nxt[0].isalnum()):
+                    continue
+                if w[-1] == "." and len(w) > 1 and i > period:
+                    pairs[lang, "p", w[:-1], nxt] += 1
+                    period = i + 1
+                elif w[-1] in _STOPS and i > mark:
+                    pairs[lang, "s", "", nxt] += 1
+                    mark = i + 1
             if lang in ("zh", "ja"):
                 for two in _CJK_START.findall(t):
                     pairs[lang, "s", "", two] += 1
             for w in _MID.findall(t):
-                if w[0].isupper():
-                    pairs[lang, "u", w, ""] += 1
+                pairs[lang, "u", w, ""] += 1
         out: Counter = Counter()
         for lang, c in by.items():
             for token, n in c.items():
