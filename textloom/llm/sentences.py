@@ -272,7 +272,9 @@ _CLOSE = re.compile(r"(?:[^\S\n]?»|[\"”“’'»)\]」』）】〉》＂])*")
 _SPAN = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|\([^()]*\)|（[^（）]*）|(?<!\w)'[^']*'(?!\w)|‘[^‘’]*’(?!\w)|《[^《》]*》")
 _OPENERS = "\"“„«‘(（[¿¡'「『《-–—*#•"
 _NEXT = re.compile(r"[^\W_][^\s,!?…;:।॥؟\"“”«»()\[\]。！？、，]*")
-_WORD_BEFORE = re.compile(r"[^\s\"“„«‘(（\[¿¡「『]+$")
+_GAP = re.compile(r"[\s\"“„«‘(（\[¿¡「『]+")
+_SKIP = re.compile("[" + re.escape(_OPENERS) + r"\u0020\u00a0\u202f]*")
+_DASHES = re.compile(r"[-–—\u0020\u00a0\u202f]*")
 _CONTENT = re.compile(r"\S")
 _WIDE_STOP = set("。！？।॥؟")
 _GO_ON = set(",;:，；：、–—-")
@@ -308,12 +310,15 @@ def ends(text: str, a: int, b: int, lang: str, model: Model):
     spans = [(m.start(), m.end()) for m in _SPAN.finditer(text, a, b)]
     last = a
     k = 0
-    at = a
+    at = word_at = read = a  # the word before a mark starts at ``word_at``; ``read`` is how far that is known
     while True:
         m = _END.search(text, at, b)
         if not m:
             return
         at = m.end()
+        for gap in _GAP.finditer(text, read, m.start()):
+            word_at = gap.end()
+        read = m.start()
         if m.group() == ";" and lang != "el":
             continue
         while k < len(spans) and spans[k][1] <= m.start():
@@ -333,29 +338,31 @@ def ends(text: str, a: int, b: int, lang: str, model: Model):
         if outer and end < b and text[end] in ".。!?！？":
             continue
         at = max(at, end)
-        if is_end(text, last, m, end, b, lang, model, outer):
+        if is_end(text, max(last, word_at), m, end, b, lang, model, outer):
             yield end
             last = end
 
 
-def is_end(text: str, start: int, m: re.Match, end: int, stop: int, lang: str, model: Model, quoted: bool) -> bool:
+def is_end(text: str, word_at: int, m: re.Match, end: int, stop: int, lang: str, model: Model, quoted: bool) -> bool:
+    """Whether a sentence ends with the mark ``m``; the word before it starts at ``word_at``, closers go up to ``end``."""
     mark = m.group()
     follows = _CONTENT.search(text, end, stop)
     if not follows:
         return True
     gap = follows.start() - end
-    tail = text[follows.start(): min(stop, follows.start() + 120)]
-    if tail[0] in _GO_ON and not (tail[0] in "-–—" and _capital_after(tail)):
+    head = text[follows.start()]
+    if head in _GO_ON and not (head in "-–—" and _capital_after(text, follows.start(), stop)):
         return False
-    body = tail.lstrip(_OPENERS + "   ")
-    nxt = _NEXT.match(body)
+    b = _SKIP.match(text, follows.start(), stop).end()
+    nxt = _NEXT.match(text, b, stop)
     word = nxt.group() if nxt else ""
-    first = word[:1] or body[:1]
+    first = word[:1] or text[b: min(b + 1, stop)]
+    two = text[b: min(b + 2, stop)]
     caseless = bool(first) and not first.isdigit() and first.lower() == first.upper()
     low = word_type(word).rstrip(".")
     dots = mark.startswith("..") or mark[0] == "…"
     if _is_cjk(first) and (quoted or dots) and not gap:
-        return body[:2] in model.starters
+        return two in model.starters
     if mark[0] in _WIDE_STOP:
         return not quoted or low in model.starters or not caseless
     if first.islower():
@@ -365,16 +372,14 @@ def is_end(text: str, start: int, m: re.Match, end: int, stop: int, lang: str, m
             return low in model.starters
         if quoted and caseless and not _is_cjk(first):
             return low in model.starters
-        if not gap and not dots and mark[0] in "!?" and end == m.end() and not (first.isupper() or _is_cjk(first) or tail[0] in _OPENERS):
+        if not gap and not dots and mark[0] in "!?" and end == m.end() and not (first.isupper() or _is_cjk(first) or head in _OPENERS):
             return False
         return True
     # a single period
-    # a word longer than this is none that is known
-    before = _WORD_BEFORE.search(text[max(start, m.start() - 80): m.start()])
-    prev = before.group() if before else ""
+    prev = text[word_at: m.start()]
     if not gap and end == m.end():
         # no space: sentences run together only where a small-letter word meets a capitalised one
-        return bool(first.isupper() and tail[0] == first and len(prev) > 1 and prev[-1].islower() and "." not in prev and "/" not in prev and "@" not in prev and (body[1:2] != "." if len(word) == 1 else word[1:2].islower() and "." not in word)) or (_is_cjk(first) and prev[-1:].isalpha()) or (tail[0] in "“«„" and prev[-1:].islower())
+        return bool(first.isupper() and head == first and len(prev) > 1 and prev[-1].islower() and "." not in prev and "/" not in prev and "@" not in prev and (two[1:] != "." if len(word) == 1 else word[1:2].islower() and "." not in word)) or (_is_cjk(first) and prev[-1:].isalpha()) or (head in "“«„" and prev[-1:].islower())
     kind = word_type(prev + ".")[:-1] if prev else ""
     key = word_type(word).rstrip(".")
     if kind == NUMBER:
@@ -395,9 +400,9 @@ def is_end(text: str, start: int, m: re.Match, end: int, stop: int, lang: str, m
     return True
 
 
-def _capital_after(tail: str) -> bool:
-    body = tail.lstrip("-–—  ")
-    return bool(body) and body[0].isupper()
+def _capital_after(text: str, at: int, stop: int) -> bool:
+    b = _DASHES.match(text, at, stop).end()
+    return b < stop and text[b].isupper()
 
 
 # --- operator ----------------------------------------------------------------------------------------
