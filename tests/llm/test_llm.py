@@ -443,6 +443,70 @@ def test_route_is_cheapest():
     assert all(v <= 30 for v in sent.values())
 
 
+def cheapest(supply, limit, quota):
+    """(flow, cost) by successive shortest paths over the whole network, one token at a time."""
+    edges = []  # from, to, room, cost
+    graph = {}
+
+    def edge(a, b, room, cost):
+        graph.setdefault(a, []).append(len(edges))
+        edges.append([b, room, cost])
+        graph.setdefault(b, []).append(len(edges))
+        edges.append([a, 0, -cost])
+
+    for p, n in supply.items():
+        for use in range(1, limit[p] + 1):
+            edge("start", p, n, use)
+        for s in p:
+            if s in quota:
+                edge(p, ("s", s), 10**9, 0)
+    for s, q in quota.items():
+        edge(("s", s), "end", q, 0)
+    total = cost = 0
+    while True:
+        far, via = {"start": 0}, {}
+        for _ in range(len(graph)):
+            for a in list(far):
+                for e in graph.get(a, []):
+                    b, room, c = edges[e]
+                    if room > 0 and far[a] + c < far.get(b, 10**9):
+                        far[b], via[b] = far[a] + c, (a, e)
+        if "end" not in far:
+            return total, cost
+        at, path = "end", []
+        while at != "start":
+            at, e = via[at]
+            path.append(e)
+        amount = min(edges[e][1] for e in path)
+        for e in path:
+            edges[e][1] -= amount
+            edges[e ^ 1][1] += amount
+        total, cost = total + amount, cost + amount * far["end"]
+
+
+def test_route_is_optimal():
+    rng = random.Random(12)
+    for _ in range(60):
+        names = [chr(97 + i) for i in range(rng.randrange(1, 5))]
+        supply = {tuple(sorted(rng.sample([*names, "other"], rng.randrange(1, len(names) + 1)))): rng.randrange(1, 12) for _ in range(rng.randrange(1, 7))}
+        limit, quota = {p: rng.randrange(1, 4) for p in supply}, {s: rng.randrange(0, 25) for s in names}
+        flow = mixing.route(supply, limit, quota)
+        sent = {p: sum(v for (q, _), v in flow.items() if q == p) for p in supply}
+        assert all(v >= 0 and s in p for (p, s), v in flow.items()) and all(sent[p] <= limit[p] * n for p, n in supply.items())
+        assert all(sum(v for (_, t), v in flow.items() if t == s) <= q for s, q in quota.items())
+        cost = sum(sum(use * min(n, max(0, sent[p] - (use - 1) * n)) for use in range(1, limit[p] + 1)) for p, n in supply.items())
+        assert (sum(sent.values()), cost) == cheapest(supply, limit, quota)
+
+
+def test_many_patterns_are_routed_fast():
+    rng = random.Random(2)
+    names = [f"s{i}" for i in range(40)]
+    supply = {tuple(sorted(rng.sample(names, rng.randrange(1, 6)))): rng.randrange(1, 1000) for _ in range(60000)}
+    share = sum(supply.values()) // 45
+    flow = mixing.route(supply, dict.fromkeys(supply, 2), dict.fromkeys(names, share))
+    assert len(supply) > 50000 and sum(flow.values()) == 40 * share
+
+
 def test_mixing(spark):
     rng = random.Random(6)
     docs = [(i, "word " * rng.randrange(5, 40) + str(i), "big" if i % 3 else "small") for i in range(600)] + [(1000 + i, f"shared text number {i} " * 4, s) for i in range(30) for s in ("big", "small")][:60]

@@ -20,7 +20,8 @@ from ..session import stored
 from .budget import VOCABULARY, token_counter
 
 BUCKETS, SEED = 256, 42
-MOST_PATTERNS = 50_000  # distinct sets of sources the driver takes; beyond it the run stops with an error
+#: Distinct sets of sources that the driver takes: a parameter of ``draws``, about 300 MB.
+MOST_PATTERNS = 1_000_000
 
 
 def records(docs: DataFrame, path: str = VOCABULARY, key: str = "doc_id") -> DataFrame:
@@ -42,65 +43,79 @@ def route(supply: dict[tuple, int], limit: dict[tuple, int], quota: dict[str, in
 
     Only the number of uses has a cost and that cost is convex, so the cheapest augmenting paths are those
     of the lowest open use: capacity is opened use by use, and each time the flow is raised to a maximum.
+    Paths are searched over sources: one leads on to another if a pattern that serves it could serve the
+    other.  A step costs the square of the sources at most and fills a pattern, a source or an edge.
     """
     flow: dict[tuple[tuple, str], int] = {}
+    serves = {p: [s for s in p if s in quota] for p in supply}
     sent = dict.fromkeys(supply, 0)
-    got = dict.fromkeys(quota, 0)
-    by_source: dict[str, list[tuple]] = {s: [] for s in quota}
-    for p in supply:
-        for s in p:
-            if s in by_source:
-                by_source[s].append(p)
+    need = dict(quota)
+    # insertion-ordered sets: patterns with tokens left by source, and patterns whose tokens at one source could go to another
+    free: dict[str, dict] = {s: {} for s in quota}
+    moves: dict[str, dict[str, dict]] = {s: {} for s in quota}
+
+    def change(p: tuple, s: str, amount: int) -> None:
+        now = flow.get((p, s), 0) + amount
+        flow[p, s] = now
+        for t in serves[p]:
+            if t != s:
+                if now:
+                    moves[s].setdefault(t, {})[p] = None
+                else:
+                    moves[s][t].pop(p, None)
 
     for use in range(1, max(limit.values(), default=0) + 1):
         room = {p: min(use, limit[p]) * n - sent[p] for p, n in supply.items()}
+        for p, r in room.items():
+            if r > 0:
+                for s in serves[p]:
+                    free[s][p] = None
         while True:
-            # breadth first from patterns with room to a source below its quota
-            parent: dict = {p: None for p in supply if room[p] > 0}
-            queue = deque(parent)
-            target = None
+            before: dict[str, str | None] = {s: None for s in quota if free[s]}
+            queue = deque(before)
+            target = next((s for s in queue if need[s] > 0), None)
             while queue and target is None:
-                p = queue.popleft()
-                for s in p:
-                    if s not in quota or ("s", s) in parent:
-                        continue
-                    parent["s", s] = p
-                    if got[s] < quota[s]:
-                        target = s
-                        break
-                    for other in by_source[s]:
-                        if other not in parent and flow.get((other, s), 0) > 0:
-                            parent[other] = ("s", s)
-                            queue.append(other)
+                s = queue.popleft()
+                for t, ps in moves[s].items():
+                    if ps and t not in before:
+                        before[t] = s
+                        if need[t] > 0:
+                            target = t
+                            break
+                        queue.append(t)
             if target is None:
                 break
-            path, node = [], ("s", target)
-            while node is not None:
-                path.append(node)
-                node = parent[node]
-            path.reverse()  # pattern, source, pattern, source, ...
-            amount = min(room[path[0]], quota[target] - got[target])
-            for k in range(1, len(path) - 1, 2):
-                amount = min(amount, flow[path[k + 1], path[k][1]])
-            for k in range(0, len(path) - 1, 2):
-                flow[path[k], path[k + 1][1]] = flow.get((path[k], path[k + 1][1]), 0) + amount
-                if k + 2 < len(path):
-                    flow[path[k + 2], path[k + 1][1]] -= amount
-            room[path[0]] -= amount
-            sent[path[0]] += amount
-            got[target] += amount
+            path = [target]
+            while (s := before[path[-1]]) is not None:
+                path.append(s)
+            path.reverse()  # from a source with tokens left for it to the one below its quota
+            first = next(iter(free[path[0]]))
+            via = [next(iter(moves[s][t])) for s, t in zip(path, path[1:])]
+            amount = min(room[first], need[target], *(flow[p, s] for p, s in zip(via, path)))
+            change(first, path[0], amount)
+            for p, s, t in zip(via, path, path[1:]):
+                change(p, s, -amount)
+                change(p, t, amount)
+            room[first] -= amount
+            sent[first] += amount
+            need[target] -= amount
+            if not room[first]:
+                for s in serves[first]:
+                    free[s].pop(first, None)
+        for s in free:
+            free[s].clear()
     return {k: v for k, v in flow.items() if v}
 
 
-def plans(recs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> tuple[list[tuple], list[tuple]]:
+def plans(recs: DataFrame, targets: DataFrame, total_tokens: int | None = None, most_patterns: int = MOST_PATTERNS) -> tuple[list[tuple], list[tuple]]:
     """Stretches (policy, pattern, source, from, to, supply) of each pattern's line of uses, and quotas (policy, source, tokens).
 
     ``total_tokens`` is the size of a mixture; by default what the policy's sources hold once.
     """
     grouped = recs.groupBy(F.map_keys("ids").alias("pattern")).agg(F.sum("n_tokens").alias("n"))
-    rows = grouped.limit(MOST_PATTERNS + 1).collect()
-    if len(rows) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
+    rows = grouped.limit(most_patterns + 1).collect()
+    if len(rows) > most_patterns:
+        raise ValueError(f"more than {most_patterns} sets of sources: raise most_patterns and the driver's memory")
     patterns = {tuple(r[0]): int(r[1]) for r in rows}
     policies: dict[str, dict[str, tuple[float, int]]] = {}
     for r in targets.select("policy_id", "source", "target_share", "max_repeats").collect():
@@ -124,7 +139,7 @@ def plans(recs: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return out, quotas
 
 
-def draws(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, path: str = VOCABULARY, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+def draws(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED, path: str = VOCABULARY, key: str = "doc_id", most_patterns: int = MOST_PATTERNS) -> tuple[DataFrame, DataFrame]:
     """(policy_id, source, key, n_tokens, uses): the records drawn for each policy; and (policy_id, source, quota).
 
     A pattern's records stand in seeded order on a line that is run through once a use; a record counts for
@@ -132,7 +147,7 @@ def draws(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None,
     pattern.  Repeated target rows fold; an empty table of documents or targets gives no rows.
     """
     recs = stored(records(docs, path, key), "records")
-    rows, quotas = plans(recs, targets, total_tokens)
+    rows, quotas = plans(recs, targets, total_tokens, most_patterns)
     spark = docs.sparkSession
     schema = "policy_id string, pattern array<string>, source string, low bigint, high bigint, supply bigint"
     plan = spark.createDataFrame(rows, schema)
