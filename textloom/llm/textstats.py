@@ -181,7 +181,7 @@ SKETCH = LAST_STOPPED + 1
 STATE_SIZE = SKETCH + REGISTERS
 IS_STOP, IS_WIDE, IS_NUMBERED, IS_OPEN, ENDS_LINE = 1, 2, 4, 8, 16  # what closes a stretch
 
-LEAST_WORDS, LEAST_HAN, CLAUSE_WORDS, CLAUSE_HAN, MOST_CLAUSE = 6, 9, 9, 15, 40
+LEAST_WORDS, LEAST_HAN, CLAUSE_WORDS, CLAUSE_HAN, MOST_CLAUSE, LONG = 6, 9, 9, 15, 40, 30
 
 
 def sentence_like(s: np.ndarray, ends: np.ndarray, starts_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +193,8 @@ def sentence_like(s: np.ndarray, ends: np.ndarray, starts_line: np.ndarray) -> t
     stopped = (ends & IS_STOP > 0) & (~dense | (ends & IS_WIDE > 0))
     readable = (letters + han >= 0.55 * size) & (damaged * 20 <= size) & (symbols * 5 <= size)
     spaced = readable & (digits * 4 <= size) & (words <= np.where(stopped, 120, MOST_CLAUSE)) & (letters >= 2.2 * words) & (letters <= 14 * words) & (blanks * 2 >= words - 1)
+    # long sentences hold function words, and marks do not stand at every other word
+    spaced &= ((words < LONG) | (common * 25 >= words)) & ((symbols < 6) | (symbols * 2 < words))
     # a line of its own needs as many words as a clause, so that questions in lists of links are none
     alone = starts_line & (ends & ENDS_LINE > 0)
     spaced &= np.where(stopped & ~alone, words >= LEAST_WORDS, words >= CLAUSE_WORDS)
