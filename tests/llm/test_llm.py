@@ -200,7 +200,9 @@ def test_wrappers(spark):
     assert sorted(got["one"]) == [0, 1, 4, 6, 7] and sorted(got["links"]) == [0, 1, 2, 3, 4]
     assert not {"plain", "null", "empty"} & set(got)
     body = {r.doc_id: r.body for r in wrappers.main_body(df, url=F.col("url")).collect()}
-    assert body["one"].split("\n")[0] == "Story number 99 of the hill" and body["null"] is None and body["empty"] == ""
+    assert body["one"].split("\n")[0] == "Story number 99 of the hill" and body["null"] is None and body["empty"] == "" and body["links"] == ""
+    for k, t, _ in rows:
+        assert t is None or body[k] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in got.get(k, ())), k
 
 
 def test_alignment_is_union_free():

@@ -26,11 +26,11 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import stored
 from .arrow import map_rows
 from .lookalikes import skeleton
@@ -593,22 +593,18 @@ def main_body(df: DataFrame, key: str = "doc_id", text: str = "text", url=None)
     """
     found = page_lines(df, key, text, url).groupBy("text_hash", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("key")).agg(F.min("lines").alias("lines"))
 
-    @F.pandas_udf("string")
-    def body(texts: pd.Series, lines: pd.Series) -> pd.Series:
-        def one(t, gone):
-            if t is None or gone is None:
-                return t
-            gone = set(gone)
-            return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone)
-
-        return pd.Series([one(t, g) for t, g in zip(texts, lines)], index=texts.index, dtype=object)
+    def without(parts: Column, gone: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: parts[i]), "\n")
 
     extra = "boilerplate"
     while extra in df.columns:
         extra += "_"
     rows = df.withColumn(extra, F.struct(F.xxhash64(text).alias("h"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("k")))
     found = found.select(F.struct(F.col("text_hash").alias("h"), F.col("key").alias("k")).alias(extra), F.col("lines").alias(extra + "lines"))
-    joined = rows.join(found, extra, "left").withColumn(extra, body(F.col(text), F.col(extra + "lines")))
+    gone = F.col(extra + "lines")
+    body = F.when(gone.isNull(), F.col(text)).otherwise(let(F.split(text, "\n", -1), lambda parts: without(parts, gone)))
+    joined = rows.join(found, extra, "left").withColumn(extra, body)
     others = [c for c in df.columns if c != "body"]
     return joined.select(*others, F.col(extra).alias("body"))
 
