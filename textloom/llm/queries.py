@@ -145,8 +145,9 @@ def p9_found(spark, d):
 def p9_units(spark, d):
     """Units of all documents, by number and characters."""
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
-    rows = sentences.units(docs, sentences.learn(docs))
-    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_units"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("unit_chars"))
+    rows = sentences.document_units(docs, sentences.learn(docs))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return rows.select("doc_id", F.size("starts").cast("bigint").alias("n_units"), (total("ends") - total("starts")).alias("unit_chars"))
 
 
 @query

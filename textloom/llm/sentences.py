@@ -267,9 +267,10 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 # --- classifying marks -------------------------------------------------------------------------------
 
-_END = re.compile(r"(?:\.{2,}|…+|[!?؟]+|[。！？।॥]+|\.|;)(?:[!?؟。！？…।.]*)")
+# what a match begins with is asked for first, which passes over all other characters at once
+_END = re.compile(r"(?=[.…!?؟。！？।॥;])(?:\.{2,}|…+|[!?؟]+|[。！？।॥]+|\.|;)(?:[!?؟。！？…।.]*)")
 _CLOSE = re.compile(r"(?:[^\S\n]?»|[\"”“’'»)\]」』）】〉》＂])*")
-_SPAN = re.compile(r"“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|\([^()]*\)|（[^（）]*）|(?<!\w)'[^']*'(?!\w)|‘[^‘’]*’(?!\w)|《[^《》]*》")
+_SPAN = re.compile(r"(?=[“„«\"「『(（'‘《])(?:“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|\"[^\"]*\"|「[^「」]*」|『[^『』]*』|\([^()]*\)|（[^（）]*）|(?<!\w)'[^']*'(?!\w)|‘[^‘’]*’(?!\w)|《[^《》]*》)")
 _OPENERS = "\"“„«‘(（[¿¡'「『《-–—*#•"
 _NEXT = re.compile(r"[^\W_][^\s,!?…;:।॥؟\"“”«»()\[\]。！？、，]*")
 _GAP = re.compile(r"[\s\"“„«‘(（\[¿¡「『]+")
@@ -316,9 +317,12 @@ def ends(text: str, a: int, b: int, lang: str, model: Model):
         if not m:
             return
         at = m.end()
-        for gap in _GAP.finditer(text, read, m.start()):
-            word_at = gap.end()
-        read = m.start()
+        if m.group() == ".":  # other marks do not ask for the word
+            space = max(text.rfind(" ", read, m.start()), text.rfind("\n", read, m.start()))
+            word_at = max(word_at, space + 1)
+            for gap in _GAP.finditer(text, max(read, space + 1), m.start()):
+                word_at = gap.end()
+            read = m.start()
         if m.group() == ";" and lang != "el":
             continue
         while k < len(spans) and spans[k][1] <= m.start():
@@ -408,6 +412,21 @@ def _capital_after(text: str, at: int, stop: int) -> bool:
 # --- operator ----------------------------------------------------------------------------------------
 
 
+def document_units(df: DataFrame, models: dict[str, Model], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, starts, ends): one row for every document with units, their positions as arrays.  Repeated rows fold."""
+    kind = dict(df.dtypes)[key]
+
+    def make():
+        def one(k, g, t):
+            if found := sentences(t, g, models):
+                yield k, *map(list, zip(*found))
+
+        return one
+
+    rows = df.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(key).isNotNull()).select(key, lang, text)
+    return map_rows(rows, make, f"{key} {kind}, starts array<int>, ends array<int>").distinct()
+
+
 def units(df: DataFrame, models: dict[str, Model], key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(key, start_pos, end_pos) of every unit.  NULL, empty and blank texts give none; repeated rows fold."""
     kind = dict(df.dtypes)[key]
