@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,6 +29,7 @@ from .lookalikes import tables
 CHUNK, WIDEST = 1 << 16, 2000
 LEFT, RIGHT = WIDEST + 48, 80  # context in sight of a chunk
 FAN, LEVELS = 64, 3  # 64 ** 3 chunks of 65,536 characters: more than a string can hold
+BATCH = 4  # chunks counted together
 REGISTERS = 64  # of the sketch that counts different stretches
 
 # Frequent function words.
@@ -507,8 +509,10 @@ def statistics(df: DataFrame, key: str = "doc_id", text: str = "text", category:
     def make_chunks():
         def one(k, c, t, h):
             t = cleaned(t)
-            for n, (a, b) in enumerate(cut_text(t, chunk)):
-                yield k, c, h, n, partials([(t, a, b)])[0].tolist()
+            parts = enumerate(cut_text(t, chunk))
+            while some := list(islice(parts, BATCH)):
+                for (n, _), state in zip(some, partials([(t, a, b) for _, (a, b) in some])):
+                    yield k, c, h, n, state.tolist()
 
         return one
 
