@@ -44,7 +44,6 @@ _TAG = re.compile(
 _IGNORABLE = re.compile("[­​-‏⁠﻿]")
 _ONE = "぀-ヿ㐀-鿿豈-﫿"
 _WORD = re.compile(f"[{_ONE}]|(?:(?![{_ONE}_])\\w)+")
-_WIDE = re.compile(f"[{_ONE}]")
 
 
 def without_comments(text: str) -> str:

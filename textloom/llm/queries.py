@@ -117,7 +117,11 @@ def p7_found(spark, d):
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-_STREAM = r"regexp_extract_all(lower(nfc_normalize(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '[\x{ad}\x{200b}-\x{200f}\x{2060}\x{feff}]', '', 'g'))), '[\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}]|[\p{L}\p{N}]+')"
+# real markup only: comments, declarations, closing tags and tags whose attributes have a value or are known without one
+_MARKUP = (r"""(?is)<!--.*?-->|<!DOCTYPE\b[^<>]*>|<!\[CDATA\[|<\?[a-z][^<>]*\?>|</[a-z][\w:.-]*\s*>|<[a-z][\w:.-]*(?:[\s/]+(?:[^\s<>"''=/]+\s*=\s*(?:"[^"<>]*"|''[^''<>]*''|[^\s<>"''=]+)|(?:"""
+           + leakage._BARE + r""")))*[\s/]*>""")
+_STREAM = rf"""regexp_extract_all(regexp_replace(lower(nfc_normalize(regexp_replace(regexp_replace(text, '{_MARKUP}', ' ', 'g'), '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g'))),
+    '([\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{9fff}}\x{{f900}}-\x{{faff}}])', ' \1 ', 'g'), '[\p{{L}}\p{{N}}]+')"""
 SQL["p7_found"] = f"""WITH i AS (SELECT item_id, lang, {_STREAM} AS w FROM eval_items),
   n AS (SELECT item_id, w, least(len(w), CASE WHEN lang = 'zh' THEN 24 ELSE 12 END) AS n FROM i WHERE len(w) > 0),
   r AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS run FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM n)),

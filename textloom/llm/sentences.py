@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 

@@ -388,9 +388,6 @@ def distinct_pages(streams: list[Stream]) -> list[Stream]:
     return kept
 
 
-NODE = "array<struct<token:bigint,label:boolean,w:int,t:int,rep:int>>"
-
-
 def host_nodes(feats: list[bytes]) -> tuple[int, list[tuple]]:
     """Distinct pages of a part and the nodes of its wrapper in order: (token, label or slot, pages, pages where it is the title, pages where it is repeated)."""
     streams = distinct_pages([stream_of(x) for x in feats])
