@@ -1,6 +1,7 @@
 """Dedup, packing, sampling, accounting, shards and streaming against plain Python."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -169,6 +170,13 @@ def test_lineage_cycles(spark):
         lineage.ancestry(rows)
 
 
+def test_written_tables_are_released(spark):
+    kept = session.stored(spark.range(3))
+    path = kept.inputFiles()[0]
+    assert kept.count() == 3 and session.release(spark) >= 1 and session.release(spark) == 0
+    assert not Path(path.removeprefix("file://")).exists()
+
+
 def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
     class Elsewhere:
         class conf:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import col, let, py_strip, words
+from ..functions.text import col, let, words
 
 # Patterns and weights that decide the result.
 BLOCKED = ["<script>", "javascript:void(0)", "data:text/html", "eval(compile("]

@@ -473,6 +473,42 @@ def packing_health(spark, d):
     return p.agg(F.count(F.lit(1)).alias("n_sequences"), count(F.col("input_ids"), packing.EOS), count(F.col("input_ids"), packing.PAD), turns.alias("n_boundaries"))
 
 
+def _deliveries(spark, d):
+    """Distinct (doc_id, category, text) of the raw table."""
+    return _raw(spark, d).where("text is not null").select("doc_id", "category", "text").distinct()
+
+
+@query
+def raw_quality(spark, d):
+    t = filters.quality_terms("text")
+    return spread(_deliveries(spark, d)).select("doc_id", "category", F.round(filters.quality_score("text"), 9).alias("score"), t["n_words"].alias("n_words"))
+
+
+@query
+def raw_exact_dedup(spark, d):
+    """Classes of equal texts over all records; a record delivered again is one record."""
+    return dedup.membership(_raw(spark, d).select("doc_id", "text").distinct())
+
+
+@query
+def raw_shingle_counts(spark, d):
+    return spread(_deliveries(spark, d)).select("doc_id", "category", F.size(words("text")).cast("bigint").alias("n_words"), F.size(shingles("text")).cast("bigint").alias("n_shingles"))
+
+
+@query
+def pack_records(spark, d):
+    """Token arrays as delivered, empty ones left out, arrays that end in the end token as they are."""
+    rows = table(spark, d, "tokenized_records").select("doc_id", F.col("token_ids").alias("tokens")).distinct()
+    return packing.fragments(rows, "doc_id", length=PACK_LENGTH, skip_empty=True).groupBy("seq_idx").agg(
+        F.count(F.lit(1)).alias("n_fragments"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.aggregate("piece", F.lit(0).cast("bigint"), lambda a, b: a + b)).alias("token_sum"))
+
+
+@query
+def pipeline_stages(spark, d):
+    """Accounting of the whole chain, near copies, packing and shards included."""
+    return pipeline.complete_stages(spread(table(spark, d, "documents")), length=PACK_LENGTH, per_shard=PER_SHARD)
+
+
 @query
 def stream_counters(spark, d):
     docs = _document_stream(spark, d).where("text is not null")

@@ -246,6 +246,22 @@ SQL = {
       k AS (SELECT (SELECT count(*) FROM good) AS good, (SELECT count(*) FROM reps) AS uniq, (SELECT count(*) FROM near) AS near)
       SELECT n AS n_seen, uniq - near AS n_accepted, round(unsafe / greatest(n, 1), 4) AS safety_rejection_rate, round(poor / greatest(n, 1), 4) AS quality_rejection_rate,
         round((good - uniq) / greatest(n, 1), 4) AS exact_duplicate_rate, round(near / greatest(n, 1), 4) AS near_duplicate_rate FROM t2, k""",
+    "pipeline_stages": f"""WITH RECURSIVE {CHAIN}, good AS (SELECT doc_id, text FROM s WHERE safe AND score >= 0.4::DOUBLE), reps AS (SELECT min(doc_id) AS doc_id, text FROM good GROUP BY text), {SIGNED.replace('w AS (', 'w2 AS (').replace('FROM w)', 'FROM w2)').replace('@SRC@', 'reps')}, {GREEDY},
+      kept AS (SELECT text FROM reps WHERE doc_id NOT IN (SELECT doc_id FROM near)), z AS (SELECT count(*) AS n, coalesce(sum(strlen(text)), 0)::BIGINT AS t FROM kept), nq AS (SELECT ceil((t + n) / {PACK_LENGTH})::BIGINT AS k FROM z)
+      SELECT 0::INT AS stage_ord, 'raw' AS stage_name, count(*) AS num_documents, sum(strlen(given))::BIGINT AS num_tokens FROM s
+      UNION ALL SELECT 1, 'safe', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM s WHERE safe
+      UNION ALL SELECT 2, 'quality', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM good
+      UNION ALL SELECT 3, 'dedup', count(*), coalesce(sum(strlen(text)), 0)::BIGINT FROM reps
+      UNION ALL SELECT 4, 'near', n, t FROM z UNION ALL SELECT 5, 'tokenized', n, (t + n)::BIGINT FROM z
+      UNION ALL SELECT 6, 'packed', k, k * {PACK_LENGTH} FROM nq UNION ALL SELECT 7, 'shards', ceil(k / {PER_SHARD})::BIGINT, k * {PACK_LENGTH} FROM nq""",
+    "pack_records": f"""WITH r AS (SELECT DISTINCT doc_id, token_ids AS t FROM tokenized_records WHERE len(token_ids) > 0),
+      e AS (SELECT doc_id, t AS raw, CASE WHEN t[len(t)] = 2 THEN t ELSE list_append(t, 2) END AS t FROM r),
+      o AS (SELECT *, coalesce(sum(len(t)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, row_number() OVER (ORDER BY doc_id) AS doc FROM e),
+      x AS (SELECT doc, off + unnest(range(0, len(t))) AS pos, unnest(t) AS v FROM o)
+      SELECT pos // {PACK_LENGTH} AS seq_idx, count(DISTINCT doc) AS n_fragments, count(*) AS n_tokens, sum(v)::BIGINT AS token_sum FROM x GROUP BY 1""",
+    "raw_quality": f"WITH {QUALITY.replace('FROM documents WHERE', 'FROM (SELECT DISTINCT doc_id, category, text FROM raw_documents) WHERE')} SELECT doc_id, category, round(score, 9) AS score, n AS n_words FROM s",
+    "raw_exact_dedup": "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS class_id, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS is_copy FROM (SELECT DISTINCT doc_id, text FROM raw_documents WHERE text IS NOT NULL)",
+    "raw_shingle_counts": f"WITH {SHINGLES.replace('SELECT doc_id, ', 'SELECT doc_id, category, ', 1).replace('sh AS (SELECT doc_id,', 'sh AS (SELECT doc_id, category,').replace('@SRC@', '(SELECT DISTINCT doc_id, category, text FROM raw_documents WHERE text IS NOT NULL)')} SELECT doc_id, category, n AS n_words, len(s) AS n_shingles FROM sh",
     "mixture_attempts": f"""WITH {QUALITY}, {SHARES.format(cond='')},
       u AS (SELECT step, {HASHED.format("'42:' || step")} AS u FROM range(0, 2000) r(step)),
       dr AS (SELECT step, domain, n_docs FROM u JOIN shares ON u >= upper - share AND (u < upper OR upper = (SELECT max(upper) FROM shares))),

@@ -1,4 +1,4 @@
-"""The chain up to exact copies as one plan: clean, normalise, screen, redact, score, fold copies."""
+"""The chain: clean, normalise, screen, redact, score and fold copies as one plan; ``complete`` goes on to near copies, packing and shards."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from ..operators.cleaning import clean, normalize
 from ..operators.dedup import near_dedup
 from ..operators.filters import PII, QUALITY_CUT, is_safe, pii_counts, pii_redact, quality_score
 from ..operators.hashing import content_hash
+from ..operators.packing import LENGTH, byte_tokens, pack, sequences
+from ..operators.shards import PER_SHARD, shard_totals
 from ..session import stored
 
 
@@ -70,6 +72,36 @@ def stage_table(df: DataFrame, text: str = "text") -> DataFrame:
     return sums.select(F.explode(rows).alias("s")).select("s.*")
 
 
+def complete(df: DataFrame, text: str = "text", order_by: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD) -> dict[str, DataFrame]:
+    """The whole chain: ``kept`` documents after exact and near copies, their ``packed`` byte tokens and ``shards``.
+
+    Every stage of the chain that feeds several others is written once.
+    """
+    passed = stored(run(df, text, order_by), "exact")
+    unique = near_dedup(passed, "final_text", order_by).where("reason = 'unique'").select(order_by)
+    kept = stored(passed.join(unique, order_by, "left_semi"), "kept")
+    tokens = kept.select(order_by, byte_tokens("final_text").alias("tokens"))
+    seqs = sequences(kept.select(order_by, (F.octet_length("final_text") + 1).alias("n")), order_by, F.col("n"), length)
+    return {"passed": passed, "kept": kept, "packed": pack(tokens, order_by, length=length), "shards": shard_totals(seqs, length, per_shard)}
+
+
+def complete_stages(df: DataFrame, text: str = "text", order_by: str = "doc_id", length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+    """Documents and tokens after every stage from raw texts to shards; the last two count sequences and shards."""
+    parts = complete(df, text, order_by, length, per_shard)
+
+    def stage(i: int, name: str, rows: DataFrame, n: Column, t: Column) -> DataFrame:
+        return rows.agg(n.alias("num_documents"), F.coalesce(t, F.lit(0)).cast("bigint").alias("num_tokens")).select(F.lit(i).alias("stage_ord"), F.lit(name).alias("stage_name"), "num_documents", "num_tokens")
+
+    n, size = F.count(F.lit(1)), F.sum(F.octet_length("final_text"))
+    out = stage_table(df, text).where("stage_ord < 4")
+    for x in (
+        stage(4, "near", parts["kept"], n, size), stage(5, "tokenized", parts["kept"], n, F.sum(F.octet_length("final_text") + 1)),
+        stage(6, "packed", parts["shards"], F.coalesce(F.sum("num_samples"), F.lit(0)), F.sum("num_tokens")), stage(7, "shards", parts["shards"], n, F.sum("num_tokens")),
+    ):
+        out = out.unionByName(x)
+    return out
+
+
 def rejection_rates(df: DataFrame, text: str = "text", order_by: str = "doc_id") -> DataFrame:
     """One row: documents seen and accepted, and the share of those seen that every stage takes out.
 

@@ -58,5 +58,21 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []  # what ``stored`` wrote and ``release`` has not removed
+
+
+def release(spark: SparkSession) -> int:
+    """Remove what ``stored`` has written so far and give the number of tables.
+
+    For the end of a job: results that are still to be read from such a table must be written before.
+    """
+    jvm, n = spark._jvm, len(_written)
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
