@@ -70,20 +70,17 @@ def pack(df: DataFrame, order_by: str, tokens: str = "tokens", length: int = LEN
          skip_empty: bool = False) -> DataFrame:
     """Rows of exactly ``length`` tokens with document numbers from 1 and positions that go on across a cut."""
     parts = fragments(df, order_by, tokens, length, eos, skip_empty)
-    piece = F.struct(
-        "slot", "piece",
-        F.array_repeat("doc_counter", F.col("n_tokens")).alias("docs"),
-        F.sequence(F.col("first_pos"), F.col("first_pos") + F.col("n_tokens") - 1).alias("pos"),
-    )
-    # a sequence holds at most ``length`` tokens, so this list is bounded
-    rows = parts.groupBy("seq_idx").agg(F.array_sort(F.collect_list(piece)).alias("p"))
+    # a sequence holds at most ``length`` tokens, so this list is bounded; numbers and positions are made after the shuffle
+    rows = parts.groupBy("seq_idx").agg(F.array_sort(F.collect_list(F.struct("slot", "piece", "doc_counter", "first_pos", "n_tokens"))).alias("p"))
 
-    def joined(field: str, filler: int) -> Column:
-        flat = F.flatten(F.transform("p", lambda x: x[field]))
-        return F.concat(flat, F.array_repeat(F.lit(filler).cast("bigint" if field == "docs" else "int"), length - F.size(flat)))
+    def joined(made, filler: int, kind: str = "int") -> Column:
+        flat = F.flatten(F.transform("p", made))
+        return F.concat(flat, F.array_repeat(F.lit(filler).cast(kind), length - F.size(flat)))
 
     return rows.select(
-        "seq_idx", joined("piece", pad).alias("input_ids"), joined("docs", 0).alias("doc_ids"), joined("pos", 0).alias("position_ids")
+        "seq_idx", joined(lambda x: x["piece"], pad).alias("input_ids"),
+        joined(lambda x: F.array_repeat(x["doc_counter"], x["n_tokens"]), 0, "bigint").alias("doc_ids"),
+        joined(lambda x: F.sequence(x["first_pos"], x["first_pos"] + x["n_tokens"] - 1), 0).alias("position_ids"),
     )
 
 
