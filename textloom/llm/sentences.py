@@ -18,6 +18,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,7 @@ _NUMBER = re.compile(r"^[\d.,:/-]*\d[\d.,:/-]*$")
 NUMBER = "#"
 
 
+@lru_cache(maxsize=1 << 16)
 def word_type(token: str) -> str:
     """Lower-case word without outer marks; a final period stays; numbers are one type."""
     t = _EDGE.sub("", token)
